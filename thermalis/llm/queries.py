@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op4_jump_sharding": sharding.op4_jump_sharding,
+    "op5_toxicity_pu": toxicity.op5_toxicity_pu,
+    "op6_quality_classifier": quality.op6_quality_classifier,
     "op9_mixing": mixing.op9_mixing,
 }
 ORACLE_SQL = {
