@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, sharding, toxicity
+from . import decontaminate, mixing, quality, sharding, substring, toxicity
 
 QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_jump_sharding": sharding.op4_jump_sharding,
     "op5_toxicity_pu": toxicity.op5_toxicity_pu,
     "op6_quality_classifier": quality.op6_quality_classifier,
+    "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
 }
 ORACLE_SQL = {
     "op3_decontamination": decontaminate.ORACLE,
     "op4_jump_sharding": sharding.ORACLE,
+    "op8_substring_dedup": substring.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
