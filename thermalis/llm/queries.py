@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, sharding, substring, toxicity
+from . import decontaminate, mixing, neardup, quality, sharding, substring, toxicity
 
 QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
@@ -11,10 +11,12 @@ QUERIES = {
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
+    "op10_minhash_setsketch": neardup.op10_minhash_setsketch,
 }
 ORACLE_SQL = {
     "op3_decontamination": decontaminate.ORACLE,
     "op4_jump_sharding": sharding.ORACLE,
     "op8_substring_dedup": substring.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op10_minhash_setsketch": neardup.ORACLE,
 }
