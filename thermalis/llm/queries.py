@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, quality, sharding, substring, toxicity
+from . import decontaminate, mixing, neardup, quality, sharding, substring, tokens, toxicity
 
 QUERIES = {
+    "op1_token_output": tokens.op1_token_output,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_jump_sharding": sharding.op4_jump_sharding,
     "op5_toxicity_pu": toxicity.op5_toxicity_pu,
