@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, quality, sharding, substring, tokens, toxicity
+from . import decontaminate, mixing, neardup, quality, sharding, substring, suffix, tokens, toxicity
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
+    "op2_suffix_dedup": suffix.op2_suffix_dedup,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_jump_sharding": sharding.op4_jump_sharding,
     "op5_toxicity_pu": toxicity.op5_toxicity_pu,
