@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, quality, sharding, substring, suffix, tokens, toxicity
+from . import decontaminate, media, mixing, neardup, quality, sharding, substring, suffix, tokens, toxicity
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_jump_sharding": sharding.op4_jump_sharding,
     "op5_toxicity_pu": toxicity.op5_toxicity_pu,
     "op6_quality_classifier": quality.op6_quality_classifier,
+    "op7_media_gif": media.op7_media_gif,
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_minhash_setsketch": neardup.op10_minhash_setsketch,
