@@ -64,6 +64,20 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source_no", F.when(F.col("open"), F.col("prefix")).alias("below"))
 
 
+def limits(docs: DataFrame, key: str, text: str, source: str, weights, share: float, copies: int) -> tuple[DataFrame, DataFrame]:
+    """All rows as (_key, source, hash, size), and per source (as _s) its size, target, whole times and threshold."""
+    rows = written(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), unit_hash(F.col(key)).alias("hash"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("size")))
+    targets = written(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, copies).withColumn("times", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long")).withColumn("budget", F.floor(F.col("target") - F.col("times") * F.col("source_size")).cast("long")))
+    numbered = rows.join(targets.select(F.col("source").alias("_s"), "source_no"), F.col("source").eqNullSafe(F.col("_s"))).select("source_no", "hash", "size")
+    return rows, targets.join(thresholds(numbered, targets), "source_no").withColumnRenamed("source", "_s")
+
+
+def copies_taken(hash_: Column, copies: int) -> Column:
+    """How often the mix takes a row, given the columns of limits()."""
+    extra = (F.col("below").isNull() | (hash_ < F.col("below"))) & (F.col("budget") > 0)
+    return F.least(F.lit(copies).cast("long"), F.col("times") + extra.cast("long"))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, copies: int = COPIES) -> DataFrame:
     """(key, source, size, source_size, target, taken) of every row: how many words of it the mix takes.
 
@@ -73,13 +87,21 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     text: size 0. A null source is a source of its own, the last. An empty table gives no rows.
     Texts are read once; all later passes are over (key, source, hash, size).
     """
-    rows = written(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), unit_hash(F.col(key)).alias("hash"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("size")))
-    targets = written(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, copies).withColumn("times", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long")).withColumn("budget", F.floor(F.col("target") - F.col("times") * F.col("source_size")).cast("long")))
-    numbered = rows.join(targets.select(F.col("source").alias("_s"), "source_no"), F.col("source").eqNullSafe(F.col("_s"))).select("source_no", "hash", "size")
-    limits = targets.join(thresholds(numbered, targets), "source_no").withColumnRenamed("source", "_s")
-    extra = (F.col("below").isNull() | (F.col("hash") < F.col("below"))) & (F.col("budget") > 0)
-    taken = F.col("size") * F.least(F.lit(copies).cast("long"), F.col("times") + extra.cast("long"))
-    return rows.join(limits, F.col("source").eqNullSafe(F.col("_s"))).select(F.col("_key").alias(key), "source", "hash", "size", "source_size", "target", taken.alias("taken"))
+    rows, per_source = limits(docs, key, text, source, weights, share, copies)
+    taken = F.col("size") * copies_taken(F.col("hash"), copies)
+    return rows.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).select(F.col("_key").alias(key), "source", "hash", "size", "source_size", "target", taken.alias("taken"))
+
+
+def take_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, copies: int = COPIES) -> DataFrame:
+    """The rows of docs, with their columns, as often as the mix takes them; rows without words are left out.
+
+    The join is with one row a source; Spark broadcasts it if it is small, and else shuffles.
+    """
+    _, per_source = limits(docs, key, text, source, weights, share, copies)
+    names = docs.columns
+    here = docs.withColumns({"_hash": unit_hash(F.col(key)), "_any": F.col(text).rlike(WORDS)})
+    times = F.when(F.coalesce(F.col("_any"), F.lit(False)), copies_taken(F.col("_hash"), copies)).otherwise(0).cast("int")
+    return here.join(per_source, F.col(source).eqNullSafe(F.col("_s"))).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*names)
 
 
 def op9_mixing(spark, sf_dir):
