@@ -3,9 +3,9 @@
 A register is the minimum of exponential variates over a document's shingles, truncated to a power
 of BASE (Ertl's SetSketch). Equal sets form one node first. Bands of register values give buckets.
 Within a bucket, members are compared with one centre; after a few such rounds nearly all buckets
-lie in one component, and the rest is compared in blocks across components. So a group of k copies
-costs about k comparisons, and yet no linked pair that shares a bucket is left undecided: a pair is
-passed over only if it is in one component already. At similarity 0.85 a pair shares no bucket
+lie in one component. The rest is decided exactly in blocks, which give one row a member, never one
+a pair. So a group of k copies costs about k comparisons, and yet no linked pair that shares a bucket
+is left undecided: a pair is passed over only if it is in one component already. At similarity 0.85 a pair shares no bucket
 with probability (1 - 0.85**4)**32, about 6e-11.
 """
 
@@ -140,21 +140,38 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return labels.join(at, labels["comp"] == at["k"], "left").select("node", F.coalesce("to", "comp").alias("comp"))
 
 
-def _block_pairs(group: pd.DataFrame) -> pd.DataFrame:
-    """Plausible pairs across components of one pair of blocks."""
-    i, j = group["i"].iloc[0], group["j"].iloc[0]
-    mine = lambda k: group[group["block"] == k].reset_index(drop=True)
-    left, right = mine(i), mine(j)
-    regs = np.frombuffer(b"".join(right["regs"]), np.uint16).reshape(-1, REGISTERS)
-    found = []
-    for k, r in left.iterrows():
-        other = (right["comp"].to_numpy() != r["comp"]) & ((right["node"].to_numpy() > r["node"]) | (i != j))
-        if other.any():
-            n = right["n"].to_numpy()[other]
-            ok = plausible(np.broadcast_to(np.frombuffer(r["regs"], np.uint16), (len(n), REGISTERS)), regs[other], np.full(len(n), r["n"]), n)
-            for t in right["node"].to_numpy()[other][ok]:
-                found.append((min(r["node"], t), max(r["node"], t)))
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _block_links(group: pd.DataFrame) -> pd.DataFrame:
+    """Which members of one pair of blocks hang together by exact links: each with the first of its kind, so at most one row a member.
+
+    All pairs are decided here, by products of the 0/1 matrices of the shingles that occur twice.
+    """
+    node, comp, block = (group[c].to_numpy() for c in ("node", "comp", "block"))
+    sets = [np.frombuffer(x, np.uint64) for x in group["items"]]
+    size = np.array([len(x) for x in sets])
+    kinds, which, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(sets)), size), np.flatnonzero(seen > 1)
+    column = np.full(len(kinds), -1)
+    column[shared] = np.arange(len(shared))
+    column = column[which]
+    both, step = np.zeros((len(sets), len(sets)), np.float32), max(1, (8 << 20) // len(sets))
+    for c in range(0, len(shared), step):
+        some = (column >= c) & (column < c + step)
+        held = np.zeros((len(sets), min(step, len(shared) - c)), np.float32)
+        held[owner[some], column[some] - c] = 1
+        both += held @ held.T
+    both = both.astype(np.int64)
+    linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+    if group["i"].iloc[0] != group["j"].iloc[0]:
+        linked &= block[:, None] != block[None, :]
+    linked |= comp[:, None] == comp[None, :]
+    label = np.arange(len(sets))
+    while True:
+        new = np.where(linked, label[None, :], len(sets)).min(1)
+        if (new == label).all():
+            break
+        label = new
+    moved = comp[label] != comp
+    return pd.DataFrame({"a": node[moved], "b": node[label[moved]]})
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,9 +195,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sketches = nodes.select("node", "n", "regs")
     tested = None
 
-    def verified(pairs: DataFrame, sketch_checked: bool) -> DataFrame:
-        if not sketch_checked:
-            pairs = pairs.join(sketches.withColumnRenamed("node", "a"), "a").join(sketches.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("regs").alias("regs2")), "b").mapInArrow(_plausible, "a long, b long")
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(sketches.withColumnRenamed("node", "a"), "a").join(sketches.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("regs").alias("regs2")), "b").mapInArrow(_plausible, "a long, b long")
         both = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("items2")), "b")
         return C.written(both.mapInArrow(_linked, "a long, b long"))
 
@@ -192,13 +208,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = C.written(pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        labels = C.written(components(labels, verified(pairs, False)))
+        labels = C.written(components(labels, verified(pairs)))
     open_ = members.join(labels, "node").withColumn("split", F.min("comp").over(Window.partitionBy("bucket")) != F.max("comp").over(Window.partitionBy("bucket"))).filter("split and k > 2")
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = open_.join(sketches, "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n", "regs")
-    rest = dealt.groupBy("bucket", "i", "j").applyInPandas(_block_pairs, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-    labels = C.written(components(labels, verified(C.written(rest), True)))
+    dealt = open_.join(sets, "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "items")
+    rest = dealt.groupBy("bucket", "i", "j").applyInPandas(_block_links, "a long, b long")
+    labels = C.written(components(labels, C.written(rest.distinct())))
     least = labels.join(nodes.select("node", "id"), "node").withColumn("component", F.min("id").over(Window.partitionBy("comp"))).select("node", "component")
     named = nodes.select("node", "id").join(least, "node", "left").select("node", F.coalesce("component", "id").alias("component"))
     out = sketched.select("id", "tag", "n", "node").join(named, "node", "left").withColumn("component", F.coalesce("component", "id"))
