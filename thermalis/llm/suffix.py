@@ -8,10 +8,12 @@ name is unique. Three facts keep the shuffled positions few:
   first; if that name is unique, all its positions drop out.
 - Segments are named next by all bytes that their windows cover. Where that name repeats, all their
   windows do, and one segment stands for the others from there on.
-- Only segments whose first name repeats under several second names are taken apart. Their
-  positions are named by 100 bytes, dropped if unique, then by the pair of names at offsets 0 and 100.
+- Only segments whose first name repeats under several second names are taken apart. A window
+  holds the 64 bytes and 68 more on their left or on their right; each side is named with the 64
+  bytes and dropped if unique. The positions left over are named by 100 bytes, dropped if unique,
+  then by the pair of names at offsets 0 and 100.
 
-Names are hashes in place of dense ranks, as only equality matters; what decides is 128 bits long.
+Names are hashes in place of dense ranks, as only equality matters; what decides is 96 bits long.
 """
 
 from __future__ import annotations
@@ -29,15 +31,15 @@ from .substring import LAST
 
 #: Length that counts as repeated; bytes of the first name; windows of them in one length; half of the length.
 LENGTH, SEED = 200, 64
-WIDTH, HALF = LENGTH - SEED + 1, LENGTH // 2
+WIDTH, HALF, SIDE = LENGTH - SEED + 1, LENGTH // 2, (LENGTH - SEED) // 2
 
 
 def segments(data: np.ndarray, at: np.ndarray, rolling: C.Rolling) -> tuple[np.ndarray, ...]:
-    """(text, first start, starts, first name) of every segment; starts count in the chunk."""
+    """(text, first start, starts, place of the least hash, first name) of every segment, in the chunk."""
     starts_of = np.maximum(np.diff(at) - LENGTH + 1, 0)
     none = np.empty(0, np.int64)
     if not starts_of.any():
-        return none, none, none, np.empty(0, np.uint64)
+        return none, none, none, none, np.empty(0, np.uint64)
     seeds = rolling.windows(SEED)
     bits = np.uint64(max(1, int(len(seeds)).bit_length()))
     least = (seeds >> bits << bits) | np.arange(len(seeds), dtype=np.uint64)
@@ -52,35 +54,55 @@ def segments(data: np.ndarray, at: np.ndarray, rolling: C.Rolling) -> tuple[np.n
     new = np.ones(len(start), bool)
     new[1:] = place[1:] != place[:-1]
     first = np.flatnonzero(new)
-    return doc[first], start[first], np.diff(np.append(first, len(start))), seeds[place[first]]
+    return doc[first], start[first], np.diff(np.append(first, len(start))), place[first], seeds[place[first]]
 
 
 def _named(batches):
     for b in batches:
         for i, j, data, at in C.chunks(b.column("text")):
             rolling = C.Rolling(C.BYTE_SYMBOLS[data])
-            doc, lo, n, seed = segments(data, at, rolling)
+            doc, lo, n, place, seed = segments(data, at, rolling)
             whole = rolling.slices(lo, lo + n + LENGTH - 1)
             ids, tags = (b.column(c).slice(i, j - i).to_numpy(zero_copy_only=False)[doc] for c in ("id", "tag"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seed.view(np.int64), whole.view(np.int64), ids, tags, (lo - at[doc]).astype(np.int32), n.astype(np.int32))], ["seed", "whole", "id", "tag", "lo", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seed.view(np.int64), whole.view(np.int64), ids, tags, mark(lo - at[doc], n, place - lo))], ["seed", "whole", "id", "tag", "mark"])
 
 
-def _ranges(b: pa.RecordBatch, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, lo, n) of the marks of rows i to j; a mark is lo * 256 + n."""
+def mark(lo: np.ndarray, n: np.ndarray, to_place: np.ndarray) -> np.ndarray:
+    """A segment as one number, in the order of lo."""
+    return lo << 18 | n << 9 | to_place
+
+
+def _marks(b: pa.RecordBatch, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, mark) of rows i to j."""
     lists = b.column("marks").slice(i, j - i)
     count = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.repeat(np.arange(j - i), count), flat >> 8, flat & 255
+    return np.repeat(np.arange(j - i), count), flat
+
+
+def _sides(batches):
+    for b in batches:
+        for i, j, data, at in C.chunks(b.column("text")):
+            doc, marks = _marks(b, i, j)
+            place, rolling = at[doc] + (marks >> 18) + (marks & 511), C.Rolling(C.BYTE_SYMBOLS[data], 3)
+            for side, begin in enumerate((place, place - SIDE)):
+                ok = np.flatnonzero((begin >= at[doc]) & (begin + SEED + SIDE <= at[doc + 1]))
+                ids, tags = (b.column(c).slice(i, j - i).to_numpy(zero_copy_only=False)[doc[ok]] for c in ("id", "tag"))
+                name = C.mixed(rolling.slices(begin[ok], begin[ok] + SEED + SIDE) + np.uint64(side))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name.view(np.int64), ids, tags, marks[ok] * 2 + side)], ["name", "id", "tag", "mark"])
 
 
 def _positions(batches):
     for b in batches:
         for i, j, data, at in C.chunks(b.column("text")):
-            doc, lo, n = _ranges(b, i, j)
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            doc, pos = np.repeat(doc, n), np.repeat(lo, n) + within
+            doc, marks = _marks(b, i, j)
+            left, marks = marks & 1, marks >> 1
+            lo, n, place = marks >> 18, (marks >> 9) & 511, (marks >> 18) + (marks & 511)
+            begin, end = np.where(left, lo, np.maximum(lo, place - SIDE + 1)), np.where(left, np.minimum(lo + n, place - SIDE + 1), lo + n)
+            n = np.maximum(end - begin, 0)
+            doc, pos = np.repeat(doc, n), np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             start, rolling = at[doc] + pos, C.Rolling(C.BYTE_SYMBOLS[data], 2)
-            names = [rolling.slices(start + k, start + k + HALF).view(np.int64) for k in (0, HALF)]
+            names = rolling.slices(start, start + HALF).view(np.int64), (rolling.slices(start + HALF, start + LENGTH) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             ids, tags = (b.column(c).slice(i, j - i).to_numpy(zero_copy_only=False)[doc] for c in ("id", "tag"))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*names, ids, tags, pos.astype(np.int32))], ["a", "b", "id", "tag", "pos"])
 
@@ -88,7 +110,8 @@ def _positions(batches):
 def _removed(batches):
     for b in batches:
         for i, j, data, at in C.chunks(b.column("text")):
-            doc, lo, n = _ranges(b, i, j)
+            doc, marks = _marks(b, i, j)
+            lo, n = marks >> 18, (marks >> 9) & 511
             change = np.zeros(len(data) + 1, np.int64)
             np.add.at(change, at[doc] + lo, 1)
             np.add.at(change, at[doc] + lo + n + LENGTH - 1, -1)
@@ -120,26 +143,31 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     strings are judged on the input and never cross texts. spans: start and end of the removed runs.
     Null and shorter texts lose nothing; rows that repeat in full lose all. Ids are only names: they
     may be null or repeat. An empty table gives no rows; other columns are not looked at. Shuffled:
-    one row for about 69 bytes, by first name; the positions of segments taken apart; the marks of
-    each text; and the texts once, as both later reads use the same exchange.
+    one row for about 69 bytes, by first name; the sides and then the positions of segments taken
+    apart; the marks of each text; and the texts once, as all three reads use the same exchange.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("tag"), F.col(text).alias("text"))
-    named = rows.select("id", "tag", "text").mapInArrow(_named, "seed long, whole long, id long, tag int, lo int, n int")
+    named = rows.select("id", "tag", "text").mapInArrow(_named, "seed long, whole long, id long, tag int, mark long")
     seed, whole = Window.partitionBy("seed"), Window.partitionBy("seed", "whole")
     judged = (
         named.withColumns({"least": F.min("whole").over(seed), "most": F.max("whole").over(seed), "same": F.count(F.lit(1)).over(seed)})
         .filter("same > 1")
-        .withColumns({"equal": F.count(F.lit(1)).over(whole), "nth": F.row_number().over(whole.orderBy("id", "tag", "lo"))})
+        .withColumns({"equal": F.count(F.lit(1)).over(whole), "nth": F.row_number().over(whole.orderBy("id", "tag", "mark"))})
         .withColumns({"repeats": F.col("equal") > 1, "open": (F.col("least") != F.col("most")) & (F.col("nth") == 1)})
         .filter("repeats or open")
     )
-    judged = C.written(judged.select("id", "tag", (F.col("lo").cast("long") * 256 + F.col("n")).alias("mark"), "repeats", "open"))
+    judged = C.written(judged.select("id", "tag", "mark", "repeats", "open"))
     texts = rows.select("doc_id", "id", "tag", "text")
-    opened = judged.filter("open").groupBy("id", "tag").agg(F.collect_set("mark").alias("marks"))
-    positions = texts.join(opened, ["id", "tag"]).select("id", "tag", "text", "marks").mapInArrow(_positions, "a long, b long, id long, tag int, pos int")
+
+    def with_text(marks: DataFrame) -> DataFrame:
+        return texts.join(marks.groupBy("id", "tag").agg(F.collect_set("mark").alias("marks")), ["id", "tag"]).select("id", "tag", "text", "marks")
+
+    sides = with_text(judged.filter("open")).mapInArrow(_sides, "name long, id long, tag int, mark long")
+    apart = sides.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("name"))).filter("k > 1").select("id", "tag", "mark")
+    positions = with_text(apart).mapInArrow(_positions, "a long, b int, id long, tag int, pos int")
     short, full = Window.partitionBy("a"), Window.partitionBy("a", "b")
     doubled = positions.withColumn("k", F.count(F.lit(1)).over(short)).filter("k > 1").withColumn("k", F.count(F.lit(1)).over(full)).filter("k > 1")
-    gone = judged.filter("repeats").select("id", "tag", "mark").union(doubled.select("id", "tag", (F.col("pos").cast("long") * 256 + 1).alias("mark"))).groupBy("id", "tag").agg(F.collect_set("mark").alias("marks"))
+    gone = judged.filter("repeats").select("id", "tag", "mark").union(doubled.select("id", "tag", F.expr("shiftleft(cast(pos as bigint), 18) + 512").alias("mark"))).groupBy("id", "tag").agg(F.collect_set("mark").alias("marks"))
     return texts.join(gone, ["id", "tag"], "left").select("doc_id", "text", "marks").mapInArrow(_removed, f"doc_id {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
