@@ -21,12 +21,15 @@ from . import common as C
 from . import rangecoder
 
 #: Ids of a stream, about; rows that one round of tokenizing takes; words that a worker remembers.
-STREAM, ROUND, REMEMBERED = 1 << 21, 256, 600_000
+STREAM, ROUND, REMEMBERED = 1 << 21, 256, 1_400_000
 END = 0
 #: Texts of these characters are cut into the tokenizer's pieces by the expression below, with the same result.
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e¡-ɏ]*+")
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 PIECES = re.compile(rf" ?[{LETTERS}]++|'(?:s|t|re|ve|m|ll|d)| ?[{DIGITS}]++| ?[^\s{LETTERS}{DIGITS}]++|\s+(?!\S)|\s+")
+#: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for characters from 256 on, in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
 SCHEMA = "part int, seq int, n_tokens long, doc_id {0}, tokens array<int>, stream binary"
 
 
@@ -54,7 +57,8 @@ class Encoder:
         self.flat, self.ends, self.used, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0, 0
 
     def add(self, pieces: list[str]) -> None:
-        lists = [e.ids for e in self.whole.encode_batch(pieces, add_special_tokens=False)]
+        tokenize = self.whole.model.tokenize
+        lists = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(BYTE_CHARACTERS))] for p in pieces]
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         new = np.fromiter(chain.from_iterable(lists), np.int32, int(n.sum()))
         while len(self.flat) < self.used + len(new):
