@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, rules
-from ..operators import ingest, passes, registry, risk, spatial
-from ..tables import table
+from ..operators import events, ingest, model, passes, registry, risk, routing, spatial
+from ..streaming import live
+from ..tables import table, written
+from . import read
 from .views import DETECTIONS, PASS_DETECTIONS, detections, pass_detections, tiers_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -330,3 +332,151 @@ def risk_breakdown_json(spark, sf_dir):
     j = _risk(spark, sf_dir).select("id", risk.breakdown().alias("j"))
     get = lambda p: F.get_json_object("j", p)
     return j.select("id", get("$.hazard.pixels").cast("long").alias("pixels"), get("$.hazard.peak_frp_mw").cast("double").alias("peak"), get("$.hazard.growth").alias("growth"))
+
+
+# Events and read views
+
+
+@query(f"""WITH {DETECTIONS}, d AS (SELECT source, acq_datetime::DATE AS day, epoch_us(min(acq_datetime)) AS t0, epoch_us(max(acq_datetime)) AS t1, count(*) AS n_det, max(frp) AS peak FROM det WHERE frp > 60 GROUP BY ALL),
+f AS (SELECT *, CASE WHEN t0 - lag(t1) OVER (PARTITION BY source ORDER BY day) <= 72 * 3600000000 THEN 0 ELSE 1 END AS new FROM d)
+SELECT source, day, t0, t1, n_det, peak, (sum(new) OVER (PARTITION BY source ORDER BY day ROWS UNBOUNDED PRECEDING))::BIGINT AS run FROM f""")
+def event_runs_72h(spark, sf_dir):
+    return events.source_runs(detections(spark, sf_dir).filter("frp > 60"))
+
+
+@query(f"""WITH {DETECTIONS}, e AS (SELECT source, epoch_us(max(acq_datetime)) AS last, source % 3 = 0 AS alive FROM det WHERE frp > 60 GROUP BY source), g AS (SELECT *, 1706659200000000 - last AS gap FROM e)
+SELECT source, CASE WHEN gap <= 24 * 3600000000 THEN 'active' WHEN alive OR gap <= 72 * 3600000000 THEN 'dormant' ELSE 'closed' END AS status FROM g""")
+def event_status(spark, sf_dir):
+    last = detections(spark, sf_dir).filter("frp > 60").groupBy("source").agg(F.max(passes.micros(F.col("acq_datetime"))).alias("last"))
+    return last.select("source", events.status(F.col("last"), F.lit(1706659200000000), F.col("source") % 3 == 0).alias("status"))
+
+
+@query(f"""{PLACES.replace("1 + detection_id % 3 AS weight", "acq_datetime::DATE AS day")}, e AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON a.day = b.day AND abs(a.x - b.x) <= 750 AND abs(a.y - b.y) <= 750 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 750),
+r AS (SELECT id, id AS comp FROM pts UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.id)
+SELECT id, min(comp) AS comp FROM r GROUP BY id""")
+def day_clusters(spark, sf_dir):
+    pts = detections(spark, sf_dir).filter("detection_id % 4 = 0").select(F.col("detection_id").alias("id"), "x", "y", F.to_date("acq_datetime").alias("day"))
+    pairs = spatial.near_pairs(pts, pts, 750.0).filter("day = r_day").select(F.col("id").alias("a"), F.col("r_id").alias("b"))
+    return spatial.connected_components(pts, pairs)
+
+
+def _fires(spark, sf_dir):
+    det = detections(spark, sf_dir).filter("detection_id % 4 = 0")
+    at_source = F.when(F.col("source") % 10 == 0, F.col("source"))
+    return det.withColumns({"source_id": at_source, "provisional": F.col("source") % 20 == 0, "retired": F.lit(None).cast("long"), "pred_class": F.col("sensor"), "category": F.col("instrument"), "alert": F.when(at_source.isNotNull(), F.when(F.col("source") % 20 == 0, "new_source").otherwise("confirmed"))})
+
+
+@query(None)
+def fire_events_linking(spark, sf_dir):
+    return events.assemble(_fires(spark, sf_dir))
+
+
+@query(None)
+def event_summaries(spark, sf_dir):
+    det = _fires(spark, sf_dir)
+    return events.summarise(events.assemble(det), det, 1706659200000000).drop("x", "y")
+
+
+@query(None)
+def promotion_replay(spark, sf_dir):
+    det = detections(spark, sf_dir).withColumns({"day": F.unix_date(F.to_date("acq_datetime")), "pred_class": F.col("sensor")})
+    return routing.promotions(det.select("detection_id", "x", "y", "day", "instrument", "pred_class"))
+
+
+ROAD_A = """f AS (SELECT (p_partkey * 7919 % 90)::BIGINT AS k, p_partkey AS facility_id, ['oil_gas', 'steel_cement', 'thermal_power', 'mining', 'kiln', 'industrial_other'][(p_partkey % 6 + 1)::INT] AS grp, p_partkey % 6 + 1 AS rank,
+  (3000000 + p_partkey % 15 * 5000 + p_partkey * 7919 % 900)::DOUBLE AS fx, (2000000 + p_partkey // 15 % 10 * 5000 + p_partkey * 104729 % 900)::DOUBLE AS fy FROM part WHERE p_partkey < 600),
+c AS (SELECT *, [0, 10, 20, 40, 50, 60, 70, 80][(detection_id % 8 + 1)::INT] AS landcover FROM det),
+n AS (SELECT detection_id, landcover, rank, facility_id, grp, sqrt(pow(greatest(abs(x - fx) - 60, 0), 2) + pow(greatest(abs(y - fy) - 60, 0), 2)) AS d FROM c JOIN f ON abs(x - fx) <= 2060 AND abs(y - fy) <= 2060),
+b AS (SELECT detection_id, min(rank * 1000000.0 + d) FILTER (WHERE d <= 375 AND (grp <> 'industrial_other' OR d < 1 OR landcover IN (50, 60))) AS best, max((grp = 'mining' AND d <= 2000)::INT) AS mine FROM n GROUP BY detection_id),
+k AS (SELECT c.*, (best // 1000000)::INT AS rank, coalesce(mine, 0) = 1 AS mine FROM c LEFT JOIN b USING (detection_id))"""
+
+
+@query(f"""WITH {DETECTIONS}, {ROAD_A}, o AS (SELECT detection_id, CASE WHEN rank IS NOT NULL THEN ['oil_gas', 'heavy_industry', 'heavy_industry', 'mining', 'kiln', 'industrial'][rank] WHEN landcover = 60 AND mine THEN 'mining' WHEN landcover = 0 THEN 'offshore'
+  WHEN landcover = 10 THEN 'forest' WHEN landcover = 40 THEN 'agricultural' WHEN landcover = 20 THEN 'vegetation' ELSE 'unclassified' END AS pred_class FROM k)
+SELECT detection_id, pred_class, CASE WHEN pred_class IN ('forest', 'agricultural', 'unclassified') THEN pred_class WHEN pred_class = 'vegetation' THEN 'other_natural' ELSE 'industrial' END AS category FROM o""")
+def road_a_rules(spark, sf_dir):
+    det = detections(spark, sf_dir).withColumn("landcover", F.element_at(F.array(*map(F.lit, (0, 10, 20, 40, 50, 60, 70, 80))), (F.col("detection_id") % 8 + 1).cast("int")))
+    p = F.col("p_partkey")
+    x, y = (3_000_000 + p % 15 * 5000 + p * 7919 % 900).cast("double"), (2_000_000 + F.expr("p_partkey div 15") % 10 * 5000 + p * 104729 % 900).cast("double")
+    corner = lambda i, j: F.struct((x + 60 * i).alias("x"), (y + 60 * j).alias("y"))
+    ring = F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1))
+    facilities = table(spark, sf_dir, "part").filter("p_partkey < 600").select(p.alias("facility_id"), F.element_at(F.array(*map(F.lit, rules.GROUP_ORDER)), (p % 6 + 1).cast("int")).alias("group"), ring.alias("ring"))
+    return routing.road_a(det, facilities).select("detection_id", "pred_class", "category")
+
+
+@query(f"""WITH {DETECTIONS} SELECT source, acq_datetime::DATE AS day, max(frp) AS peak, count(*) AS n, count(*) FILTER (WHERE frp > 100) AS n_alerts, count(*) FILTER (WHERE daynight = 'N') AS n_night FROM det GROUP BY source, day""")
+def daily_series(spark, sf_dir):
+    return read.daily(detections(spark, sf_dir).withColumn("alert", F.when(F.col("frp") > 100, "confirmed")), "source")
+
+
+@query(f"WITH {DETECTIONS} SELECT sensor, count(*) AS n, count(*) FILTER (WHERE daynight = 'N') AS night, count(*) FILTER (WHERE frp > 100) AS hot, max(frp) AS peak FROM det GROUP BY sensor")
+def summary(spark, sf_dir):
+    return read.summary(detections(spark, sf_dir))
+
+
+@query(f"WITH {DETECTIONS} SELECT detection_id, source, frp FROM det WHERE daynight = 'N' AND acq_datetime >= TIMESTAMP '2024-01-10' AND acq_datetime < TIMESTAMP '2024-01-21' ORDER BY frp DESC, detection_id LIMIT 50")
+def topk_feed(spark, sf_dir):
+    return read.features(detections(spark, sf_dir), start="2024-01-10", end="2024-01-20", daynight="N", order=[F.desc_nulls_last("frp"), F.asc("detection_id")], limit=50).select("detection_id", "source", "frp")
+
+
+@query(f"""WITH {LATLON}, p AS (SELECT event_type AS sensor, value AS frp, (radians(lon) * 6378137.0 + {read.WORLD}) / {2 * read.WORLD} * 32 AS ax, ({read.WORLD} - ln(tan(radians(lat) / 2 + 0.7853981633974483)) * 6378137.0) / {2 * read.WORLD} * 32 AS ay FROM ll JOIN events ON event_id = id),
+b AS (SELECT *, floor(ax)::INT AS tile_x, floor(ay)::INT AS tile_y, floor((ax - floor(ax)) * 128)::INT AS bin_x, floor((ay - floor(ay)) * 128)::INT AS bin_y FROM p),
+s AS (SELECT tile_x, tile_y, bin_x, bin_y, sensor, count(*) AS k, row_number() OVER (PARTITION BY tile_x, tile_y, bin_x, bin_y ORDER BY count(*) DESC, sensor) AS r FROM b GROUP BY ALL)
+SELECT b.tile_x, b.tile_y, b.bin_x, b.bin_y, count(*) AS n, max(frp) AS peak, count(*) FILTER (WHERE frp > 100) AS alerts, any_value(s.sensor) AS sensor FROM b JOIN s ON s.r = 1 AND s.tile_x = b.tile_x AND s.tile_y = b.tile_y AND s.bin_x = b.bin_x AND s.bin_y = b.bin_y GROUP BY b.tile_x, b.tile_y, b.bin_x, b.bin_y""")
+def tile_bins(spark, sf_dir):
+    at = _latlon(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("sensor"), F.col("value").alias("frp")), "id")
+    return read.tile_bins(at.withColumnsRenamed({"lat": "latitude", "lon": "longitude"}), 5)
+
+
+@query(f"""WITH {PASS_DETECTIONS} SELECT d.detection_id, min(p.session) AS session FROM pdet d JOIN passes p ON p.source = d.source AND p.sensor = d.sensor AND epoch_us(d.acq_datetime) - epoch_us(p.acq_datetime) BETWEEN 0 AND 1200000000 GROUP BY d.detection_id""")
+def interval_pass_join(spark, sf_dir):
+    det = pass_detections(spark, sf_dir)
+    return read.in_passes(det, passes.pass_table(det))
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events WHERE (props->>'$.k')::BIGINT % 7 = 0")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).filter("k % 7 = 0")
+
+
+@query("""WITH p AS (SELECT event_id % 40 AS col, event_id // 40 % 25 AS row, sum(value) AS v FROM events GROUP BY ALL),
+g AS (SELECT a.row, a.col, b.v, (a.row - b.row) * 1.5 AS north, (b.col - a.col) * 1.2 AS east FROM p a JOIN p b ON abs(a.row - b.row) <= 7 AND abs(a.col - b.col) <= 9)
+SELECT row, col, round(coalesce(sum(v) FILTER (WHERE sqrt(north * north + east * east) <= 5), 0), 4) AS disk,
+  round(coalesce(sum(v) FILTER (WHERE sqrt(north * north + east * east) <= 10 AND sqrt(north * north + east * east) > 0.5 AND abs((degrees(atan2(east, north)) - 90 + 540) % 360 - 180) <= 15), 0), 4) AS sector FROM g GROUP BY row, col""")
+def population_kernels(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 40).alias("col"), (F.expr("event_id div 40") % 25).alias("row")).agg(F.sum("value").alias("v"))
+    return risk.kernel_sums(e, 1.5, 1.2, F.lit(92.0)).select("row", "col", F.round("disk", 4).alias("disk"), F.round("sector", 4).alias("sector"))
+
+
+@query(None)
+def source_hulls(spark, sf_dir):
+    return registry.hull(detections(spark, sf_dir).select("source", "x", "y"), "source")
+
+
+@query(None)
+def classifier_cv(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 12).alias("block"), F.element_at(F.array(*map(F.lit, ("mining", "oil_gas", "heavy_industry"))), (F.col("p_size") % 3 + 1).cast("int")).alias("label"), F.col("p_retailprice").alias("frp_med"), (F.col("p_size") % 3 * 2.0 + F.col("p_partkey") % 5).alias("night_share"))
+    return model.cross_validated(rows, ["frp_med", "night_share"], "block", k=3, trees=3).select("p_partkey", "fold", "label", "predicted")
+
+
+# Streams
+
+
+@query("SELECT event_id, epoch_us(ts) AS at_us, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, ts ORDER BY event_id) AS r FROM events) WHERE r = 1")
+def streaming_dedupe(spark, sf_dir):
+    out = live.drained(live.without_repeats(live.stream(spark, sf_dir)))
+    return out.select("event_id", F.unix_micros("ts").alias("at_us"), "user_id", "event_type")
+
+
+@query("SELECT ts::DATE AS day, event_type, count(*) AS n, max(value) AS peak FROM events GROUP BY ALL")
+def streaming_daily(spark, sf_dir):
+    return live.daily_counts(spark, live.stream(spark, sf_dir))
+
+
+@query(tiers_sql(2.0, 0.5).replace("SELECT source, sensor, session, baseline_key, round(z, 4) AS z, round(ratio_p99, 4) AS ratio_p99, breach, extreme,", "SELECT source, sensor, session, epoch_us(acq_datetime) AS at, breach,") + " WHERE known")
+def streaming_tiers(spark, sf_dir):
+    old, new = _history(spark, sf_dir)
+    judged = passes.tiers(passes.scored(new, passes.baselines(old)), z_breach=2.0, p99_breach=0.5).filter("baseline_key is not null")
+    folder = written(judged.select("source", "session", "sensor", passes.micros(F.col("acq_datetime")).alias("at"), "breach", "extreme"))
+    path = folder.inputFiles()[0].rsplit("/", 1)[0]
+    return live.drained(live.chained_alerts(spark.readStream.schema(folder.schema).parquet(path)))
