@@ -64,7 +64,14 @@ def _named(batches):
             doc, lo, n, place, seed = segments(data, at, rolling)
             whole = rolling.slices(lo, lo + n + LENGTH - 1)
             ids, tags = (b.column(c).slice(i, j - i).to_numpy(zero_copy_only=False)[doc] for c in ("id", "tag"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seed.view(np.int64), whole.view(np.int64), ids, tags, mark(lo - at[doc], n, place - lo))], ["seed", "whole", "id", "tag", "mark"])
+            # equal segments of the chunk: the first stands for all, the others are known to repeat and go anywhere
+            order = np.lexsort((whole, seed))
+            new = np.ones(len(order), bool)
+            new[1:] = (whole[order][1:] != whole[order][:-1]) | (seed[order][1:] != seed[order][:-1])
+            stands = np.zeros(len(order), np.int32)
+            stands[order[new]] = np.diff(np.append(np.flatnonzero(new), len(order)))
+            seed = np.where(stands > 0, seed, C.mixed(whole + np.arange(len(order), dtype=np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seed.view(np.int64), whole.view(np.int64), ids, tags, mark(lo - at[doc], n, place - lo), stands)], ["seed", "whole", "id", "tag", "mark", "stands"])
 
 
 def mark(lo: np.ndarray, n: np.ndarray, to_place: np.ndarray) -> np.ndarray:
@@ -143,20 +150,20 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     strings are judged on the input and never cross texts. spans: start and end of the removed runs.
     Null and shorter texts lose nothing; rows that repeat in full lose all. Ids are only names: they
     may be null or repeat. An empty table gives no rows; other columns are not looked at. Shuffled:
-    one row for about 69 bytes, by first name; the sides and then the positions of segments taken
+    one row for about 69 bytes, by first name (equal segments met in one task count as one); the sides and then the positions of segments taken
     apart; the marks of each text; and the texts once, as all three reads use the same exchange.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("tag"), F.col(text).alias("text"))
-    named = rows.select("id", "tag", "text").mapInArrow(_named, "seed long, whole long, id long, tag int, mark long")
+    named = rows.select("id", "tag", "text").mapInArrow(_named, "seed long, whole long, id long, tag int, mark long, stands int")
     seed, whole = Window.partitionBy("seed"), Window.partitionBy("seed", "whole")
     judged = (
-        named.withColumns({"least": F.min("whole").over(seed), "most": F.max("whole").over(seed), "same": F.count(F.lit(1)).over(seed)})
-        .filter("same > 1")
-        .withColumns({"equal": F.count(F.lit(1)).over(whole), "nth": F.row_number().over(whole.orderBy("id", "tag", "mark"))})
-        .withColumns({"repeats": F.col("equal") > 1, "open": (F.col("least") != F.col("most")) & (F.col("nth") == 1)})
+        named.withColumns({"least": F.min("whole").over(seed), "most": F.max("whole").over(seed), "same": F.sum("stands").over(seed)})
+        .filter("same <> 1")
+        .withColumns({"equal": F.sum("stands").over(whole), "nth": F.row_number().over(whole.orderBy("id", "tag", "mark"))})
+        .withColumns({"repeats": F.col("equal") != 1, "open": (F.col("least") != F.col("most")) & (F.col("nth") == 1)})
         .filter("repeats or open")
+        .select("id", "tag", "mark", "repeats", "open")
     )
-    judged = C.written(judged.select("id", "tag", "mark", "repeats", "open"))
     texts = rows.select("doc_id", "id", "tag", "text")
 
     def with_text(marks: DataFrame) -> DataFrame:
