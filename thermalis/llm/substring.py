@@ -44,6 +44,27 @@ def _column(b: pa.RecordBatch, name: str, i: int, j: int) -> np.ndarray:
     return b.column(name).slice(i, j - i).to_numpy(zero_copy_only=False)
 
 
+def _met(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each row: least and greatest id among the rows of its keys here, and whether it is the first of its keys, or of those with the greatest id."""
+    order = np.lexsort((ids, *keys))
+    new = np.zeros(len(order) + 1, bool)
+    new[0] = new[-1] = True
+    for k in keys:
+        new[1:-1] |= k[order][1:] != k[order][:-1]
+    bounds = np.flatnonzero(new)
+    size = np.diff(bounds)
+    low, high, ends = (np.empty(len(order), t) for t in (np.int64, np.int64, bool))
+    low[order], high[order] = np.repeat(ids[order[bounds[:-1]]], size), np.repeat(ids[order[bounds[1:] - 1]], size)
+    ends[:] = False
+    ends[order[bounds[:-1]]] = ends[order[bounds[1:] - 1]] = True
+    return low, high, ends
+
+
+def _apart(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """h, with rows that need no more company sent to places of their own."""
+    return np.where(known, C.mixed(h + np.arange(len(h), dtype=np.uint64)), h).view(np.int64)
+
+
 def _anchors(batches):
     on = np.zeros(PERIOD, bool)
     on[list(COVER)] = True
@@ -56,7 +77,10 @@ def _anchors(batches):
             here = np.flatnonzero(on[pos % PERIOD] & (pos <= n[doc] - ANCHOR) & (n[doc] >= WINDOW))
             h = C.Rolling(symbols).slices(here, here + ANCHOR)
             doc, pos = doc[here], pos[here]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_column(b, "id", i, j)[doc]), pa.array(_place(_column(b, "tag", i, j)[doc], pos))], ["h", "id", "place"])
+            ids = _column(b, "id", i, j)[doc]
+            low, high, ends = _met([h], ids)
+            known = (low < high) & ~ends
+            yield pa.RecordBatch.from_arrays([pa.array(_apart(h, known)), pa.array(ids), pa.array(_place(_column(b, "tag", i, j)[doc], pos)), pa.array(known)], ["h", "id", "place", "known"])
 
 
 def spread(marks: np.ndarray, owner: np.ndarray, first: np.ndarray, before: int, after: int) -> np.ndarray:
@@ -85,7 +109,9 @@ def _windows(batches):
             h = C.Rolling(symbols).slices(here, here + WINDOW)
             check = C.Rolling(C.mixed(symbols + np.uint64(1)), 1).slices(here, here + WINDOW) >> np.uint64(33)
             doc = doc[here]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(check.astype(np.int32)), pa.array(_column(b, "id", i, j)[doc]), pa.array(_place(_column(b, "tag", i, j)[doc], here - first[doc]))], ["h", "h2", "id", "place"])
+            ids = _column(b, "id", i, j)[doc]
+            known = ids > _met([check, h], ids)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(_apart(h, known)), pa.array(check.astype(np.int32)), pa.array(ids), pa.array(_place(_column(b, "tag", i, j)[doc], here - first[doc])), pa.array(known)], ["h", "h2", "id", "place", "known"])
 
 
 def _kept(batches):
@@ -116,17 +142,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     A null id counts as the largest; rows with one id never remove from each other. An empty table
     gives no rows; other columns are not looked at. Four shuffles: anchors (a fifth of the word
     positions) by hash, windows around shared anchors by hash, the marks of each row, and the texts,
-    once, as both later reads use the same exchange. A window's group is never brought into memory:
+    once, as both later reads use the same exchange. What the rows of one task already decide among
+    themselves is not brought together again, so a passage that a third of all rows share does not
+    fill one task. A window's group is never brought into memory:
     its smallest id comes from a sorted, spilling window.
     """
     rows = keyed(docs, key, text)
-    schema = "h long, id long, place long"
+    schema = "h long, id long, place long, known boolean"
     same = Window.partitionBy("h")
-    shared = rows.select("id", "tag", "text").mapInArrow(_anchors, schema).withColumns({"lo": F.min("id").over(same), "hi": F.max("id").over(same)}).filter("lo < hi")
+    shared = rows.select("id", "tag", "text").mapInArrow(_anchors, schema).withColumns({"lo": F.min("id").over(same), "hi": F.max("id").over(same)}).filter("known or lo < hi")
     marked = C.written(by_row(shared.select("id", "place")))
     near = rows.join(marked, ["id", "tag"]).select("id", "tag", "text", "marks")
     equal = Window.partitionBy("h", "h2")
-    repeats = near.mapInArrow(_windows, "h long, h2 int, id long, place long").withColumn("lo", F.min("id").over(equal)).filter("id > lo")
+    repeats = near.mapInArrow(_windows, "h long, h2 int, id long, place long, known boolean").withColumn("lo", F.min("id").over(equal)).filter("known or id > lo")
     gone = by_row(repeats.select("id", "place"))
     return rows.join(gone, ["id", "tag"], "left").select("doc_id", "text", "marks").mapInArrow(_kept, f"doc_id {docs.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept_text string")
 
