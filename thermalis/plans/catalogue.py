@@ -421,7 +421,8 @@ def topk_feed(spark, sf_dir):
 
 @query(f"""WITH {LATLON}, p AS (SELECT event_type AS sensor, value AS frp, (radians(lon) * 6378137.0 + {read.WORLD}) / {2 * read.WORLD} * 32 AS ax, ({read.WORLD} - ln(tan(radians(lat) / 2 + 0.7853981633974483)) * 6378137.0) / {2 * read.WORLD} * 32 AS ay FROM ll JOIN events ON event_id = id),
 b AS (SELECT *, floor(ax)::INT AS tile_x, floor(ay)::INT AS tile_y, floor((ax - floor(ax)) * 128)::INT AS bin_x, floor((ay - floor(ay)) * 128)::INT AS bin_y FROM p),
-s AS (SELECT tile_x, tile_y, bin_x, bin_y, sensor, count(*) AS k, row_number() OVER (PARTITION BY tile_x, tile_y, bin_x, bin_y ORDER BY count(*) DESC, sensor) AS r FROM b GROUP BY ALL)
+k AS (SELECT tile_x, tile_y, bin_x, bin_y, sensor, count(*) AS k FROM b GROUP BY ALL),
+s AS (SELECT *, row_number() OVER (PARTITION BY tile_x, tile_y, bin_x, bin_y ORDER BY k DESC, sensor) AS r FROM k)
 SELECT b.tile_x, b.tile_y, b.bin_x, b.bin_y, count(*) AS n, max(frp) AS peak, count(*) FILTER (WHERE frp > 100) AS alerts, any_value(s.sensor) AS sensor FROM b JOIN s ON s.r = 1 AND s.tile_x = b.tile_x AND s.tile_y = b.tile_y AND s.bin_x = b.bin_x AND s.bin_y = b.bin_y GROUP BY b.tile_x, b.tile_y, b.bin_x, b.bin_y""")
 def tile_bins(spark, sf_dir):
     at = _latlon(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("sensor"), F.col("value").alias("frp")), "id")
