@@ -36,7 +36,7 @@ def written(df: DataFrame) -> DataFrame:
     A lost executor costs its running tasks only.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,10 +8,10 @@ name is unique. Three facts keep the shuffled positions few:
   first; if that name is unique, all its positions drop out.
 - Segments are named next by all bytes that their windows cover. Where that name repeats, all their
   windows do, and one segment stands for the others from there on.
-- Only segments whose first name repeats under several second names are taken apart. A window
-  holds the 64 bytes and 68 more on their left or on their right; each side is named with the 64
-  bytes and dropped if unique. The positions left over are named by 100 bytes, dropped if unique,
-  then by the pair of names at offsets 0 and 100.
+- Only segments whose first name repeats under several second names are taken apart, into four
+  parts by how far their windows start before the 64 bytes. The windows of a part share 166 bytes,
+  which name it, and it drops out if that name is unique. The positions left over are named by 100
+  bytes, dropped if unique, then by the pair of names at offsets 0 and 100.
 
 Names are hashes in place of dense ranks, as only equality matters; what decides is 96 bits long.
 """
@@ -31,7 +31,10 @@ from .substring import LAST
 
 #: Length that counts as repeated; bytes of the first name; windows of them in one length; half of the length.
 LENGTH, SEED = 200, 64
-WIDTH, HALF, SIDE = LENGTH - SEED + 1, LENGTH // 2, (LENGTH - SEED) // 2
+WIDTH, HALF = LENGTH - SEED + 1, LENGTH // 2
+#: Parts of a segment's windows, by how far they start before the 64 bytes; offsets of a part; bytes that a part's windows share.
+PARTS, STEP = 4, 35
+SHARED = LENGTH - STEP + 1
 
 
 def segments(data: np.ndarray, at: np.ndarray, rolling: C.Rolling) -> tuple[np.ndarray, ...]:
@@ -87,25 +90,27 @@ def _marks(b: pa.RecordBatch, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(j - i), count), flat
 
 
-def _sides(batches):
+def _parts(batches):
     for b in batches:
         for i, j, data, at in C.chunks(b.column("text")):
             doc, marks = _marks(b, i, j)
-            place, rolling = at[doc] + (marks >> 18) + (marks & 511), C.Rolling(C.BYTE_SYMBOLS[data], 3)
-            for side, begin in enumerate((place, place - SIDE)):
-                ok = np.flatnonzero((begin >= at[doc]) & (begin + SEED + SIDE <= at[doc + 1]))
+            far, n = marks & 511, (marks >> 9) & 511
+            place, rolling = at[doc] + (marks >> 18) + far, C.Rolling(C.BYTE_SYMBOLS[data], 3)
+            for part in range(PARTS):
+                begin = place - part * STEP
+                ok = np.flatnonzero((begin >= at[doc]) & (begin + SHARED <= at[doc + 1]) & (far >= part * STEP) & (far - n + 1 < (part + 1) * STEP))
                 ids, tags = (b.column(c).slice(i, j - i).to_numpy(zero_copy_only=False)[doc[ok]] for c in ("id", "tag"))
-                name = C.mixed(rolling.slices(begin[ok], begin[ok] + SEED + SIDE) + np.uint64(side))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name.view(np.int64), ids, tags, marks[ok] * 2 + side)], ["name", "id", "tag", "mark"])
+                name = C.mixed(rolling.slices(begin[ok], begin[ok] + SHARED) + np.uint64(part))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name.view(np.int64), ids, tags, marks[ok] * PARTS + part)], ["name", "id", "tag", "mark"])
 
 
 def _positions(batches):
     for b in batches:
         for i, j, data, at in C.chunks(b.column("text")):
             doc, marks = _marks(b, i, j)
-            left, marks = marks & 1, marks >> 1
+            part, marks = marks % PARTS, marks // PARTS
             lo, n, place = marks >> 18, (marks >> 9) & 511, (marks >> 18) + (marks & 511)
-            begin, end = np.where(left, lo, np.maximum(lo, place - SIDE + 1)), np.where(left, np.minimum(lo + n, place - SIDE + 1), lo + n)
+            begin, end = np.maximum(lo, place - (part + 1) * STEP + 1), np.minimum(lo + n, place - part * STEP + 1)
             n = np.maximum(end - begin, 0)
             doc, pos = np.repeat(doc, n), np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             start, rolling = at[doc] + pos, C.Rolling(C.BYTE_SYMBOLS[data], 2)
@@ -150,7 +155,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     strings are judged on the input and never cross texts. spans: start and end of the removed runs.
     Null and shorter texts lose nothing; rows that repeat in full lose all. Ids are only names: they
     may be null or repeat. An empty table gives no rows; other columns are not looked at. Shuffled:
-    one row for about 69 bytes, by first name (equal segments met in one task count as one); the sides and then the positions of segments taken
+    one row for about 69 bytes, by first name (equal segments met in one task count as one); the parts and then the positions of segments taken
     apart; the marks of each text; and the texts once, as all three reads use the same exchange.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("tag"), F.col(text).alias("text"))
@@ -162,15 +167,15 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .withColumns({"equal": F.sum("stands").over(whole), "nth": F.row_number().over(whole.orderBy("id", "tag", "mark"))})
         .withColumns({"repeats": F.col("equal") != 1, "open": (F.col("least") != F.col("most")) & (F.col("nth") == 1)})
         .filter("repeats or open")
-        .select("id", "tag", "mark", "repeats", "open")
     )
+    judged = C.written(judged.select("id", "tag", "mark", "repeats", "open"))
     texts = rows.select("doc_id", "id", "tag", "text")
 
     def with_text(marks: DataFrame) -> DataFrame:
         return texts.join(marks.groupBy("id", "tag").agg(F.collect_set("mark").alias("marks")), ["id", "tag"]).select("id", "tag", "text", "marks")
 
-    sides = with_text(judged.filter("open")).mapInArrow(_sides, "name long, id long, tag int, mark long")
-    apart = sides.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("name"))).filter("k > 1").select("id", "tag", "mark")
+    parts = with_text(judged.filter("open")).mapInArrow(_parts, "name long, id long, tag int, mark long")
+    apart = parts.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("name"))).filter("k > 1").select("id", "tag", "mark")
     positions = with_text(apart).mapInArrow(_positions, "a long, b int, id long, tag int, pos int")
     short, full = Window.partitionBy("a"), Window.partitionBy("a", "b")
     doubled = positions.withColumn("k", F.count(F.lit(1)).over(short)).filter("k > 1").withColumn("k", F.count(F.lit(1)).over(full)).filter("k > 1")
