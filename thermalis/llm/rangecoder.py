@@ -30,7 +30,7 @@ SMALL, KINDS = 8, 11
 LIMIT = (1 << 16) - 1
 TOP, FLOOR, LOW = np.uint64(32), np.uint64(1 << 32), np.uint64((1 << 32) - 1)
 #: By id + 1: the symbol of a literal. By symbol: its low bits, and id + 1 of its first id.
-SYMBOL = (np.maximum(np.frexp(np.arange(LIMIT + 1))[1], SMALL) - SMALL + 2).astype(np.int64)
+SYMBOL = (np.maximum(np.frexp(np.arange(LIMIT + 1))[1], SMALL) - SMALL + 2).astype(np.int8)
 BITS = np.array([0, 0, SMALL, *range(SMALL, 16)], np.int64)
 FIRST = np.array([0, 0, 0, *(1 << b for b in range(SMALL, 16))], np.int64)
 ROW = np.dtype((np.void, 2 * (KINDS + 1)))
@@ -168,16 +168,21 @@ def encode(ids: np.ndarray) -> bytes:
         table[:, c - 1] += table[:, c] >> 16
     coded = (table & 0xFFFF).astype("<u2")[np.arange(width) < words[:, None]].tobytes() if lanes else b""
     # the low bits: one run of bits, block after block
-    lit = np.ascontiguousarray(symbols.T).reshape(-1).astype(np.int64)
+    del kinds, by_step, model
+    lit = np.ascontiguousarray(symbols.T).reshape(-1)
     lit[len(ids) :] = 0
-    bits = BITS[lit]
-    start = np.cumsum(bits) - bits
-    some = np.flatnonzero(bits)
-    value = (padded[some] + 1 - FIRST[lit[some]]) << (start[some] & 15)
-    total = int(bits.sum())
-    halves = [np.bincount((start[some] >> 4) + k, (value >> (16 * k)) & 0xFFFF, total // 16 + 3) for k in (0, 1)]
-    side = (halves[0] + halves[1]).astype("<u2").tobytes()
-    per_block = bits.reshape(lanes, BLOCK).sum(1) if lanes else np.zeros(0, np.int64)
+    bits = BITS.astype(np.int8)[lit]
+    per_block = bits.reshape(lanes, BLOCK).sum(1, dtype=np.int64) if lanes else np.zeros(0, np.int64)
+    side, before = np.zeros(int(per_block.sum()) // 16 + 3), 0
+    for i in range(0, len(bits), 64 * BLOCK):
+        some = i + np.flatnonzero(bits[i : i + 64 * BLOCK])
+        start = before + np.cumsum(bits[some], dtype=np.int64) - bits[some]
+        value = (padded[some] + 1 - FIRST[lit[some]]) << (start & 15)
+        for k in (0, 1) if len(some) else ():
+            at = (start >> 4) + k
+            side[at[0] : at[-1] + 1] += np.bincount(at - at[0], (value >> (16 * k)) & 0xFFFF)
+        before += int(bits[some].sum(dtype=np.int64))
+    side = side.astype("<u2").tobytes()
     plain = padded.astype("<u4")
     crcs = [zlib.crc32(plain[i * BLOCK : i * BLOCK + n]) for i, n in enumerate(sizes)]
     head = np.stack([sizes, words, per_block, np.array(crcs, np.int64)], 1).astype("<u4").tobytes() if lanes else b""

@@ -21,7 +21,7 @@ from . import common as C
 from . import rangecoder
 
 #: Ids of a stream, about; rows that one round of tokenizing takes; words that a worker remembers.
-STREAM, ROUND, REMEMBERED = 1 << 21, 256, 1_400_000
+STREAM, ROUND, REMEMBERED = 1_500_000, 256, 200_000
 END = 0
 #: Texts of these characters are cut into the tokenizer's pieces by the expression below, with the same result.
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e¡-ɏ]*+")
@@ -50,10 +50,6 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.by_piece = "ByteLevel(add_prefix_space=False" in str(self.whole.pre_tokenizer) and "use_regex=True" in str(self.whole.pre_tokenizer) and self.whole.normalizer is None
         self.known: dict[str, int] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.known.clear()
         self.flat, self.ends, self.used, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0, 0
 
     def add(self, pieces: list[str]) -> None:
@@ -74,8 +70,7 @@ class Encoder:
         """All ids, each text followed by END, and the number of each text's ids with END."""
         plain = [self.by_piece and PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
         pieces = [PIECES.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        if self.count > REMEMBERED:
-            self.clear()
+        before = self.count, self.used
         if missing := list(set(chain.from_iterable(pieces)).difference(self.known)):
             self.add(missing)
         n_pieces = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -84,6 +79,10 @@ class Encoder:
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)]
         cuts = upto[np.concatenate([[0], np.cumsum(n_pieces)])]
+        if before[0] >= REMEMBERED:  # those that came first are the frequent ones
+            for p in missing:
+                del self.known[p]
+            self.count, self.used = before
         if all(plain):
             return np.insert(ids, cuts[1:], END), np.diff(cuts) + 1
         end = np.array([END], np.int32)
@@ -110,6 +109,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     ordered = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def streams(batches):
+        pa.default_memory_pool().release_unused()
         part, seq, code = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         keys, sizes, ids, n = [], [], [], 0
 
