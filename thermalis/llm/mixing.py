@@ -69,7 +69,7 @@ def limits(docs: DataFrame, key: str, text: str, source: str, weights, share: fl
     rows = written(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), unit_hash(F.col(key)).alias("hash"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("size")))
     targets = written(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, copies).withColumn("times", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long")).withColumn("budget", F.floor(F.col("target") - F.col("times") * F.col("source_size")).cast("long")))
     numbered = rows.join(targets.select(F.col("source").alias("_s"), "source_no"), F.col("source").eqNullSafe(F.col("_s"))).select("source_no", "hash", "size")
-    return rows, targets.join(thresholds(numbered, targets), "source_no").withColumnRenamed("source", "_s")
+    return rows, written(targets.join(thresholds(numbered, targets), "source_no").withColumnRenamed("source", "_s"))
 
 
 def copies_taken(hash_: Column, copies: int) -> Column:
@@ -98,10 +98,9 @@ def take_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     The join is with one row a source; Spark broadcasts it if it is small, and else shuffles.
     """
     _, per_source = limits(docs, key, text, source, weights, share, copies)
-    names = docs.columns
-    here = docs.withColumns({"_hash": unit_hash(F.col(key)), "_any": F.col(text).rlike(WORDS)})
-    times = F.when(F.coalesce(F.col("_any"), F.lit(False)), copies_taken(F.col("_hash"), copies)).otherwise(0).cast("int")
-    return here.join(per_source, F.col(source).eqNullSafe(F.col("_s"))).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*names)
+    here = docs.select(F.struct("*").alias("_row"), F.col(source).alias("source"), unit_hash(F.col(key)).alias("hash"), F.coalesce(F.col(text).rlike(WORDS), F.lit(False)).alias("_any"))
+    times = F.when(F.col("_any"), copies_taken(F.col("hash"), copies)).otherwise(0).cast("int")
+    return here.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select("_row.*")
 
 
 def op9_mixing(spark, sf_dir):
