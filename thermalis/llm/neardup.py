@@ -225,8 +225,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, with their columns, that stay: one id of each group. Rows equal in id and text stay or go together."""
     found = near_duplicates(docs).filter("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("tag").alias("_tag")).distinct()
-    on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == F.col("_id")) & (F.shiftright(F.xxhash64(docs["text"]), 32).cast("int") == F.col("_tag"))
-    return docs.join(found, on, "left_semi")
+    here = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.shiftright(F.xxhash64("text"), 32).cast("int").alias("_tag"))
+    return here.join(found, ["_id", "_tag"], "left_semi").select("_row.*")
 
 
 def op10_minhash_setsketch(spark, sf_dir):

@@ -50,21 +50,19 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
     bounded) and of the rows for numbering; the text is dropped before by column pruning where
     the caller does not select it.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    sized = docs.withColumns({"size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(body.cast("binary"))})
+    new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    body, own = F.coalesce(F.col(text), F.lit("")), [c for c in docs.columns if c not in new]
     k = F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long"))
     _, low = _advance(F.shiftrightunsigned(k, 32), k.bitwiseAND(LOW32))
-    placed = (
-        sized.withColumn("_w", jump_walk(F.col(key), shards))
-        .withColumns({"law": F.lit("key"), "shard": F.col("_w.shard"), "grown_shard": F.col("_w.grown"), "_b": F.shiftright(low, 23).cast("int"), "_s": (F.col("text_crc32") % SLICES).cast("int")})
-        .drop("_w")
-    )
-    counts = placed.groupBy("shard", "_b", "_s").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_b", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    within = Window.partitionBy("shard", "_b", "_s").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
-    numbered = placed.withColumn("_r", F.row_number().over(within))
-    return numbered.join(F.broadcast(offsets), ["shard", "_b", "_s"]).withColumn("slot", (F.col("_o") + F.col("_r") - 1).cast("long")).drop("_b", "_s", "_o", "_r")
+    sized = docs.select(F.struct(*own).alias("row"), F.col(key).alias("key"), F.octet_length(body).cast("long").alias("n"), F.crc32(body.cast("binary")).alias("text_crc32"), jump_walk(F.col(key), shards).alias("w"), F.shiftright(low, 23).cast("int").alias("bucket"))
+    placed = sized.select("row", "key", (F.col("n") + 1).alias("size"), "text_crc32", F.lit("key").alias("law"), "w.shard", F.col("w.grown").alias("grown_shard"), "bucket", (F.col("text_crc32") % SLICES).cast("int").alias("slice"))
+    group = ["shard", "bucket", "slice"]
+    counts = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("count"))
+    before = Window.partitionBy("shard").orderBy("bucket", "slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy(*group).orderBy(F.asc_nulls_first("key"), "text_crc32", "size")
+    numbered = placed.withColumn("nth", F.row_number().over(within)).join(F.broadcast(offsets), group)
+    return numbered.withColumn("slot", (F.col("offset") + F.col("nth") - 1).cast("long")).select(*[F.col("row")[c].alias(c) for c in own], *new)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, **names: str) -> None:
