@@ -22,12 +22,14 @@ import zlib
 
 import numpy as np
 
-MAGIC, HEAD, BLOCK = b"TIDS1", "<QI", 2048
+MAGIC, HEAD, BLOCK = b"TIDS1", "<QI", 512
 #: Slots of the two contexts; bits of a table's distribution and of a mix; adaptation rate; ids between changes of weight.
-ORDER1_BITS, ORDER2_BITS, PRECISION, MIXED, RATE, MIX = 10, 11, 12, 15, 5, 32
+ORDER1_BITS, ORDER2_BITS, PRECISION, MIXED, RATE, MIX = 8, 9, 12, 15, 5, 32
 #: Magnitudes: ids below 255, then by powers of two up to 2**16 - 2. Symbols: two predictions and the magnitudes.
 SMALL, KINDS = 8, 11
 LIMIT = (1 << 16) - 1
+#: Ids whose low bits are packed at a time.
+STEP = 1 << 17
 TOP, FLOOR, LOW = np.uint64(32), np.uint64(1 << 32), np.uint64((1 << 32) - 1)
 #: By id + 1: the symbol of a literal. By symbol: its low bits, and id + 1 of its first id.
 SYMBOL = (np.maximum(np.frexp(np.arange(LIMIT + 1))[1], SMALL) - SMALL + 2).astype(np.int8)
@@ -174,8 +176,8 @@ def encode(ids: np.ndarray) -> bytes:
     bits = BITS.astype(np.int8)[lit]
     per_block = bits.reshape(lanes, BLOCK).sum(1, dtype=np.int64) if lanes else np.zeros(0, np.int64)
     side, before = np.zeros(int(per_block.sum()) // 16 + 3), 0
-    for i in range(0, len(bits), 64 * BLOCK):
-        some = i + np.flatnonzero(bits[i : i + 64 * BLOCK])
+    for i in range(0, len(bits), STEP):
+        some = i + np.flatnonzero(bits[i : i + STEP])
         start = before + np.cumsum(bits[some], dtype=np.int64) - bits[some]
         value = (padded[some] + 1 - FIRST[lit[some]]) << (start & 15)
         for k in (0, 1) if len(some) else ():

@@ -7,7 +7,6 @@ the documents. The table lies in Spark's own storage, which every executor reach
 
 from __future__ import annotations
 
-import re
 import zlib
 from itertools import chain
 
@@ -20,25 +19,71 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import rangecoder
 
-#: Ids of a stream, about; rows that one round of tokenizing takes; words that a worker remembers.
-STREAM, ROUND, REMEMBERED = 1_500_000, 256, 200_000
+#: Ids of a stream, about; bytes of text that one round of tokenizing takes; pieces that a worker remembers, and slots for them.
+STREAM, ROUND_BYTES, REMEMBERED, TABLE_BITS = 1_500_000, 1 << 20, 900_000, 21
 END = 0
-#: Texts of these characters are cut into the tokenizer's pieces by the expression below, with the same result.
-PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e¡-ɏ]*+")
-LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-PIECES = re.compile(rf" ?[{LETTERS}]++|'(?:s|t|re|ve|m|ll|d)| ?[{DIGITS}]++| ?[^\s{LETTERS}{DIGITS}]++|\s+(?!\S)|\s+")
+#: Kinds of bytes: a two-byte letter's bytes are letters both; U+0080 to U+00BF are told apart by their second byte.
+SPACE, LETTER, DIGIT, OTHER = range(4)
+KIND = np.full(256, OTHER, np.int8)
+KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
+KIND[48:58] = DIGIT
+KIND[C.SPACE] = SPACE
+KIND_C2 = np.full(256, OTHER, np.int8)
+KIND_C2[[0xAA, 0xB5, 0xBA]] = LETTER
+KIND_C2[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = DIGIT
+#: Bytes of texts that are not plain: controls, apostrophes, and the first bytes of characters from U+0280 on.
+ODD = np.zeros(256, bool)
+ODD[[*range(9), *range(14, 32), 127, ord("'"), *range(0xCA, 256)]] = True
 #: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for characters from 256 on, in order.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARACTERS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
 SCHEMA = "part int, seq int, n_tokens long, doc_id {0}, tokens array<int>, stream binary"
 
 
+class Known:
+    """Pieces by their 64-bit hash (length included) in an open-addressing table of arrays: hash to number, or -1."""
+
+    def __init__(self):
+        self.keys, self.numbers, self.mask = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int32), (1 << TABLE_BITS) - 1
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        slot = self._slots(h)
+        key = self.keys.take(slot)
+        out = np.where(key == h, self.numbers.take(slot), -1)
+        open_ = np.flatnonzero((key != h) & (key != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            key = self.keys.take(slot[open_])
+            hit = key == h[open_]
+            out[open_[hit]] = self.numbers.take(slot[open_[hit]])
+            open_ = open_[~hit & (key != 0)]
+        return out
+
+    def put(self, h: np.ndarray, first: int) -> None:
+        """Distinct new hashes, numbered from `first`."""
+        slot, left = self._slots(h), np.arange(len(h))
+        while len(left):
+            free = left[self.keys.take(slot[left]) == 0]
+            _, one = np.unique(slot[free], return_index=True)
+            placed = free[one]
+            self.keys[slot[placed]], self.numbers[slot[placed]] = h[placed], first + placed
+            waiting = np.ones(len(h), bool)
+            waiting[placed] = False
+            left = left[waiting[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+
+
 class Encoder:
     """Whole texts to ids with the tokenizers library, each distinct piece of text being encoded once.
 
-    Pieces are what the tokenizer's own first step makes; it encodes each by itself, so a text's
-    ids are its pieces' ids. Texts with other characters, or with a special token's mark, and
-    tokenizers of another first step, go through the library whole.
+    Pieces are what the tokenizer's own first step makes of a text: a run of letters, of digits or of
+    other marks with a space before it, or white space. They are cut and looked up as arrays; the
+    library's model encodes a piece when it is new. Texts with characters beyond Latin, apostrophes
+    (which start contractions) or a special token's mark, and tokenizers of another first step, go
+    through the library whole.
     """
 
     def __init__(self, path: str):
@@ -49,12 +94,12 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.by_piece = "ByteLevel(add_prefix_space=False" in str(self.whole.pre_tokenizer) and "use_regex=True" in str(self.whole.pre_tokenizer) and self.whole.normalizer is None
-        self.known: dict[str, int] = {}
-        self.flat, self.ends, self.used, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0, 0
+        self.known, self.count, self.used = Known(), 0, 0
+        self.flat, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
 
-    def add(self, pieces: list[str]) -> None:
+    def add(self, pieces: list[bytes]) -> None:
         tokenize = self.whole.model.tokenize
-        lists = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(BYTE_CHARACTERS))] for p in pieces]
+        lists = [[t.id for t in tokenize(p.decode("latin-1").translate(BYTE_CHARACTERS))] for p in pieces]
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         new = np.fromiter(chain.from_iterable(lists), np.int32, int(n.sum()))
         while len(self.flat) < self.used + len(new):
@@ -63,31 +108,65 @@ class Encoder:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.flat[self.used : self.used + len(new)] = new
         self.ends[self.count + 1 : self.count + len(n) + 1] = self.used + np.cumsum(n)
-        self.known.update(zip(pieces, range(self.count, self.count + len(n)), strict=True))
         self.used, self.count = self.used + len(new), self.count + len(n)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by END, and the number of each text's ids with END."""
-        plain = [self.by_piece and PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
-        pieces = [PIECES.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
+        data, at = C.utf8(column)
+        odd = ODD[data]
+        odd[:-1] |= ((data[:-1] == 0xC2) & (data[1:] <= 0xA0)) | ((data[:-1] == 0xC9) & (data[1:] >= 0x90)) | ((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        sums = np.concatenate([[0], np.cumsum(odd)])
+        plain = (sums[at[1:]] == sums[at[:-1]]) & self.by_piece
+        starts, ends = pieces(data, at)
+        h = np.maximum(C.Rolling(C.BYTE_SYMBOLS[data]).slices(starts, ends), np.uint64(1))
+        number = self.known.find(h)
         before = self.count, self.used
-        if missing := list(set(chain.from_iterable(pieces)).difference(self.known)):
-            self.add(missing)
-        n_pieces = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(pieces)), np.int64, int(n_pieces.sum()))
-        begin, size = self.ends[index], self.ends[index + 1] - self.ends[index]
+        doc_odd = np.repeat(~plain, np.diff(np.searchsorted(starts, at)))
+        number[doc_odd] = 0
+        missing = np.flatnonzero((number < 0) & ~doc_odd)
+        if len(missing):
+            new, where, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            self.add([raw[s:e] for s, e in zip(starts[missing[where]].tolist(), ends[missing[where]].tolist(), strict=True)])
+            number[missing] = before[0] + back
+            if before[0] < REMEMBERED:
+                self.known.put(new, before[0])
+        size = np.where(doc_odd, 0, self.ends[number + 1] - self.ends[number])
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)]
-        cuts = upto[np.concatenate([[0], np.cumsum(n_pieces)])]
-        if before[0] >= REMEMBERED:  # those that came first are the frequent ones
-            for p in missing:
-                del self.known[p]
+        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.ends[number] - upto[:-1], size)]
+        cuts = upto[np.searchsorted(starts, at)]
+        if len(missing) and before[0] >= REMEMBERED:  # those that came first are the frequent ones
             self.count, self.used = before
-        if all(plain):
+        if plain.all():
             return np.insert(ids, cuts[1:], END), np.diff(cuts) + 1
-        end = np.array([END], np.int32)
-        parts = [ids[cuts[i] : cuts[i + 1]] if p else np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int32) for i, (t, p) in enumerate(zip(texts, plain, strict=True))]
-        return np.concatenate([x for p in parts for x in (p, end)]), np.array([len(p) + 1 for p in parts])
+        parts = [ids[cuts[i] : cuts[i + 1]] if p else np.array(self.whole.encode(column[i].as_py() or "", add_special_tokens=False).ids, np.int32) for i, p in enumerate(plain)]
+        return np.concatenate([x for p in parts for x in (p, [END])]).astype(np.int32), np.array([len(p) + 1 for p in parts])
+
+
+def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of plain texts; pieces end with their text.
+
+    White space before something else leaves its last character to what follows, if that is a
+    blank, or else as a piece of its own.
+    """
+    n = len(data)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    kind = KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC2)
+    kind[lead] = kind[lead + 1] = KIND_C2[data[lead + 1]]
+    lead = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    kind[lead] = kind[lead + 1] = OTHER
+    cut = np.ones(n, bool)
+    cut[1:] = kind[1:] != kind[:-1]
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    cut |= edge[:n]
+    end = np.flatnonzero(cut[1:] & (kind[:-1] == SPACE) & ~edge[1:n]) + 1
+    cut[end - 1] = True
+    cut[end[data[end - 1] == 0x20]] = False
+    starts = np.flatnonzero(cut)
+    return starts, np.append(starts[1:], n)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -120,9 +199,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
             return pa.RecordBatch.from_arrays([*plain, *lists, pa.array([coded], pa.binary())], ["part", "seq", "n_tokens", "doc_id", "tokens", "stream"])
 
         for b in batches:
-            for i in range(0, b.num_rows, ROUND):
-                one = b.slice(i, ROUND)
-                new, lens = code.encode(one.column("text").to_pylist())
+            for i, j, _, _ in C.chunks(b.column("text"), ROUND_BYTES):
+                one = b.slice(i, j - i)
+                new, lens = code.encode(one.column("text"))
                 keys.append(one.column("doc_id")), sizes.append(lens), ids.append(new)
                 n += len(new)
                 if n >= STREAM:
