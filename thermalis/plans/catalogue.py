@@ -11,7 +11,7 @@ from ..functions import geo, rules
 from ..operators import events, ingest, model, passes, registry, risk, routing, spatial
 from ..streaming import live
 from ..tables import table, written
-from . import read
+from . import build, fixture, read
 from .views import DETECTIONS, PASS_DETECTIONS, detections, pass_detections, tiers_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -481,3 +481,16 @@ def streaming_tiers(spark, sf_dir):
     folder = written(judged.select("source", "session", "sensor", passes.micros(F.col("acq_datetime")).alias("at"), "breach", "extreme"))
     path = folder.inputFiles()[0].rsplit("/", 1)[0]
     return live.drained(live.chained_alerts(spark.readStream.schema(folder.schema).parquet(path)))
+
+
+# The made-up world
+
+
+@query(None)
+def replay_fixture(spark, sf_dir):
+    """Passes of the second June to October judged by a registry of what came before."""
+    det = written(fixture.world(spark))
+    cut, end = F.lit("2023-06-01").cast("timestamp"), F.lit("2023-10-15").cast("timestamp")
+    reg = build.build_registry(det.filter(F.col("acq_datetime") < cut), years=2)
+    window = det.filter((F.col("acq_datetime") >= cut) & (F.col("acq_datetime") < end))
+    return build.judge(window, reg["cells"], reg["baselines"], 7.0, 3.0).select("source", "sensor", "acq_datetime", "frp", "baseline_key", "breach", "extreme", "alert", "reason")
