@@ -172,7 +172,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     texts = rows.select("doc_id", "id", "tag", "text")
 
     def with_text(marks: DataFrame) -> DataFrame:
-        return texts.join(marks.groupBy("id", "tag").agg(F.collect_set("mark").alias("marks")), ["id", "tag"]).select("id", "tag", "text", "marks")
+        return texts.join(marks.groupBy("id", "tag").agg(F.collect_set("mark").alias("marks")), ["id", "tag"]).select("doc_id", "id", "tag", "text", "marks")  # doc_id stays, so that the exchange is the one that the last join reads
 
     parts = with_text(judged.filter("open")).mapInArrow(_parts, "name long, id long, tag int, mark long")
     apart = parts.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("name"))).filter("k > 1").select("id", "tag", "mark")
