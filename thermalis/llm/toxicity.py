@@ -49,15 +49,15 @@ def _featured(batches):
     for b in batches:
         for i, j, data, at in C.chunks(b.column("text")):
             words, ends = word_sets(data, at)
-            yield pa.RecordBatch.from_arrays([b.column("bag").slice(i, j - i), b.column("positive").slice(i, j - i), pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(words))], ["bag", "positive", "words"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("bag", "positive", "copy")), pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(words))], ["bag", "positive", "copy", "words"])
 
 
-def train(words: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights of the words and a bias, by Adam on the non-negative risk with the logistic loss."""
+def train(words: list[np.ndarray], positive: np.ndarray, copy: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Weights of the words and a bias, by Adam on the non-negative risk with the logistic loss. copy: a hash of each text, equal for copies."""
     lens = np.array([len(w) for w in words], np.int64)
     flat, row = (np.concatenate(words) if len(words) else np.empty(0, np.int32)), np.repeat(np.arange(len(words), dtype=np.int32), lens)
     size = 1 << WORD_BITS
-    kinds = {w.tobytes(): i for i, w in enumerate(words) if positive[i]}  # copies of a text count once here
+    kinds = {c: i for i, c in enumerate(copy.tolist()) if positive[i]}  # copies of a text count once here
     once = np.zeros(len(words), bool)
     once[list(kinds.values())] = True
     df = np.bincount(flat[once[row]], minlength=size)
@@ -107,12 +107,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.nd
     bag = F.pmod(F.xxhash64("doc_id", F.lit(SALT + 1)), F.lit(BAGS)).cast("int").alias("bag")
     ids = known.filter((F.col(label) == 1) & share(POSITIVES, ones)).select("doc_id").distinct()
     plain = docs.select("doc_id", "text").filter(~C.held_out(F.col("doc_id")))
-    positives = plain.join(F.broadcast(ids), "doc_id", "left_semi").select(F.explode(F.sequence(F.lit(0), F.lit(BAGS - 1))).alias("bag"), F.lit(True).alias("positive"), "text")
-    unlabelled = plain.filter(share(UNLABELLED, docs.count())).select(bag, F.lit(False).alias("positive"), "text")
-    rows = positives.union(unlabelled).mapInArrow(_featured, "bag int, positive boolean, words array<int>")
+    positives = plain.join(F.broadcast(ids), "doc_id", "left_semi").select(F.explode(F.sequence(F.lit(0), F.lit(BAGS - 1))).alias("bag"), F.lit(True).alias("positive"), F.xxhash64("text").alias("copy"), "text")
+    unlabelled = plain.filter(share(UNLABELLED, docs.count())).select(bag, F.lit(False).alias("positive"), F.xxhash64("text").alias("copy"), "text")
+    rows = positives.union(unlabelled).mapInArrow(_featured, "bag int, positive boolean, copy long, words array<int>")
 
     def one(bag: pd.DataFrame) -> pd.DataFrame:
-        w, b = train([np.asarray(x) for x in bag["words"]], bag["positive"].to_numpy(bool), prior)
+        w, b = train([np.asarray(x, np.int32) for x in bag["words"]], bag["positive"].to_numpy(bool), bag["copy"].to_numpy(), prior)
         at = np.flatnonzero(w)
         return pd.DataFrame({"at": [at.astype(np.int32)], "w": [w[at]], "b": [b]})
 
@@ -120,6 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.nd
     for r in rows.groupBy("bag").applyInPandas(one, "at array<int>, w array<double>, b double").collect():  # BAGS rows of at most 2**WORD_BITS weights
         weights[np.array(r["at"], int)] += r["w"]
         bias, bags = bias + r["b"], bags + 1
+    if not bags:  # no documents
+        return weights, np.log(prior / (1 - prior))
     return weights / bags, bias / bags
 
 
