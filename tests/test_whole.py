@@ -1,0 +1,13 @@
+"""Queries without SQL over every row of their tables."""
+
+import duckdb
+
+from thermalis.plans.catalogue import QUERIES
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_every_detection_is_in_one_event(spark):
+    want = sorted(r[0] for r in duckdb.sql(f"SELECT event_id FROM '{DATA}/events.parquet'").fetchall())
+    assert sorted(r["detection_id"] for r in QUERIES["fire_events_linking"](spark, DATA).collect()) == want
+    assert sum(r["n_detections"] for r in QUERIES["event_summaries"](spark, DATA).collect()) == len(want)
