@@ -11,3 +11,16 @@ def test_every_detection_is_in_one_event(spark):
     want = sorted(r[0] for r in duckdb.sql(f"SELECT event_id FROM '{DATA}/events.parquet'").fetchall())
     assert sorted(r["detection_id"] for r in QUERIES["fire_events_linking"](spark, DATA).collect()) == want
     assert sum(r["n_detections"] for r in QUERIES["event_summaries"](spark, DATA).collect()) == len(want)
+
+
+def test_ids_are_matched_over_all_labels(spark):
+    data = DATA.replace("sf0.001", "sf0.01")
+    line = f"'{data}/lineitem.parquet'"
+    shared = duckdb.sql(f"SELECT l_partkey, l_suppkey, count(*) AS n FROM (SELECT DISTINCT l_partkey, l_orderkey FROM {line}) JOIN (SELECT DISTINCT l_suppkey, l_orderkey FROM {line}) USING (l_orderkey) GROUP BY ALL ORDER BY n DESC, l_partkey, l_suppkey").fetchall()
+    want, used = {}, set()
+    for label, old, _ in shared:
+        if label not in want and old not in used:
+            want[label] = old
+            used.add(old)
+    assert max(want) >= 500
+    assert {r["label"]: r["old_id"] for r in QUERIES["id_matching"](spark, data).collect()} == want

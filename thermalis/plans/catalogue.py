@@ -142,14 +142,18 @@ def fingerprint_core(spark, sf_dir):
 
 @query("SELECT l_partkey AS label, l_suppkey AS old_id, count(*) AS n FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_partkey < 500) JOIN (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) USING (l_orderkey) GROUP BY ALL")
 def id_overlaps(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem")
-    new = line.filter("l_partkey < 500").select(F.col("l_orderkey").alias("cell"), F.col("l_partkey").alias("label")).distinct()
-    return registry.overlaps(new, line.select(F.col("l_orderkey").alias("cell"), F.col("l_suppkey").alias("old_id")).distinct())
+    return _overlaps(table(spark, sf_dir, "lineitem").filter("l_partkey < 500"), table(spark, sf_dir, "lineitem"))
+
+
+def _overlaps(new, old):
+    cell = F.col("l_orderkey").alias("cell")
+    return registry.overlaps(new.select(cell, F.col("l_partkey").alias("label")).distinct(), old.select(cell, F.col("l_suppkey").alias("old_id")).distinct())
 
 
 @query(None)
 def id_matching(spark, sf_dir):
-    return registry.match_ids(id_overlaps(spark, sf_dir))
+    line = table(spark, sf_dir, "lineitem")
+    return registry.match_ids(_overlaps(line, line))
 
 
 @query("""WITH n AS (SELECT l_suppkey AS source, l_partkey % 7 AS landcover, count(*) AS n FROM lineitem GROUP BY ALL)
