@@ -6,12 +6,13 @@ Within a bucket, members are compared with one centre; after a few such rounds n
 lie in one component. The rest is decided exactly in blocks, which give one row a member, never one
 a pair. So a group of k copies costs about k comparisons, and yet no linked pair that shares a bucket
 is left undecided: a pair is passed over only if it is in one component already. At similarity 0.85 a pair shares no bucket
-with probability (1 - 0.85**4)**32, about 6e-11.
+with probability (1 - 0.85**4)**32, about 6e-11; at 0.8, about 5e-8.
 """
 
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SHINGLE, PERCENT = 5, 85
+SHINGLE = 5
+#: Similarity in per cent that links, unless another is asked for.
+PERCENT = 85
 #: Registers, registers of a band, base of the truncation, offset of the register values.
 REGISTERS, BAND, BASE, ZERO = 128, 4, 1.02, 200
 #: A pair is dropped unverified when its likelihood estimate lies this many standard deviations below the threshold.
@@ -88,10 +91,10 @@ def estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, at
     return up * np.log(np.maximum(high, tiny)) + down * np.log(np.maximum(low, tiny)) + (a.shape[1] - up - down) * np.log(np.maximum(1 - high - low, tiny))
 
 
-def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     """Whether the sizes allow the threshold, and the maximum-likelihood estimate is not DOUBT deviations below it."""
-    t = PERCENT / 100
-    ok = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
+    t = percent / 100
+    ok = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
     grid = np.linspace(0.02, 1, 50)
     if ok.any():
         best = grid[estimates(a[ok], b[ok], n_a[ok].astype(float), n_b[ok].astype(float), grid).argmax(1)]
@@ -103,19 +106,19 @@ def _regs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(C.utf8(column)[0].tobytes(), np.uint16).reshape(-1, REGISTERS)
 
 
-def _plausible(batches):
+def _plausible(batches, percent):
     for b in batches:
         if b.num_rows:
-            yield b.filter(pa.array(plausible(_regs(b.column("regs")), _regs(b.column("regs2")), b.column("n").to_numpy(), b.column("n2").to_numpy()))).select(["a", "b"])
+            yield b.filter(pa.array(plausible(_regs(b.column("regs")), _regs(b.column("regs2")), b.column("n").to_numpy(), b.column("n2").to_numpy(), percent))).select(["a", "b"])
 
 
-def _linked(batches):
+def _linked(batches, percent):
     for b in batches:
         ok = []
         for s, t in zip(b.column("items").to_pylist(), b.column("items2").to_pylist(), strict=True):
             s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
             both = len(np.intersect1d(s, t, assume_unique=True))
-            ok.append(100 * both >= PERCENT * (len(s) + len(t) - both))
+            ok.append(100 * both >= percent * (len(s) + len(t) - both))
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -140,7 +143,7 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return labels.join(at, labels["comp"] == at["k"], "left").select("node", F.coalesce("to", "comp").alias("comp"))
 
 
-def _block_links(group: pd.DataFrame) -> pd.DataFrame:
+def _block_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Which members of one pair of blocks hang together by exact links: each with the first of its kind, so at most one row a member.
 
     All pairs are decided here, by products of the 0/1 matrices of the shingles that occur twice.
@@ -160,7 +163,7 @@ def _block_links(group: pd.DataFrame) -> pd.DataFrame:
         held[owner[some], column[some] - c] = 1
         both += held @ held.T
     both = both.astype(np.int64)
-    linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
     if group["i"].iloc[0] != group["j"].iloc[0]:
         linked &= block[:, None] != block[None, :]
     linked |= comp[:, None] == comp[None, :]
@@ -174,10 +177,10 @@ def _block_links(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": node[moved], "b": node[label[moved]]})
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, tag, n_shingles, component_id, kept) of every row.
 
-    component_id is the least id that is reachable over links of similarity 0.85 or more (exact, on
+    component_id is the least id that is reachable over links of similarity `percent` or more (exact, on
     full sets); kept: whether it is the row's own. Rows without words link with nothing. A null id
     counts as the largest, and as a component id is null; rows with one id and equal sets are all
     kept or all not. tag is a hash of the text. An empty table gives no rows.
@@ -196,9 +199,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     tested = None
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sketches.withColumnRenamed("node", "a"), "a").join(sketches.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("regs").alias("regs2")), "b").mapInArrow(_plausible, "a long, b long")
+        pairs = pairs.join(sketches.withColumnRenamed("node", "a"), "a").join(sketches.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("regs").alias("regs2")), "b").mapInArrow(partial(_plausible, percent=percent), "a long, b long")
         both = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("items2")), "b")
-        return C.written(both.mapInArrow(_linked, "a long, b long"))
+        return C.written(both.mapInArrow(partial(_linked, percent=percent), "a long, b long"))
 
     for round_ in range(ROUNDS):
         in_bucket = members.select("bucket", "node").join(labels, "node")
@@ -213,7 +216,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = open_.join(sets, "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "items")
-    rest = dealt.groupBy("bucket", "i", "j").applyInPandas(_block_links, "a long, b long")
+    rest = dealt.groupBy("bucket", "i", "j").applyInPandas(lambda group: _block_links(group, percent), "a long, b long")
     labels = C.written(components(labels, C.written(rest.distinct())))
     least = labels.join(nodes.select("node", "id"), "node").withColumn("component", F.min("id").over(Window.partitionBy("comp"))).select("node", "component")
     named = nodes.select("node", "id").join(least, "node", "left").select("node", F.coalesce("component", "id").alias("component"))
@@ -222,9 +225,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select(null("id").alias("doc_id"), "tag", F.col("n").alias("n_shingles"), null("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, that stay: one id of each group. Rows equal in id and text stay or go together."""
-    found = near_duplicates(docs).filter("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("tag").alias("_tag")).distinct()
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with their columns, that stay: one id of each group at that similarity. Rows equal in id and text stay or go together."""
+    found = near_duplicates(docs, percent=percent).filter("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("tag").alias("_tag")).distinct()
     here = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.shiftright(F.xxhash64("text"), 32).cast("int").alias("_tag"))
     return here.join(found, ["_id", "_tag"], "left_semi").select("_row.*")
 
