@@ -461,7 +461,7 @@ def source_hulls(spark, sf_dir):
 @query(None)
 def classifier_cv(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 12).alias("block"), F.element_at(F.array(*map(F.lit, ("mining", "oil_gas", "heavy_industry"))), (F.col("p_size") % 3 + 1).cast("int")).alias("label"), F.col("p_retailprice").alias("frp_med"), (F.col("p_size") % 3 * 2.0 + F.col("p_partkey") % 5).alias("night_share"))
-    return model.cross_validated(rows, ["frp_med", "night_share"], "block", k=3, trees=3).select("p_partkey", "fold", "label", "predicted")
+    return model.cross_validated(rows, ["frp_med", "night_share"], "block").select("p_partkey", "fold", "label", "predicted")
 
 
 # Streams
