@@ -185,8 +185,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     counts as the largest, and as a component id is null; rows with one id and equal sets are all
     kept or all not. tag is a hash of the text. An empty table gives no rows.
     """
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("tag"), F.col(text).alias("text"))
-    sketched = C.written(rows.mapInArrow(_sketched, "id long, tag int, n long, node long, regs binary"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
+    sketched = C.written(rows.mapInArrow(_sketched, "id long, tag long, n long, node long, regs binary"))
     nodes = C.written(sketched.filter("n > 0").groupBy("node").agg(F.min(F.struct("id", "tag", "n", "regs")).alias("m")).select("node", "m.*"))
     value = F.posexplode(F.array(*[F.substring("regs", 2 * BAND * k + 1, 2 * BAND) for k in range(REGISTERS // BAND)]))
     banded = nodes.select("node", value).select(F.xxhash64("pos", "col").alias("bucket"), "node")
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with their columns, that stay: one id of each group at that similarity. Rows equal in id and text stay or go together."""
     found = near_duplicates(docs, percent=percent).filter("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("tag").alias("_tag")).distinct()
-    here = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.shiftright(F.xxhash64("text"), 32).cast("int").alias("_tag"))
+    here = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_tag"))
     return here.join(found, ["_id", "_tag"], "left_semi").select("_row.*")
 
 

@@ -27,7 +27,7 @@ LAST = (1 << 63) - 1
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, id, tag, text): id is the key as long with nulls last; id and tag name a row, rows equal in both being copies."""
-    return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("tag"), F.col(text).alias("text"))
+    return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
 
 
 def word_symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -36,10 +36,6 @@ def word_symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return C.Rolling(C.BYTE_SYMBOLS[data]).slices(starts, ends), starts, ends, first
 
 
-def _place(tag: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    return (tag.astype(np.int64) << 32) | pos
-
-
 def _column(b: pa.RecordBatch, name: str, i: int, j: int) -> np.ndarray:
     return b.column(name).slice(i, j - i).to_numpy(zero_copy_only=False)
 
@@ -80,7 +76,7 @@ def _anchors(batches):
             ids = _column(b, "id", i, j)[doc]
             low, high, ends = _met([h], ids)
             known = (low < high) & ~ends
-            yield pa.RecordBatch.from_arrays([pa.array(_apart(h, known)), pa.array(ids), pa.array(_place(_column(b, "tag", i, j)[doc], pos)), pa.array(known)], ["h", "id", "place", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(_apart(h, known)), pa.array(ids), pa.array(_column(b, "tag", i, j)[doc]), pa.array(pos.astype(np.int32)), pa.array(known)], ["h", "id", "tag", "pos", "known"])
 
 
 def spread(marks: np.ndarray, owner: np.ndarray, first: np.ndarray, before: int, after: int) -> np.ndarray:
@@ -111,7 +107,7 @@ def _windows(batches):
             doc = doc[here]
             ids = _column(b, "id", i, j)[doc]
             known = ids > _met([check, h], ids)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(_apart(h, known)), pa.array(check.astype(np.int32)), pa.array(ids), pa.array(_place(_column(b, "tag", i, j)[doc], here - first[doc])), pa.array(known)], ["h", "h2", "id", "place", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(_apart(h, known)), pa.array(check.astype(np.int32)), pa.array(ids), pa.array(_column(b, "tag", i, j)[doc]), pa.array((here - first[doc]).astype(np.int32)), pa.array(known)], ["h", "h2", "id", "tag", "pos", "known"])
 
 
 def _kept(batches):
@@ -130,8 +126,7 @@ def _kept(batches):
 
 def by_row(places: DataFrame) -> DataFrame:
     """(id, tag, marks): the positions of each row, once each."""
-    split = places.select("id", F.shiftright("place", 32).cast("int").alias("tag"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
-    return split.groupBy("id", "tag").agg(F.collect_set("pos").alias("marks"))
+    return places.groupBy("id", "tag").agg(F.collect_set("pos").alias("marks"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,14 +143,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     its smallest id comes from a sorted, spilling window.
     """
     rows = keyed(docs, key, text)
-    schema = "h long, id long, place long, known boolean"
+    schema = "h long, id long, tag long, pos int, known boolean"
     same = Window.partitionBy("h")
     shared = rows.select("id", "tag", "text").mapInArrow(_anchors, schema).withColumns({"lo": F.min("id").over(same), "hi": F.max("id").over(same)}).filter("known or lo < hi")
-    marked = C.written(by_row(shared.select("id", "place")))
+    marked = C.written(by_row(shared.select("id", "tag", "pos")))
     near = rows.join(marked, ["id", "tag"]).select("id", "tag", "text", "marks")
     equal = Window.partitionBy("h", "h2")
-    repeats = near.mapInArrow(_windows, "h long, h2 int, id long, place long, known boolean").withColumn("lo", F.min("id").over(equal)).filter("known or id > lo")
-    gone = by_row(repeats.select("id", "place"))
+    repeats = near.mapInArrow(_windows, "h long, h2 int, id long, tag long, pos int, known boolean").withColumn("lo", F.min("id").over(equal)).filter("known or id > lo")
+    gone = by_row(repeats.select("id", "tag", "pos"))
     return rows.join(gone, ["id", "tag"], "left").select("doc_id", "text", "marks").mapInArrow(_kept, f"doc_id {docs.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept_text string")
 
 

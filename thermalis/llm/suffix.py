@@ -158,8 +158,8 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     one row for about 69 bytes, by first name (equal segments met in one task count as one); the parts and then the positions of segments taken
     apart; the marks of each text; and the texts once, as all three reads use the same exchange.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("tag"), F.col(text).alias("text"))
-    named = rows.select("id", "tag", "text").mapInArrow(_named, "seed long, whole long, id long, tag int, mark long, stands int")
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
+    named = rows.select("id", "tag", "text").mapInArrow(_named, "seed long, whole long, id long, tag long, mark long, stands int")
     seed, whole = Window.partitionBy("seed"), Window.partitionBy("seed", "whole")
     judged = (
         named.withColumns({"least": F.min("whole").over(seed), "most": F.max("whole").over(seed), "same": F.sum("stands").over(seed)})
@@ -174,9 +174,9 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def with_text(marks: DataFrame) -> DataFrame:
         return texts.join(marks.groupBy("id", "tag").agg(F.collect_set("mark").alias("marks")), ["id", "tag"]).select("doc_id", "id", "tag", "text", "marks")  # doc_id stays, so that the exchange is the one that the last join reads
 
-    parts = with_text(judged.filter("open")).mapInArrow(_parts, "name long, id long, tag int, mark long")
+    parts = with_text(judged.filter("open")).mapInArrow(_parts, "name long, id long, tag long, mark long")
     apart = parts.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("name"))).filter("k > 1").select("id", "tag", "mark")
-    positions = with_text(apart).mapInArrow(_positions, "a long, b int, id long, tag int, pos int")
+    positions = with_text(apart).mapInArrow(_positions, "a long, b int, id long, tag long, pos int")
     short, full = Window.partitionBy("a"), Window.partitionBy("a", "b")
     doubled = positions.withColumn("k", F.count(F.lit(1)).over(short)).filter("k > 1").withColumn("k", F.count(F.lit(1)).over(full)).filter("k > 1")
     gone = judged.filter("repeats").select("id", "tag", "mark").union(doubled.select("id", "tag", F.expr("shiftleft(cast(pos as bigint), 18) + 512").alias("mark"))).groupBy("id", "tag").agg(F.collect_set("mark").alias("marks"))
