@@ -20,6 +20,11 @@ def words(rng, n, kinds=4000):
     return " ".join(f"w{rng.randrange(kinds)}" for _ in range(n))
 
 
+def thue_morse(n, letters="ab"):
+    """Text and its complement have one polynomial hash modulo 2**64, whatever the base, from 1,024 letters on."""
+    return "".join(letters[k.bit_count() % 2] for k in range(n))
+
+
 def corpus(seed=5):
     """Rows (doc_id, text, source): copies, near copies, shared passages, odd characters, nulls, repeated ids, one long text."""
     rng = random.Random(seed)
@@ -242,15 +247,39 @@ def test_pieces_equal_the_whole(tokenizer, text):
     assert n[0] == len(want) and ids[: n[0]].tolist() == want and ids[-n[3] :].tolist() == want and n[2] == 1
 
 
+def test_pieces_beyond_what_is_remembered(tokenizer, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    rng = random.Random(8)
+    texts = [words(rng, 3000, 10**6), thue_morse(1024), None, thue_morse(1024, "ba"), words(rng, 500, 60), "x" * 5000 + "\u3000 y", words(rng, 3000, 10**6)]
+    code, whole = tokens.Encoder(tokenizer), Tokenizer.from_file(tokenizer)
+    for _ in range(2):
+        ids, n = code.encode(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in [*whole.encode(t or "", add_special_tokens=False).ids, 0]] and n.sum() == len(ids)
+    assert len(code.known) == 50
+
+
 def test_range_coder():
     rng = np.random.default_rng(4)
-    for n in (0, 1, 2047, 2048, 2049, 9000):
-        for x in (rng.integers(0, rangecoder.LIMIT, n), np.minimum(rng.pareto(0.5, n) * 4, 50000).astype(int), np.zeros(n, int), np.arange(n) % 3):
+    for n in (0, 1, 2, 511, 512, 513, 2049, 9000, 600_001):
+        for x in (rng.integers(0, 70_000, n), np.minimum(rng.pareto(0.5, n) * 4, 50000).astype(int), np.zeros(n, int), np.arange(n) % 3, rng.integers(0, rangecoder.LIMIT, n)):
             assert (rangecoder.decode(rangecoder.encode(x)) == x).all()
-    with pytest.raises(ValueError):
-        rangecoder.encode(np.array([rangecoder.LIMIT]))
+    for bad in (rangecoder.LIMIT, -1):
+        with pytest.raises(ValueError):
+            rangecoder.encode(np.array([bad]))
     repeats = rangecoder.encode(np.tile(rng.integers(0, 50000, 50), 200))
-    assert len(repeats) < 10000
+    assert len(repeats) < 4000
+
+
+def test_range_coder_is_smaller_than_deflate(tokenizer):
+    """On ids that follow Zipf's law, and on those of generated prose."""
+    rng = np.random.default_rng(6)
+    weights = 1 / np.arange(1, 20_001)
+    zipf = rng.choice(20_000, 200_000, p=weights / weights.sum())
+    prose = tokens.Encoder(tokenizer).encode(pa.array([words(random.Random(k), 2000) for k in range(40)]))[0]
+    for ids in (zipf, prose):
+        assert len(rangecoder.encode(ids)) < len(zlib.compress(ids.astype("<u2").tobytes(), 6))
 
 
 def test_damaged_block_is_found():

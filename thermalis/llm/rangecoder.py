@@ -1,18 +1,20 @@
 """Adaptive context-mixing range coder for token ids, many blocks side by side.
 
-A stream of ids is cut into blocks of BLOCK ids; each starts from fresh models and has its own
-checksum, so a damaged block harms no other. All blocks of a stream are coded in step: position t
-of every block is one round of array operations.
-
-Model of one id: the order-2 and the order-1 context each predict an id (one seen there before, with
-a confidence). The coded symbol says which prediction is right, or else gives the magnitude of the
-id, whose low bits go uncoded to a side stream. The symbol's distribution mixes an order-0 table, a
-table chosen by the order-1 confidence and one chosen by the order-2 confidence; every MIX ids the
-weights follow the probability that each table gave to what came. All arithmetic is on integers, so
-any machine decodes what another wrote.
-
-Stream: magic, counts, then per block its ids, words, bits and CRC-32, then the coded 16-bit words of
-each block, then the low bits of all blocks.
+A stream of ids is cut into blocks; each starts from fresh contexts and has its own checksum, so a
+damaged block harms no other. All blocks of a stream are coded in step: position t of every block is
+one round of array operations.
+
+P(id) = q2 [id = p2] + q1 [id = p1] + q0 P0(id). Order 0 is a distribution over the ids themselves:
+the stream's counts, scaled to a power of two, sent ahead in its head, since a table of all ids for every
+block would not fit. Order 1 and order 2 each predict the id that followed the same one or two ids
+in the block, with a confidence. The weights q adapt in the block: there is a row of them for every
+pair of confidences. Contexts learn after every RUN ids, weights after every WEIGH runs, as arrays
+over all ids since. One step of the coder takes weight and id together, so every bit of an id goes
+through it. All arithmetic is on integers; any machine decodes what another wrote.
+
+Stream: magic, then chapters. A chapter: counts, its ids and frequencies (deflated), then words and
+CRC-32 of each block, then the coded words of each block, two in seven bytes. A chapter holds at
+most 2**16 different ids; a stream with more is cut into several.
 """
 
 from __future__ import annotations
@@ -22,227 +24,281 @@ import zlib
 
 import numpy as np
 
-MAGIC, HEAD, BLOCK = b"TIDS1", "<QI", 512
-#: Slots of the two contexts; bits of a table's distribution and of a mix; adaptation rate; ids between changes of weight.
-ORDER1_BITS, ORDER2_BITS, PRECISION, MIXED, RATE, MIX = 8, 9, 12, 15, 5, 32
-#: Magnitudes: ids below 255, then by powers of two up to 2**16 - 2. Symbols: two predictions and the magnitudes.
-SMALL, KINDS = 8, 11
-LIMIT = (1 << 16) - 1
-#: Ids whose low bits are packed at a time.
-STEP = 1 << 17
-TOP, FLOOR, LOW = np.uint64(32), np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-#: By id + 1: the symbol of a literal. By symbol: its low bits, and id + 1 of its first id.
-SYMBOL = (np.maximum(np.frexp(np.arange(LIMIT + 1))[1], SMALL) - SMALL + 2).astype(np.int8)
-BITS = np.array([0, 0, SMALL, *range(SMALL, 16)], np.int64)
-FIRST = np.array([0, 0, 0, *(1 << b for b in range(SMALL, 16))], np.int64)
-ROW = np.dtype((np.void, 2 * (KINDS + 1)))
-_N = np.arange(KINDS + 1)
-EVEN = (_N * (1 << PRECISION) // KINDS).astype(np.uint16)
-LEAST = 8
-TARGET = np.where(_N[None, :] <= np.arange(KINDS)[:, None], _N * LEAST, (1 << PRECISION) - (KINDS - _N) * LEAST).astype(np.int16)
+MAGIC, HEAD = b"TIDS2", "<QIII"
+#: Ids of a block: a power of two in this range, such that about LANES blocks run side by side.
+LEAST_BLOCK, MOST_BLOCK, LANES = 512, 4096, 2048
+#: Slots of the two contexts; bits of the weights, and of the order-0 total for few and for many ids; ids between lessons; lessons between new weights.
+ORDER1_BITS, ORDER2_BITS, WEIGHT, FEW, MANY, RUN, WEIGH = 8, 9, 10, 16, 18, 8, 16
+#: Confidences of a context, from 0 (nothing seen); different ids of a chapter at most; ids of any stream are below LIMIT.
+CONFIDENCES, DIFFERENT, LIMIT = 4, 1 << 16, 1 << 28
+#: Bits of a coded word, which no step's total exceeds; the coder's range is kept between 2**32 and 2**(32 + WORD).
+WORD = MANY + WEIGHT
+FLOOR, START = 1 << 32, (1 << 32 + WORD) - 1
+#: Confidence after a lesson, by the one before, plus 4 if the prediction was right.
+NEXT = np.array([1, 1, 1, 1, 1, 2, 3, 3], np.int32)
+#: What stays of the low end, without and with a word given out.
+KEEP = np.array([-1, (1 << 32) - 1])
+ROWS = 2 * CONFIDENCES**2
+#: What a row has seen before its block begins, by (order-2 confidence, order-1 confidence, both predict the same): symbols order 2, order 1, order 0.
+PRIOR = np.array([[1 + 3 * two, 1 + one * (1 - same), 8 - two] for two in range(CONFIDENCES) for one in range(CONFIDENCES) for same in range(2)])
 
 
-def _rows(n: int) -> np.ndarray:
-    return np.tile(EVEN.astype(np.int16), (n, 1))
+def slots(prev1: np.ndarray, prev2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the order-1 and order-2 contexts, given the last two ids as uint32."""
+    h = prev1 * np.uint32(2654435761)
+    one = h >> np.uint32(32 - ORDER1_BITS)
+    h ^= prev2
+    h *= np.uint32(2246822519)
+    h >>= np.uint32(32 - ORDER2_BITS)
+    return one.astype(np.int64), h.astype(np.int64)
 
 
-def _take(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """table[rows], each row moved as one item."""
-    return table.view(ROW).reshape(-1).take(rows).view(np.int16).reshape(-1, KINDS + 1)
+class Model:
+    """Contexts and weights of all lanes. A slot is 4 id + confidence, or negative."""
 
+    def __init__(self, lanes: int):
+        self.lanes, lane = lanes, np.arange(lanes)
+        self.s1, self.s2 = np.full(lanes << ORDER1_BITS, -4, np.int32), np.full(lanes << ORDER2_BITS, -4, np.int32)
+        self.base1, self.base2, self.row0 = lane << ORDER1_BITS, lane << ORDER2_BITS, lane * ROWS
+        self.seen, self.waiting = np.tile(PRIOR.reshape(-1), lanes), []
+        self.weigh()
 
-def _put(table: np.ndarray, rows: np.ndarray, new: np.ndarray) -> None:
-    table.view(ROW).reshape(-1)[rows] = np.ascontiguousarray(new).view(ROW).reshape(-1)
+    def weigh(self) -> None:
+        """The cuts of 2**WEIGHT of every row (the order-2 weight, and that with the order-1 weight), from what it has seen."""
+        for row, symbol in self.waiting:
+            self.seen += np.bincount((row * 3 + symbol).reshape(-1), minlength=len(self.seen))
+        self.waiting.clear()
+        n = self.seen.reshape(-1, 3)
+        two, one, all_ = n[:, 0].astype(np.float32), n[:, 1].astype(np.float32), n.sum(1).astype(np.float32)
+        most = (1 << WEIGHT) - 3  # every symbol keeps 1 at least
+        a = 1 + (two * most / all_).astype(np.int64)
+        b = a + 1 + (one * most / all_).astype(np.int64)
+        self.cuts = a << 32 | b
 
+    def predict(self, at1: np.ndarray, at2: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(order-1 slot, order-2 slot, row) at the places."""
+        v1, v2 = self.s1.take(at1), self.s2.take(at2)
+        row = ((v2 & 3) << 3) + ((v1 & 3) << 1)
+        row += (v1 ^ v2) < 4
+        row = self.row0[: at1.shape[-1]] + row
+        return v1, v2, row
 
-class Model:
-    """The state of all lanes; predict() before each id, learn() after it."""
+    def learn(self, ids: np.ndarray, at1: np.ndarray, at2: np.ndarray, v1: np.ndarray, v2: np.ndarray) -> None:
+        """Slots after a run: of ids that met in one slot the last decides."""
+        own = ids << 2
+        for table, at, v in ((self.s1, at1, v1), (self.s2, at2, v2)):
+            kind = v & 3
+            kind += (v >> 2 == ids).view(np.int8) << 2
+            new = NEXT.take(kind)
+            new += own
+            table[at.reshape(-1)] = new.reshape(-1)
 
-    def __init__(self, lanes: int):
-        lane = np.arange(lanes)
-        self.t0, self.t1, self.t2 = _rows(lanes), _rows(lanes * 5), _rows(lanes * 10)
-        self.w0, self.w1, self.w2 = (np.full((lanes, KINDS + 1), w, np.int16) for w in (2, 2, 4))
-        self.score, self.age = np.ones((3, lanes), np.int32), 0
-        self.s1, self.s2 = np.zeros(lanes << ORDER1_BITS, np.int32) - 8, np.zeros(lanes << ORDER2_BITS, np.int32) - 8
-        self.base1, self.base2, self.five, self.ten, self.row = lane << ORDER1_BITS, lane << ORDER2_BITS, lane * 5, lane * 10, lane * (KINDS + 1)
-        self.prev1, self.prev2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-
-    def predict(self) -> np.ndarray:
-        """Cumulative distributions of the next symbol, one row a lane, of 2**MIXED in all."""
-        h = self.prev1 * np.uint32(2654435761)
-        self.at1 = self.base1 + (h >> np.uint32(32 - ORDER1_BITS))
-        h ^= self.prev2
-        h *= np.uint32(2246822519)
-        self.at2 = self.base2 + (h >> np.uint32(32 - ORDER2_BITS))
-        self.v1, self.v2 = self.s1.take(self.at1), self.s2.take(self.at2)
-        self.p1, self.p2 = self.v1 >> 3, self.v2 >> 3
-        self.c1, self.c2 = self.v1 & 7, self.v2 & 7
-        self.row1, self.row2 = self.five + self.c1, self.ten + 2 * self.c2 + (self.p1 == self.p2)
-        self.d1, self.d2 = _take(self.t1, self.row1), _take(self.t2, self.row2)
-        mixed = (self.t0 * self.w0).view(np.uint16)
-        mixed += (self.d1 * self.w1).view(np.uint16)
-        mixed += (self.d2 * self.w2).view(np.uint16)
-        return mixed
-
-    def learn(self, symbol: np.ndarray, ids: np.ndarray) -> None:
-        if self.age % 4 == 0:
-            at = self.row + symbol
-            for score, table in zip(self.score, (self.t0, self.d1, self.d2), strict=True):
-                flat = table.reshape(-1)
-                score += flat.take(at + 1) - flat.take(at)
-        self.age += 1
-        if self.age % MIX == 0:
-            whole = self.score.sum(0)
-            w1, w2 = (1 + self.score[i] * 5 // whole for i in (1, 2))
-            self.w1[:], self.w2[:], self.w0[:] = w1[:, None], w2[:, None], (8 - w1 - w2)[:, None]
-            self.score >>= 1
-            self.score += 1
-        target = TARGET.take(symbol, axis=0)
-        for table in (self.t0, self.d1, self.d2):
-            step = target - table
-            step >>= RATE
-            table += step
-        _put(self.t1, self.row1, self.d1)
-        _put(self.t2, self.row2, self.d2)
-        fresh = (ids << 3) + 1
-        for table, at, v, c, p in ((self.s1, self.at1, self.v1, self.c1, self.p1), (self.s2, self.at2, self.v2, self.c2, self.p2)):
-            table[at] = np.where(p == ids, v + (c < 4), np.where(c <= 1, fresh, v - 1))
-        self.prev2, self.prev1 = self.prev1, ids.view(np.uint32)
-
-    def shrink(self, lanes: int) -> None:
-        """Go on with the first lanes only."""
-        for name, per in (("t0", 1), ("t1", 5), ("t2", 10), ("w0", 1), ("w1", 1), ("w2", 1), ("base1", 1), ("base2", 1), ("five", 1), ("ten", 1), ("row", 1), ("prev1", 1), ("prev2", 1)):
-            setattr(self, name, getattr(self, name)[: lanes * per])
-        self.score = self.score[:, :lanes]
-
-
-def _sizes(n: int) -> np.ndarray:
+
+def _sizes(n: int, block: int) -> np.ndarray:
     """Ids of each block; only the last may be short."""
-    full, rest = divmod(n, BLOCK)
-    return np.array([BLOCK] * full + [rest] * (rest > 0), np.int64)
+    full, rest = divmod(n, block)
+    return np.array([block] * full + [rest] * (rest > 0), np.int64)
+
+
+def _order0(different: int) -> int:
+    """Bits of the order-0 total."""
+    return FEW if different <= 1 << FEW - 3 else MANY
+
+
+def _frequencies(counts: np.ndarray) -> np.ndarray:
+    """Counts as frequencies of 1 or more that sum to the order-0 total."""
+    total = 1 << _order0(len(counts))
+    out = 1 + counts * (total - len(counts)) // counts.sum()
+    out[counts.argmax()] += total - out.sum()
+    return out
 
 
 def encode(ids: np.ndarray) -> bytes:
     """The coded stream of ids (any integer type, 0 <= id < LIMIT)."""
-    ids = np.asarray(ids).astype(np.int32)
+    ids = np.asarray(ids)
     if len(ids) and (ids.min() < 0 or ids.max() >= LIMIT):
         raise ValueError("an id is out of range")
-    sizes = _sizes(len(ids))
-    lanes, width = len(sizes), BLOCK + 2
-    padded = np.zeros(lanes * BLOCK, np.int32)
-    padded[: len(ids)] = ids
-    by_step = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
-    kinds, symbols = SYMBOL[by_step + 1], np.zeros((BLOCK, lanes), np.int8)
-    model, live = Model(lanes), lanes
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
-    out, pos, ended = np.zeros(lanes * width, np.int32), np.arange(lanes) * width, np.zeros(lanes, np.uint64)
-    row = model.row
-    for t in range(int(sizes[0]) if lanes else 0):
-        if live == lanes and t >= sizes[-1]:
-            live = lanes - 1
-            ended[live] = low[live]
-            model.shrink(live)
-            low, span, row = low[:live], span[:live], row[:live]
-        now = by_step[t, :live]
-        cdf = model.predict().reshape(-1)
-        symbol = np.where(now == model.p2, 0, np.where(now == model.p1, 1, kinds[t, :live]))
-        symbols[t, :live] = symbol
-        at = row + symbol
-        begin = cdf.take(at)
-        size = cdf.take(at + 1) - begin
-        span >>= np.uint64(MIXED)
-        low += span * begin
-        span *= size
-        here = pos[:live]
-        out[here] = (low >> TOP).view(np.int64)
-        short = span < FLOOR
-        here += short
-        by = short.astype(np.uint64) << np.uint64(4)
-        low &= np.where(short, LOW, np.uint64((1 << 64) - 1))
-        low <<= by
-        span <<= by
-        model.learn(symbol, now)
-    ended[:live] = low
-    out[pos] = ((ended + LOW) >> TOP).view(np.int64)
+    waiting, parts = [ids] if len(ids) else [], [MAGIC]
+    while waiting:
+        own = waiting.pop()
+        if (highest := int(own.max())) < 1 << 22:
+            counts = np.bincount(own)
+            kinds = np.flatnonzero(counts)
+            number = np.zeros(highest + 1, np.int32)
+            number[kinds] = np.arange(len(kinds))
+            index, counts = number[own], counts[kinds]
+        else:
+            kinds, index, counts = np.unique(own, return_inverse=True, return_counts=True)
+        if len(kinds) > DIFFERENT:
+            waiting += [own[len(own) // 2 :], own[: len(own) // 2]]
+        else:
+            parts.append(_chapter(own, index.astype(np.int32), kinds, _frequencies(counts)))
+    return b"".join(parts)
+
+
+def _packed(words: np.ndarray) -> bytes:
+    """An even number of words of WORD bits, two in seven bytes."""
+    pairs = words.astype("<u8").reshape(-1, 2)
+    return (pairs[:, 0] | pairs[:, 1] << np.uint64(WORD)).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _unpacked(data: bytes, at: int, n: int) -> np.ndarray:
+    pairs = np.zeros((n // 2, 8), np.uint8)
+    pairs[:, :7] = np.frombuffer(data, np.uint8, n // 2 * 7, at).reshape(-1, 7)
+    pairs = pairs.view("<i8").reshape(-1)
+    return np.stack([pairs & (1 << WORD) - 1, pairs >> WORD], 1).reshape(-1)
+
+
+def _runs(sizes: np.ndarray, block: int):
+    """(first step, step after the last, lanes that have all of them) of every run; the run in which a short block ends is cut there."""
+    edges = sorted({*range(0, block, RUN), int(sizes[0]), int(sizes[-1])})
+    for t, stop in zip(edges, edges[1:], strict=False):
+        if t < sizes[0]:
+            yield t, stop, len(sizes) - (t >= sizes[-1])
+
+
+def _chapter(ids: np.ndarray, index: np.ndarray, kinds: np.ndarray, frequency: np.ndarray) -> bytes:
+    block = LEAST_BLOCK
+    while block < MOST_BLOCK and len(ids) > LANES * block:
+        block *= 2
+    sizes = _sizes(len(ids), block)
+    lanes, width = len(sizes), block + 4
+    padded = np.zeros(lanes * block, np.int32)
+    padded[: len(ids)] = index
+    by_step = np.zeros((block + 2, lanes), np.int32)  # two rows of zeros: what comes before the first id
+    by_step[2:] = padded.reshape(lanes, block).T
+    del padded
+    before, model, order0 = np.cumsum(frequency) - frequency, Model(lanes), _order0(len(kinds))
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, START)
+    out, pos = np.zeros(lanes * width, np.int32), np.arange(lanes) * width
+    for k, (t, stop, live) in enumerate(_runs(sizes, block)):
+        now, at1, at2 = by_step[t + 2 : stop + 2, :live], *slots(by_step[t + 1 : stop + 1, :live].view(np.uint32), by_step[t:stop, :live].view(np.uint32))
+        at1 += model.base1[:live]
+        at2 += model.base2[:live]
+        v1, v2, row = model.predict(at1, at2)
+        cuts = model.cuts.take(row)
+        two, both = cuts >> 32, cuts & (1 << 32) - 1
+        hit2, hit1 = v2 >> 2 == now, v1 >> 2 == now
+        left = (1 << WEIGHT) - both
+        begins = np.where(hit2, 0, np.where(hit1, two << order0, (both << order0) + left * before.take(now)))
+        widths = np.where(hit2, two << order0, np.where(hit1, both - two << order0, left * frequency.take(now)))
+        l, s, here = low[:live], span[:live], pos[:live]  # noqa: E741
+        for begin, size in zip(begins, widths, strict=True):
+            s >>= order0 + WEIGHT
+            begin *= s
+            l += begin
+            s *= size
+            out[here] = l >> 32
+            short = (s < FLOOR).view(np.int8)
+            here += short
+            by = short * np.int64(WORD)
+            l &= KEEP.take(short)
+            l <<= by
+            s <<= by
+        model.learn(now, at1, at2, v1, v2)
+        model.waiting.append((row, np.where(hit2, 0, 2 - hit1)))
+        if k % WEIGH == WEIGH - 1:
+            model.weigh()
+    out[pos] = (low + (1 << 32) - 1) >> 32  # a value in the last range, whatever follows
     words = pos - np.arange(lanes) * width + 1
+    words += words & 1
     table = out.reshape(lanes, width)
-    for c in range(int(words.max()) - 1 if lanes else 0, 0, -1):  # a word may hold a carry for the word before
-        table[:, c - 1] += table[:, c] >> 16
-    coded = (table & 0xFFFF).astype("<u2")[np.arange(width) < words[:, None]].tobytes() if lanes else b""
-    # the low bits: one run of bits, block after block
-    del kinds, by_step, model
-    lit = np.ascontiguousarray(symbols.T).reshape(-1)
-    lit[len(ids) :] = 0
-    bits = BITS.astype(np.int8)[lit]
-    per_block = bits.reshape(lanes, BLOCK).sum(1, dtype=np.int64) if lanes else np.zeros(0, np.int64)
-    side, before = np.zeros(int(per_block.sum()) // 16 + 3), 0
-    for i in range(0, len(bits), STEP):
-        some = i + np.flatnonzero(bits[i : i + STEP])
-        start = before + np.cumsum(bits[some], dtype=np.int64) - bits[some]
-        value = (padded[some] + 1 - FIRST[lit[some]]) << (start & 15)
-        for k in (0, 1) if len(some) else ():
-            at = (start >> 4) + k
-            side[at[0] : at[-1] + 1] += np.bincount(at - at[0], (value >> (16 * k)) & 0xFFFF)
-        before += int(bits[some].sum(dtype=np.int64))
-    side = side.astype("<u2").tobytes()
-    plain = padded.astype("<u4")
-    crcs = [zlib.crc32(plain[i * BLOCK : i * BLOCK + n]) for i, n in enumerate(sizes)]
-    head = np.stack([sizes, words, per_block, np.array(crcs, np.int64)], 1).astype("<u4").tobytes() if lanes else b""
-    return MAGIC + struct.pack(HEAD, len(ids), lanes) + head + coded + side
+    for c in range(int(words.max()) - 1, 0, -1):  # a word may hold a carry for the word before
+        table[:, c - 1] += table[:, c] >> WORD
+    coded = _packed(table[np.arange(width) < words[:, None]] & (1 << WORD) - 1)
+    plain = ids.astype("<u4")
+    crcs = [zlib.crc32(plain[i * block : i * block + n]) for i, n in enumerate(sizes)]
+    listed = zlib.compress(np.concatenate([np.diff(kinds, prepend=0), frequency]).astype("<u4").tobytes(), 6)
+    head = struct.pack(HEAD, len(ids), block, len(kinds), len(listed)) + listed
+    return head + np.stack([words, np.array(crcs, np.int64)], 1).astype("<u4").tobytes() + coded
 
 
 def decode(data: bytes) -> np.ndarray:
-    """The ids of a stream, as uint32; ValueError if a block does not agree with its checksum."""
+    """The ids of a stream, as uint32; ValueError if it is not one, ends early, or a block does not agree with its checksum."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a stream of ids")
-    at = len(MAGIC) + struct.calcsize(HEAD)
-    n, lanes = struct.unpack(HEAD, data[len(MAGIC) : at])
-    head = np.frombuffer(data, "<u4", lanes * 4, at).reshape(lanes, 4).astype(np.int64)
-    sizes, words = head[:, 0], head[:, 1]
-    at += lanes * 16
-    coded = np.frombuffer(data, "<u2", int(words.sum()), at)
-    side = np.frombuffer(data, "<u2", -1, at + 2 * len(coded)).astype(np.int64)
-    side = np.append(side, [0, 0])
-    pairs = side[:-1] | side[1:] << 16
-    bit = np.cumsum(head[:, 2]) - head[:, 2]
-    width = int(words.max()) + 4 if lanes else 1
-    source = np.zeros((lanes, width), np.uint64)
-    source[np.arange(width) < words[:, None]] = coded
+    at, parts = len(MAGIC), [np.empty(0, np.uint32)]
+    try:
+        while at < len(data):
+            ids, at = _read_chapter(data, at)
+            parts.append(ids)
+    except (struct.error, zlib.error, IndexError) as e:
+        raise ValueError("the stream is damaged") from e
+    return np.concatenate(parts)
+
+
+def _read_chapter(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    n, block, different, size = struct.unpack_from(HEAD, data, at)
+    at += struct.calcsize(HEAD)
+    listed = np.frombuffer(zlib.decompress(data[at : at + size]), "<u4").astype(np.int64)
+    kinds, frequency = np.cumsum(listed[:different]), listed[different:]
+    before, which = np.cumsum(frequency) - frequency, np.repeat(np.arange(different, dtype=np.uint16), frequency)
+    at, order0 = at + size, _order0(different)
+    sizes = _sizes(n, block)
+    lanes = len(sizes)
+    head = np.frombuffer(data, "<u4", lanes * 2, at).reshape(lanes, 2).astype(np.int64)
+    words = head[:, 0]
+    at += lanes * 8
+    width = int(words.max()) + 4
+    source = np.zeros((lanes, width), np.int64)
+    source[np.arange(width) < words[:, None]] = _unpacked(data, at, int(words.sum()))
+    at += int(words.sum()) // 2 * 7
+    # the window holds a word and 32 bits, so that words come in shifted by 32 - WORD bits
     source, pos = source.reshape(-1), np.arange(lanes) * width
-    last = pos + width - 1
-    code, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
-    for _ in range(3):
-        code = (code << np.uint64(16)) | source[pos]
-        pos += 1
-    model, live, out = Model(lanes), lanes, np.zeros((BLOCK, lanes), np.int32)
-    row = model.row
-    for t in range(int(sizes[0]) if lanes else 0):
-        if live == lanes and t >= sizes[-1]:
-            live = lanes - 1
-            model.shrink(live)
-            code, span, row, pos, last, bit = code[:live], span[:live], row[:live], pos[:live], last[:live], bit[:live]
-        cdf = model.predict()
-        span >>= np.uint64(MIXED)
-        goal = np.minimum(code // span, (1 << MIXED) - 1).astype(np.uint16)
-        symbol = (np.ascontiguousarray(cdf.T)[1:KINDS] <= goal).sum(0, dtype=np.int8).astype(np.int64)
-        index, cdf = row + symbol, cdf.reshape(-1)
-        begin = cdf.take(index)
-        code -= span * begin
-        span *= cdf.take(index + 1) - begin
-        short = span < FLOOR
-        by = short.astype(np.uint64) << np.uint64(4)
-        code <<= by
-        code |= np.where(short, source.take(pos), np.uint64(0))
-        pos = np.minimum(pos + short, last)
-        span <<= by
-        bits = BITS.take(symbol)
-        value = (pairs.take(bit >> 4) >> (bit & 15)) & ((1 << bits) - 1)
-        bit = bit + bits
-        ids = np.where(symbol == 0, model.p2, np.where(symbol == 1, model.p1, value + FIRST.take(symbol) - 1)).astype(np.int32)
-        out[t, :live] = ids
-        model.learn(symbol, ids)
-    plain = np.ascontiguousarray(out.T).astype("<u4")
+    code, span = source.take(pos) << 32, np.full(lanes, START)
+    source <<= 32 - WORD
+    source[:-1] |= source[1:] >> WORD
+    source &= (1 << WORD) - 1
+    code |= (source.take(pos) & (1 << 32 - WORD) - 1) << WORD | source.take(pos + 1)
+    source, last, pos = source.astype(np.int32), pos + width - 1, pos + 2
+    model, out = Model(lanes), np.zeros((block + 2, lanes), np.int32)
+    for k, (t, stop, live) in enumerate(_runs(sizes, block)):
+        c, s, here, end = code[:live], span[:live], pos[:live], last[:live]
+        base1, base2, ran = model.base1[:live], model.base2[:live], []
+        for step in range(t, stop):
+            at1, at2 = slots(out[step + 1, :live].view(np.uint32), out[step, :live].view(np.uint32))
+            at1 += base1
+            at2 += base2
+            v1, v2, row = model.predict(at1, at2)
+            cuts = model.cuts.take(row)
+            s >>= order0 + WEIGHT
+            two, both = cuts >> 32, cuts & (1 << 32) - 1
+            unit = ((1 << WEIGHT) - both) * s
+            two *= s
+            both *= s
+            two <<= order0
+            both <<= order0
+            hit2, hit1 = c < two, c < both
+            slot = np.maximum(c - both, 0).view(np.uint64) // unit.view(np.uint64)
+            ids = which.take(np.minimum(slot, (1 << order0) - 1).view(np.int64)).astype(np.int64)
+            begin = before.take(ids) * unit
+            begin += both
+            size = frequency.take(ids)
+            size *= unit
+            hit = np.flatnonzero(hit1)
+            begin[hit], size[hit], ids[hit] = two.take(hit), (both - two).take(hit), v1.take(hit) >> 2
+            hit = np.flatnonzero(hit2)
+            begin[hit], size[hit], ids[hit] = 0, two.take(hit), v2.take(hit) >> 2
+            c -= begin
+            s[:] = size
+            short = (s < FLOOR).view(np.int8)
+            by = short * np.int64(WORD)
+            s <<= by
+            c <<= by
+            c |= source.take(here) * short
+            here += short
+            np.minimum(here, end, out=here)
+            out[step + 2, :live] = ids
+            ran.append((at1, at2, v1, v2, row, np.where(hit2, 0, 2 - hit1)))
+        at1, at2, v1, v2, row, symbol = (np.stack(x) for x in zip(*ran, strict=True))
+        model.learn(out[t + 2 : stop + 2, :live], at1, at2, v1, v2)
+        model.waiting.append((row, symbol))
+        if k % WEIGH == WEIGH - 1:
+            model.weigh()
+    if out.min() < 0:
+        raise ValueError("the stream is damaged")
+    plain = kinds.astype("<u4")[np.ascontiguousarray(out[2:].T)]
     for i in range(lanes):
-        if zlib.crc32(plain[i, : sizes[i]]) != head[i, 3]:
+        if zlib.crc32(plain[i, : sizes[i]]) != head[i, 1]:
             raise ValueError(f"block {i} is damaged")
-    return plain.reshape(-1)[:n].astype(np.uint32)
+    return plain.reshape(-1)[:n].astype(np.uint32), at

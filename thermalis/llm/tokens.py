@@ -8,10 +8,11 @@ the documents. The table lies in Spark's own storage, which every executor reach
 from __future__ import annotations
 
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,154 +20,143 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import rangecoder
 
-#: Ids of a stream, about; bytes of text that one round of tokenizing takes; pieces that a worker remembers, and slots for them.
-STREAM, ROUND_BYTES, REMEMBERED, TABLE_BITS = 1_500_000, 1 << 20, 900_000, 21
+#: Ids of a stream, about; bytes of text that one round of tokenizing takes; pieces that a worker remembers, and the bytes of the longest of them.
+STREAM, ROUND_BYTES, REMEMBERED, LONGEST = 4_000_000, 2 << 20, 600_000, 64
 END = 0
-#: Kinds of bytes: a two-byte letter's bytes are letters both; U+0080 to U+00BF are told apart by their second byte.
-SPACE, LETTER, DIGIT, OTHER = range(4)
-KIND = np.full(256, OTHER, np.int8)
-KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
+#: Kinds of bytes: white space, letters, digits, marks, the apostrophe, and all that is cut nowhere.
+SPACE, LETTER, DIGIT, MARK, APOSTROPHE, UNCUT = range(6)
+KIND = np.full(256, UNCUT, np.uint8)
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
 KIND[48:58] = DIGIT
+KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = MARK
+KIND[ord("'")] = APOSTROPHE
 KIND[C.SPACE] = SPACE
-KIND_C2 = np.full(256, OTHER, np.int8)
-KIND_C2[[0xAA, 0xB5, 0xBA]] = LETTER
-KIND_C2[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = DIGIT
-#: Bytes of texts that are not plain: controls, apostrophes, and the first bytes of characters from U+0280 on.
-ODD = np.zeros(256, bool)
-ODD[[*range(9), *range(14, 32), 127, ord("'"), *range(0xCA, 256)]] = True
+#: Whether a piece ends between two kinds: the tokenizer's first step never puts both sides into one piece there.
+CUT = np.zeros((6, 6), bool)
+CUT[LETTER, [SPACE, DIGIT, MARK, APOSTROPHE]] = CUT[DIGIT, [SPACE, LETTER, MARK, APOSTROPHE]] = True
+CUT[MARK, [SPACE, LETTER, DIGIT]] = CUT[APOSTROPHE, SPACE] = True
 #: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for characters from 256 on, in order.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARACTERS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
 SCHEMA = "part int, seq int, n_tokens long, doc_id {0}, tokens array<int>, stream binary"
 
 
-class Known:
-    """Pieces by their 64-bit hash (length included) in an open-addressing table of arrays: hash to number, or -1."""
-
-    def __init__(self):
-        self.keys, self.numbers, self.mask = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int32), (1 << TABLE_BITS) - 1
-
-    def _slots(self, h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        slot = self._slots(h)
-        key = self.keys.take(slot)
-        out = np.where(key == h, self.numbers.take(slot), -1)
-        open_ = np.flatnonzero((key != h) & (key != 0))
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) & self.mask
-            key = self.keys.take(slot[open_])
-            hit = key == h[open_]
-            out[open_[hit]] = self.numbers.take(slot[open_[hit]])
-            open_ = open_[~hit & (key != 0)]
-        return out
-
-    def put(self, h: np.ndarray, first: int) -> None:
-        """Distinct new hashes, numbered from `first`."""
-        slot, left = self._slots(h), np.arange(len(h))
-        while len(left):
-            free = left[self.keys.take(slot[left]) == 0]
-            _, one = np.unique(slot[free], return_index=True)
-            placed = free[one]
-            self.keys[slot[placed]], self.numbers[slot[placed]] = h[placed], first + placed
-            waiting = np.ones(len(h), bool)
-            waiting[placed] = False
-            left = left[waiting[left]]
-            slot[left] = (slot[left] + 1) & self.mask
+def kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of every byte; the letters from U+00C0 to U+00FF are letters with both bytes."""
+    kind = KIND.take(data)
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    return kind
+
+
+def piece_ends(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Offsets that cut texts into pieces which a byte-level tokenizer encodes independently; each text's own bounds are among them.
+
+    Its first step takes runs of letters, of digits or of marks, each with the blank before it, runs
+    of white space, and contractions after an apostrophe. A cut lies only where such a run must end:
+    a letter before anything else, a digit likewise, a mark before white space, letter or digit.
+    Beside characters of other kinds nothing is cut.
+    """
+    kind = kinds(data)
+    pair = kind[:-1] * np.uint8(6)
+    pair += kind[1:]
+    cut = CUT.reshape(-1).take(pair)
+    inner = np.zeros(len(data) + 1, bool)
+    inner[1:-1] = cut
+    inner[at] = True
+    return np.flatnonzero(inner)
 
 
 class Encoder:
-    """Whole texts to ids with the tokenizers library, each distinct piece of text being encoded once.
+    """Whole texts to ids with the tokenizers library, each distinct piece of a worker's texts being encoded once.
 
-    Pieces are what the tokenizer's own first step makes of a text: a run of letters, of digits or of
-    other marks with a space before it, or white space. They are cut and looked up as arrays; the
-    library's model encodes a piece when it is new. Texts with characters beyond Latin, apostrophes
-    (which start contractions) or a special token's mark, and tokenizers of another first step, go
-    through the library whole.
+    Texts are cut where a byte-level tokenizer's pieces end anyway (piece_ends), equal pieces are
+    found by their bytes, and the library encodes each of them. Texts that hold a special token's
+    mark go to it whole, and so does everything if the tokenizer is not byte-level.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.by_piece = "ByteLevel(add_prefix_space=False" in str(self.whole.pre_tokenizer) and "use_regex=True" in str(self.whole.pre_tokenizer) and self.whole.normalizer is None
-        self.known, self.count, self.used = Known(), 0, 0
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        first = parts.get("pre_tokenizer") or {}
+        self.by_piece = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True) and parts.get("normalizer") is None
+        self.special = [t["content"].encode() for t in parts.get("added_tokens", [])]
+        self.known: dict[bytes, int] = {}
         self.flat, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
 
-    def add(self, pieces: list[bytes]) -> None:
-        tokenize = self.whole.model.tokenize
-        lists = [[t.id for t in tokenize(p.decode("latin-1").translate(BYTE_CHARACTERS))] for p in pieces]
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        new = np.fromiter(chain.from_iterable(lists), np.int32, int(n.sum()))
-        while len(self.flat) < self.used + len(new):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.ends) < self.count + len(n) + 1:
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[self.used : self.used + len(new)] = new
-        self.ends[self.count + 1 : self.count + len(n) + 1] = self.used + np.cumsum(n)
-        self.used, self.count = self.used + len(new), self.count + len(n)
+    def ids_of(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece. A run with the blank before it is what the model takes; the library's first step cuts the others."""
+        joined = b"".join(pieces)
+        data, at = np.frombuffer(joined, np.uint8), np.zeros(len(pieces) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)), out=at[1:])
+        kind = kinds(data)
+        change = np.zeros(len(data) + 1, np.int64)
+        change[1:-1] = kind[1:] != kind[:-1]
+        first = at[:-1] + (data[at[:-1]] == 0x20)
+        change[first], change[at] = 0, 0
+        changes = np.cumsum(change)
+        run = (first < at[1:]) & (changes[at[1:]] == changes[at[:-1]])
+        run &= np.isin(kind[np.minimum(first, len(data) - 1)], (LETTER, DIGIT, MARK))
+        alphabet, tokenize = joined.decode("latin-1").translate(BYTE_CHARACTERS), self.whole.model.tokenize
+        return [[t.id for t in tokenize(alphabet[s:e])] if r else self.whole.encode(p.decode(), add_special_tokens=False).ids for s, e, r, p in zip(at[:-1].tolist(), at[1:].tolist(), run.tolist(), pieces, strict=True)]
+
+    def lookup(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece begin in flat, and their number; what is not remembered comes after what is, until the next call."""
+        count = len(self.known)
+        used = int(self.ends[count])
+        number = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(number < 0).tolist()
+        if new:
+            lists = self.ids_of([pieces[i] for i in new])
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            while len(self.flat) < used + n.sum():
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            while len(self.ends) < count + len(n) + 1:
+                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.flat[used : used + n.sum()] = np.fromiter(chain.from_iterable(lists), np.int32, int(n.sum()))
+            # first those that are remembered, so that their numbers stay
+            kept = np.array([len(pieces[i]) <= LONGEST for i in new])
+            kept &= np.cumsum(kept) <= REMEMBERED - count
+            order = np.argsort(~kept, kind="stable")
+            starts = used + np.cumsum(n) - n
+            if not kept.all():
+                self.flat[used : used + n.sum()] = self.flat[np.repeat(starts[order] - np.cumsum(n[order]) + n[order], n[order]) + np.arange(n.sum())]
+            self.ends[count + 1 : count + len(n) + 1] = used + np.cumsum(n[order])
+            number[np.array(new)[order]] = count + np.arange(len(new))
+            self.known.update((pieces[new[k]], count + j) for j, k in enumerate(order[: kept.sum()].tolist()))
+        return self.ends[number], self.ends[number + 1] - self.ends[number]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by END, and the number of each text's ids with END."""
         data, at = C.utf8(column)
-        odd = ODD[data]
-        odd[:-1] |= ((data[:-1] == 0xC2) & (data[1:] <= 0xA0)) | ((data[:-1] == 0xC9) & (data[1:] >= 0x90)) | ((data[:-1] == ord("<")) & (data[1:] == ord("|")))
-        sums = np.concatenate([[0], np.cumsum(odd)])
-        plain = (sums[at[1:]] == sums[at[:-1]]) & self.by_piece
-        starts, ends = pieces(data, at)
-        h = np.maximum(C.Rolling(C.BYTE_SYMBOLS[data]).slices(starts, ends), np.uint64(1))
-        number = self.known.find(h)
-        before = self.count, self.used
-        doc_odd = np.repeat(~plain, np.diff(np.searchsorted(starts, at)))
-        number[doc_odd] = 0
-        missing = np.flatnonzero((number < 0) & ~doc_odd)
-        if len(missing):
-            new, where, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            raw = data.tobytes()
-            self.add([raw[s:e] for s, e in zip(starts[missing[where]].tolist(), ends[missing[where]].tolist(), strict=True)])
-            number[missing] = before[0] + back
-            if before[0] < REMEMBERED:
-                self.known.put(new, before[0])
-        size = np.where(doc_odd, 0, self.ends[number + 1] - self.ends[number])
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.ends[number] - upto[:-1], size)]
-        cuts = upto[np.searchsorted(starts, at)]
-        if len(missing) and before[0] >= REMEMBERED:  # those that came first are the frequent ones
-            self.count, self.used = before
-        if plain.all():
-            return np.insert(ids, cuts[1:], END), np.diff(cuts) + 1
-        parts = [ids[cuts[i] : cuts[i + 1]] if p else np.array(self.whole.encode(column[i].as_py() or "", add_special_tokens=False).ids, np.int32) for i, p in enumerate(plain)]
-        return np.concatenate([x for p in parts for x in (p, [END])]).astype(np.int32), np.array([len(p) + 1 for p in parts])
-
-
-def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the pieces of plain texts; pieces end with their text.
-
-    White space before something else leaves its last character to what follows, if that is a
-    blank, or else as a piece of its own.
-    """
-    n = len(data)
-    if not n:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    kind = KIND[data]
-    lead = np.flatnonzero(data[:-1] == 0xC2)
-    kind[lead] = kind[lead + 1] = KIND_C2[data[lead + 1]]
-    lead = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
-    kind[lead] = kind[lead + 1] = OTHER
-    cut = np.ones(n, bool)
-    cut[1:] = kind[1:] != kind[:-1]
-    edge = np.zeros(n + 1, bool)
-    edge[at] = True
-    cut |= edge[:n]
-    end = np.flatnonzero(cut[1:] & (kind[:-1] == SPACE) & ~edge[1:n]) + 1
-    cut[end - 1] = True
-    cut[end[data[end - 1] == 0x20]] = False
-    starts = np.flatnonzero(cut)
-    return starts, np.append(starts[1:], n)
+        raw = data.tobytes()
+        if not self.by_piece or any(s in raw for s in self.special):
+            lists = [e.ids + [END] for e in self.whole.encode_batch_fast(pc.fill_null(column, "").to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
+        cuts = piece_ends(data, at) if len(data) else np.zeros(1, np.int64)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).dictionary_encode()
+        which = pieces.indices.to_numpy()
+        starts, sizes = self.lookup(pieces.dictionary.to_pylist())
+        size = sizes.take(which)
+        upto = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=upto[1:])
+        source = np.ones(upto[-1], np.int64)
+        if len(size):  # steps of one inside a piece, and a jump where the next begins
+            begin, real = starts.take(which), size > 0
+            begin, first, length = begin[real], upto[:-1][real], size[real]
+            source[first] = np.diff(begin, prepend=0)
+            source[first[1:]] -= length[:-1] - 1
+            np.cumsum(source, out=source)
+        bounds = upto[np.searchsorted(cuts, at)]
+        return np.insert(self.flat.take(source), bounds[1:], END), np.diff(bounds) + 1
 
 
 _encoders: dict[str, Encoder] = {}
@@ -180,9 +170,11 @@ def encoder(path: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Streams (SCHEMA) of all rows in ascending order of the key (null first, ties by text); null text: as empty.
+    """Streams (SCHEMA) of all rows in ascending order of the key (null first, ties by text).
 
-    One shuffle, by ranges of the key and a hash of the text, so that rows of one key can part.
+    Null and empty texts have the end id alone; a very long text is a round of its own; rows that
+    repeat are written as often as they are there; an empty table gives no streams; other columns,
+    whatever their names, are not looked at. One shuffle, by ranges of the key and a hash of the text, so that rows of one key can part.
     """
     kind = docs.schema[key].dataType.simpleString()
     ordered = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
