@@ -356,5 +356,29 @@ def test_words_of_rolling_hash():
     data, at = common.utf8(pa.array(["ab cd", None, "", "ab"]))
     starts, ends, first = common.word_bounds(~common.SPACE[data], at)
     assert first.tolist() == [0, 2, 2, 2, 3] and [bytes(data[s:e]) for s, e in zip(starts, ends, strict=True)] == [b"ab", b"cd", b"ab"]
-    h = common.Rolling(common.BYTE_SYMBOLS[data]).slices(starts, ends)
-    assert h[0] == h[2] != h[1]
+    for h in (common.Rolling(common.BYTE_SYMBOLS[data]).slices(starts, ends), common.word_hashes(data, starts, ends)):
+        assert h[0] == h[2] != h[1]
+    assert len(common.word_hashes(data, starts[:0], ends[:0])) == 0
+
+
+def made_to_collide():
+    """Rows whose words, shingles and byte strings no polynomial hash modulo 2**64 tells apart."""
+    a, b = thue_morse(4096), thue_morse(4096, "ba")
+    rng = random.Random(12)
+    lead, tail = words(rng, 60), words(rng, 60)
+    texts = [a, b, f"{lead} {a} {tail}", f"{lead} {b} {tail}", " ".join(thue_morse(1100)), " ".join(thue_morse(1100, "ba")), f"x {a} y", a + " z"]
+    return list(enumerate(texts))
+
+
+def test_strings_made_to_collide(spark):
+    rows = made_to_collide()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r for r in suffix.repeated_bytes(docs).collect()}
+    assert [tuple(found[i])[1:5] for i, _ in rows] == brute.repeated_bytes([t for _, t in rows])
+    kept = substring.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256)).collect()
+    assert sorted(map(tuple, kept)) == [(i, *r) for (i, _), r in zip(rows, brute.repeated_words(rows), strict=True)]
+    near = neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, near)) == [(i, *r) for (i, _), r in zip(rows, brute.near_groups(rows), strict=True)]
+    items = [(k, t) for k, (_, t) in enumerate(rows) if k in (0, 2, 4)]
+    hits = decontaminate.annotate(docs, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).select("doc_id", "n_words", "n_hit").collect()
+    assert sorted(map(tuple, hits)) == [(i, *r[:2]) for (i, _), r in zip(rows, brute.contamination([t for _, t in rows], items), strict=True)]

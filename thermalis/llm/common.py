@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,11 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, a folder of this machine, which only a local session may use."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="thermalis-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="thermalis-"))
+        sc.setCheckpointDir(checkpoint_folder(spark))
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
@@ -78,10 +88,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray, size: int = 16) -> np.ndarray:
+    """BLAKE2b of the given slices, of 8 or 16 bytes, as one or two columns of int64. These decide what is equal."""
+    make = hashlib.blake2b
+    out = b"".join([make(raw[s:e], digest_size=size).digest() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(out, np.int64).reshape(-1, size // 8)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2b for each word; words do not touch. Each different word is hashed once."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    cuts = np.empty(2 * len(starts), np.int64)
+    cuts[::2], cuts[1::2] = starts, ends
+    runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = runs.dictionary_encode()
+    which = coded.indices.to_numpy()[::2]
+    make, kinds = hashlib.blake2b, coded.dictionary.to_pylist()
+    return np.frombuffer(b"".join([make(k, digest_size=8).digest() for k in kinds]), np.uint64)[which]
+
+
+def sequences(words: np.ndarray, begin: np.ndarray, length: np.ndarray | int, most: int) -> np.ndarray:
+    """64-bit hashes of runs of at most `most` words, each step mixed; equal runs of one length have equal hashes."""
+    h = np.full(len(begin), 0x9E3779B97F4A7C15, np.uint64)
+    length = np.broadcast_to(length, len(begin))
+    for k in range(most):
+        more = mixed(h + words.take(np.minimum(begin + k, len(words) - 1)) if len(words) else h)
+        h = more if (length > k).all() else np.where(length > k, more, h)
+    return h
+
+
 class Rolling:
     """Polynomial hashes (mod 2**64) of any slice of an array of 64-bit symbols, from prefix sums.
 
-    hash(i, j) depends on the symbols i..j-1 alone, not on where they stand.
+    hash(i, j) depends on the symbols i..j-1 alone, not on where they stand. Strings made for it
+    collide, so it only proposes what may be equal.
     """
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -28,7 +28,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Hashes of the lower-cased words of each text with a 0 after each text and WINDOW more at the end; first word of each text there."""
     data = C.LOWER[data]
     starts, ends, first = C.word_bounds(WORD[data], at)
-    hashes = C.Rolling(C.BYTE_SYMBOLS[data]).slices(starts, ends) | np.uint64(1)
+    hashes = np.maximum(C.word_hashes(data, starts, ends), np.uint64(1))
     out = np.zeros(len(hashes) + len(at) - 1 + WINDOW, np.uint64)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
     out[np.arange(len(hashes)) + doc] = hashes

@@ -11,6 +11,7 @@ with probability (1 - 0.85**4)**32, about 6e-11; at 0.8, about 5e-8.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import partial
 
@@ -41,12 +42,12 @@ def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the 5-word shingles of each text (the whole text, if it has fewer words), with repeats, and len + 1 offsets."""
     data = C.LOWER[data]
     starts, ends, first = C.word_bounds(~C.SPACE[data], at)
-    symbols, n = C.Rolling(C.BYTE_SYMBOLS[data]).slices(starts, ends), np.diff(first)
+    symbols, n = C.word_hashes(data, starts, ends), np.diff(first)
     count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
     ends_ = np.zeros(len(count) + 1, np.int64)
     np.cumsum(count, out=ends_[1:])
     begin = np.arange(ends_[-1]) + np.repeat(first[:-1] - ends_[:-1], count)
-    return C.Rolling(symbols).slices(begin, begin + np.repeat(np.minimum(n, SHINGLE), count)), ends_
+    return C.sequences(symbols, begin, np.repeat(np.minimum(n, SHINGLE), count), SHINGLE), ends_
 
 
 def registers(x: np.ndarray) -> np.ndarray:
@@ -63,13 +64,12 @@ def _sketched(batches):
     for b in batches:
         for i, j, data, at in C.chunks(b.column("text")):
             hashes, ends = shingles(data, at)
-            n, a, x, regs = np.zeros(j - i, np.int64), np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64), [b""] * (j - i)
+            n, node, regs = np.zeros(j - i, np.int64), [b""] * (j - i), [b""] * (j - i)
             for d in range(j - i):
                 if ends[d] < ends[d + 1]:
                     s = np.unique(hashes[ends[d] : ends[d + 1]])
-                    n[d], a[d], x[d], regs[d] = len(s), C.mixed(s).sum(), np.bitwise_xor.reduce(C.mixed(s + np.uint64(1))), registers(s).tobytes()
-            node = C.mixed(a + C.mixed(x) + n.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("tag").slice(i, j - i), pa.array(n), pa.array(node.view(np.int64)), pa.array(regs, pa.binary())], ["id", "tag", "n", "node", "regs"])
+                    n[d], node[d], regs[d] = len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), registers(s).tobytes()
+            yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("tag").slice(i, j - i), pa.array(n), pa.array(node, pa.binary()), pa.array(regs, pa.binary())], ["id", "tag", "n", "node", "regs"])
 
 
 def _sets(batches):
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     kept or all not. tag is a hash of the text. An empty table gives no rows.
     """
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
-    sketched = C.written(rows.mapInArrow(_sketched, "id long, tag long, n long, node long, regs binary"))
+    sketched = C.written(rows.mapInArrow(_sketched, "id long, tag long, n long, node binary, regs binary"))
     nodes = C.written(sketched.filter("n > 0").groupBy("node").agg(F.min(F.struct("id", "tag", "n", "regs")).alias("m")).select("node", "m.*"))
     value = F.posexplode(F.array(*[F.substring("regs", 2 * BAND * k + 1, 2 * BAND) for k in range(REGISTERS // BAND)]))
     banded = nodes.select("node", value).select(F.xxhash64("pos", "col").alias("bucket"), "node")
@@ -194,14 +194,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     candidates = members.select("node").distinct().join(nodes, "node")
     labels = C.written(candidates.select("node", F.col("node").alias("comp")))
     chosen = candidates.select("node", "id", "tag")
-    sets = C.written(rows.join(chosen, ["id", "tag"]).dropDuplicates(["id", "tag"]).select("node", "text").mapInArrow(_sets, "node long, items binary"))
+    sets = C.written(rows.join(chosen, ["id", "tag"]).dropDuplicates(["id", "tag"]).select("node", "text").mapInArrow(_sets, "node binary, items binary"))
     sketches = nodes.select("node", "n", "regs")
     tested = None
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sketches.withColumnRenamed("node", "a"), "a").join(sketches.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("regs").alias("regs2")), "b").mapInArrow(partial(_plausible, percent=percent), "a long, b long")
+        pairs = pairs.join(sketches.withColumnRenamed("node", "a"), "a").join(sketches.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("regs").alias("regs2")), "b").mapInArrow(partial(_plausible, percent=percent), "a binary, b binary")
         both = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("items2")), "b")
-        return C.written(both.mapInArrow(partial(_linked, percent=percent), "a long, b long"))
+        return C.written(both.mapInArrow(partial(_linked, percent=percent), "a binary, b binary"))
 
     for round_ in range(ROUNDS):
         in_bucket = members.select("bucket", "node").join(labels, "node")
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = open_.join(sets, "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "items")
-    rest = dealt.groupBy("bucket", "i", "j").applyInPandas(lambda group: _block_links(group, percent), "a long, b long")
+    rest = dealt.groupBy("bucket", "i", "j").applyInPandas(lambda group: _block_links(group, percent), "a binary, b binary")
     labels = C.written(components(labels, C.written(rest.distinct())))
     least = labels.join(nodes.select("node", "id"), "node").withColumn("component", F.min("id").over(Window.partitionBy("comp"))).select("node", "component")
     named = nodes.select("node", "id").join(least, "node", "left").select("node", F.coalesce("component", "id").alias("component"))

@@ -33,7 +33,7 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 def word_symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of the words of all texts, and the first word of each text (and the end)."""
     starts, ends, first = C.word_bounds(~C.SPACE[data], at)
-    return C.Rolling(C.BYTE_SYMBOLS[data]).slices(starts, ends), starts, ends, first
+    return C.word_hashes(data, starts, ends), starts, ends, first
 
 
 def _column(b: pa.RecordBatch, name: str, i: int, j: int) -> np.ndarray:
@@ -93,21 +93,35 @@ def _marks(b: pa.RecordBatch, name: str, i: int, j: int) -> tuple[np.ndarray, np
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(j - i), n)
 
 
+def window_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2b of the windows that begin at the words `here`, their words joined by one space."""
+    if not len(here):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    used = np.cumsum(np.bincount(here, minlength=len(starts) + WINDOW) - np.bincount(here + WINDOW, minlength=len(starts) + WINDOW))[: len(starts)] > 0
+    size = np.where(used, ends - starts + 1, 0)
+    end = np.cumsum(size)
+    joined = np.full(int(end[-1]), 0x20, np.uint8)
+    length = (ends - starts)[used]
+    step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    joined[np.repeat((end - size)[used], length) + step] = data[np.repeat(starts[used], length) + step]
+    found = C.digests(joined.tobytes(), (end - size)[here], end[here + WINDOW - 1] - 1).view(np.uint64)
+    return np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])
+
+
 def _windows(batches):
     for b in batches:
         for i, j, data, at in C.chunks(b.column("text")):
-            symbols, _, _, first = word_symbols(data, at)
+            starts, ends, first = C.word_bounds(~C.SPACE[data], at)
             marks, owner = _marks(b, "marks", i, j)
             near = spread(marks, owner, first, WINDOW - ANCHOR, 0)
             doc = np.repeat(np.arange(j - i), np.diff(first))
-            near &= np.arange(len(symbols)) <= first[doc + 1] - WINDOW
+            near &= np.arange(len(starts)) <= first[doc + 1] - WINDOW
             here = np.flatnonzero(near)
-            h = C.Rolling(symbols).slices(here, here + WINDOW)
-            check = C.Rolling(C.mixed(symbols + np.uint64(1)), 1).slices(here, here + WINDOW) >> np.uint64(33)
+            h, check = window_digests(data, starts, ends, here)
             doc = doc[here]
             ids = _column(b, "id", i, j)[doc]
             known = ids > _met([check, h], ids)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(_apart(h, known)), pa.array(check.astype(np.int32)), pa.array(ids), pa.array(_column(b, "tag", i, j)[doc]), pa.array((here - first[doc]).astype(np.int32)), pa.array(known)], ["h", "h2", "id", "tag", "pos", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(_apart(h, known)), pa.array(check.view(np.int64)), pa.array(ids), pa.array(_column(b, "tag", i, j)[doc]), pa.array((here - first[doc]).astype(np.int32)), pa.array(known)], ["h", "h2", "id", "tag", "pos", "known"])
 
 
 def _kept(batches):
@@ -149,7 +163,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     marked = C.written(by_row(shared.select("id", "tag", "pos")))
     near = rows.join(marked, ["id", "tag"]).select("id", "tag", "text", "marks")
     equal = Window.partitionBy("h", "h2")
-    repeats = near.mapInArrow(_windows, "h long, h2 int, id long, tag long, pos int, known boolean").withColumn("lo", F.min("id").over(equal)).filter("known or id > lo")
+    repeats = near.mapInArrow(_windows, "h long, h2 long, id long, tag long, pos int, known boolean").withColumn("lo", F.min("id").over(equal)).filter("known or id > lo")
     gone = by_row(repeats.select("id", "tag", "pos"))
     return rows.join(gone, ["id", "tag"], "left").select("doc_id", "text", "marks").mapInArrow(_kept, f"doc_id {docs.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept_text string")
 
