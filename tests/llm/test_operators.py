@@ -113,6 +113,46 @@ def test_block_step_decides_alone(spark, monkeypatch):
     test_near_duplicate_family(spark)
 
 
+def test_large_bucket_without_links(spark, monkeypatch):
+    """Texts that share a third of their shingles meet in buckets and do not link; the blocks hold few of them."""
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 4000)
+    rng = random.Random(21)
+    shared = words(rng, 80)
+    data = [(i, f"{shared} {words(rng, 40, 10**7)}") for i in range(120)]
+    data += [(1000 + i, t + " end") for i, t in data[:20]]
+    rng.shuffle(data)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {i: c for (i, _), (_, c) in zip(data, brute.near_groups(data), strict=True)}
+
+
+def test_recall_of_links(spark):
+    """Pairs at similarities around the threshold: no link that plain Python finds is lost."""
+    rng = random.Random(33)
+    data = []
+    for k in range(150):
+        w = words(rng, 120, 10**6).split()
+        other = list(w)
+        for at in rng.sample(range(120), rng.choice((1, 2, 3))):
+            other[at] = f"z{rng.random()}"
+        data += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    want = {i for (i, _), (_, c) in zip(data, brute.near_groups(data), strict=True) if c != i}
+    got = {r["doc_id"] for r in neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).filter("not kept").collect()}
+    assert 40 < len(want) < 150 and got == want
+
+
+def test_shared_prompt_line(spark):
+    """Many items share a line that one text holds many times: (item x place) is never laid out at once."""
+    line = " ".join(f"p{i}" for i in range(11))
+    items = [(i, f"{line} item {i} has its own words here and they go on for some time {i}") for i in range(400)]
+    rows = [(1, f"{line}\n" * 400), (2, f"x {items[7][1]} y"), (3, line.upper()), (4, "nothing of it")]
+    found = decontaminate.annotate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).collect()
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"])) for r in found}
+    assert got == {i: w[:3] for (i, _), w in zip(rows, brute.contamination([t for _, t in rows], items), strict=True)}
+    by_item = {m["item"]: m["words"] for r in found if r["doc_id"] == 2 for m in r["matches"]}
+    assert by_item["7"] == len(items[7][1].split()) and by_item["8"] == 12
+
+
 def test_registers_estimate():
     rng = np.random.default_rng(2)
     grid = np.linspace(0.02, 1, 50)

@@ -8,6 +8,8 @@ sent to the tasks in blocks of bounded size, one pass over the documents for eac
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +19,8 @@ from . import common as C
 
 #: Words of a window; bytes of benchmark text in a block (the bound of what is broadcast); bytes of a shard.
 WINDOW, BLOCK_BYTES, SHARD_BYTES = 10, 8 << 20, 4 << 20
+#: Pairs of a place in a document and one in an item that are open at once, unless one item has more.
+MOST_PAIRS = 1 << 20
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 FILTER_BITS = 22
@@ -36,18 +40,31 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class TestSuffixes:
-    """The windows of a block of benchmark items, by width, and a bit filter of the word pairs that begin one."""
+    """The different windows of a block of benchmark items, by width, where each stands, and a bit filter of the word pairs that begin one.
+
+    A window that repeats inside an item stands at its first place there.
+    """
 
     def __init__(self, ids: list[str | None], texts: list[str | None]):
         words, first = word_hashes(*C.utf8(pa.array(texts, pa.large_string())))
         self.ids, n = ids, np.diff(first) - 1
         width = np.minimum(n, WINDOW)
         count = np.where(n > 0, n - width + 1, 0)
-        self.item = np.repeat(np.arange(len(ids)), count)
-        self.offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        self.width = width[self.item]
-        self.words = words[(first[self.item] + self.offset)[:, None] + np.arange(WINDOW)] if len(self.item) else np.empty((0, WINDOW), np.uint64)
-        self.words[np.arange(WINDOW) >= self.width[:, None]] = 0
+        item = np.repeat(np.arange(len(ids)), count)
+        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        rows = words[(first[item] + offset)[:, None] + np.arange(WINDOW)] if len(item) else np.empty((0, WINDOW), np.uint64)
+        rows[np.arange(WINDOW) >= width[item][:, None]] = 0
+        order = np.lexsort((offset, item, *rows.T[::-1]))
+        rows, item, offset = rows[order], item[order], offset[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(1)
+        self.words, window = rows[new], np.cumsum(new) - 1
+        self.width = (self.words != 0).sum(1)
+        once = new.copy()
+        once[1:] |= item[1:] != item[:-1]
+        # places: (window, item, offset), by window
+        self.window, self.item, self.offset = window[once], item[once], offset[once]
+        self.places = np.searchsorted(self.window, np.arange(len(self.words) + 1))
         self.pairs, self.singles = np.zeros(1 << FILTER_BITS, bool), np.zeros(1 << FILTER_BITS, bool)
         two = self.width > 1
         self.pairs[self.slot(self.words[two, 0], self.words[two, 1])] = True
@@ -93,8 +110,8 @@ def find(words: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray]
         which = np.flatnonzero(test.width == w)
         lo, hi = (bound(keys, test.words[which, :w], up) for up in (False, True))
         n = hi - lo
-        q, k = np.repeat(which, n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        found.append((q, at[k]))
+        row, k = _expand(lo, n)
+        found.append((which[row], at[k]))
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
@@ -104,6 +121,52 @@ def _lists(per_row: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, values)
 
 
+def _expand(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start of the row + 0..n-1) for every row."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def longest(q: np.ndarray, p: np.ndarray, doc: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, ...]:
+    """(doc, item, place in the shard, place in the item, words) of the longest match of every item in every document that has one; the first of equals.
+
+    Items are taken in groups, so that the pairs of places that are open at once stay few.
+    """
+    order = np.lexsort((p, q))
+    q, p, doc = q[order], p[order], doc[order]
+    at = np.searchsorted(q, np.arange(len(test.words) + 1))
+    entry = np.flatnonzero(np.diff(at)[test.window])
+    entry = entry[np.argsort(test.item[entry], kind="stable")]
+    n = np.diff(at)[test.window[entry]]
+    item = test.item[entry]
+    upto, found, i = np.cumsum(n), [], 0
+    while i < len(entry):
+        j = max(int(np.searchsorted(upto, (upto[i - 1] if i else 0) + MOST_PAIRS, "right")), i + 1)
+        j = int(np.searchsorted(item, item[j], "left")) if j < len(entry) else j
+        j = j if j > i else int(np.searchsorted(item, item[i], "right"))
+        row, k = _expand(at[test.window[entry[i:j]]], n[i:j])
+        e = entry[i:j][row]
+        diagonal = p[k] - test.offset[e]
+        by = np.lexsort((p[k], diagonal, test.item[e]))
+        e, k, diagonal = e[by], k[by], diagonal[by]
+        new = np.ones(len(e) + 1, bool)
+        new[1:-1] = (np.diff(test.item[e]) != 0) | (np.diff(diagonal) != 0) | (np.diff(p[k]) != 1)
+        begin, end = np.flatnonzero(new)[:-1], np.flatnonzero(new)[1:] - 1
+        words = p[k[end]] + test.width[q[k[end]]] - p[k[begin]]
+        by = np.lexsort((p[k[begin]], -words, test.item[e[begin]], doc[k[begin]]))
+        begin, words = begin[by], words[by]
+        first = np.ones(len(begin), bool)
+        first[1:] = (np.diff(doc[k[begin]]) != 0) | (np.diff(test.item[e[begin]]) != 0)
+        begin, words = begin[first], words[first]
+        found.append((doc[k[begin]], test.item[e[begin]], p[k[begin]], test.offset[e[begin]], words))
+        i = j
+    if not found:
+        return (np.empty(0, np.int64),) * 5
+    out = [np.concatenate(c) for c in zip(*found, strict=True)]
+    by = np.lexsort((out[1], out[0]))
+    return tuple(c[by] for c in out)
+
+
 def search(data: np.ndarray, at: np.ndarray, test: TestSuffixes, before: pa.Array | None) -> list[pa.Array]:
     """The columns ADDED of one shard. before: the cover of earlier blocks."""
     words, first = word_hashes(data, at)
@@ -124,28 +187,31 @@ def search(data: np.ndarray, at: np.ndarray, test: TestSuffixes, before: pa.Arra
     owner = np.searchsorted(first, start, "right") - 1
     n_hit = np.bincount(owner, stop - start, docs).astype(np.int64)
     cover = _lists(2 * np.bincount(owner, minlength=docs), pa.array((np.stack([start, stop], 1) - first[owner][:, None]).ravel().astype(np.int32)))
-    pairs = np.unique(np.stack([doc, test.item[q]], 1), axis=0)
-    items = _lists(np.bincount(pairs[:, 0], minlength=docs), pa.array([test.ids[i] for i in pairs[:, 1]], pa.string()))
-    # windows that follow one another in document and item make one longest match
-    order = np.lexsort([p, p - test.offset[q], test.item[q]])
-    q, p, doc = q[order], p[order], doc[order]
-    new = np.ones(len(q), bool)
-    new[1:] = (np.diff(test.item[q]) != 0) | (np.diff(p - test.offset[q]) != 0) | (np.diff(p) != 1)
-    begin, end = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(q)) - 1 if len(q) else np.empty(0, np.int64)
-    by_doc = np.argsort(doc[begin], kind="stable")
-    begin, end = begin[by_doc], end[by_doc]
-    fields = [pa.array([test.ids[i] for i in test.item[q[begin]]], pa.string()), pa.array((p[begin] - first[doc[begin]]).astype(np.int32)), pa.array(test.offset[q[begin]].astype(np.int32)), pa.array((p[end] + test.width[q[end]] - p[begin]).astype(np.int32))]
-    matches = _lists(np.bincount(doc[begin], minlength=docs), pa.StructArray.from_arrays(fields, fields=list(MATCH)))
-    return [pa.array(n_words), pa.array(n_hit), cover, items, matches]
+    d, item, place, offset, length = longest(q, p, doc, test)
+    per_doc = np.bincount(d, minlength=docs)
+    names = pa.array([test.ids[i] for i in item], pa.string())
+    fields = [names, pa.array((place - first[d]).astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(length.astype(np.int32))]
+    return [pa.array(n_words), pa.array(n_hit), cover, _lists(per_doc, names), _lists(per_doc, pa.StructArray.from_arrays(fields, fields=list(MATCH)))]
+
+
+_built: dict[tuple, TestSuffixes] = {}
+
+
+def built(key: tuple, rows: list) -> TestSuffixes:
+    """The suffixes of a block, built once in each worker; only the last block's are kept."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = TestSuffixes([r[0] for r in rows], [r[1] for r in rows])
+    return _built[key]
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of every row of docs (all: None), and those of ADDED; clashing columns are replaced.
 
     cover: word ranges in any match, as start, end, start, end; items: the items with a window here
-    (an item without an id has matches, but no name); matches: the longest verbatim matches of at
-    least a window. Null and empty texts have no words; an empty benchmark matches nothing. Narrow:
-    no row is shuffled, each row is judged by itself, so repeated ids do no harm.
+    (an item without an id has matches, but no name); matches: the longest verbatim match of each of
+    these items, of at least a window. Null and empty texts have no words; an empty benchmark matches nothing. A block's texts are
+    sent as they are and made into suffixes in the tasks. Narrow: no row is shuffled, each row is judged by itself, so repeated ids do no harm.
     """
     added = ("n_words", "n_hit", "cover", "items", "matches")
     docs = docs.drop(*added)
@@ -155,14 +221,15 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = Non
     out = docs.select(*dict.fromkeys([*keep, "text"]))
     for k in range(blocks):
         rows = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select(F.col("item_id").cast("string"), "text").collect()
-        sent = docs.sparkSession.sparkContext.broadcast(TestSuffixes([r[0] for r in rows], [r[1] for r in rows]))
+        sent, name = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows]), (uuid.uuid4().hex, k)
         columns = keep if k == blocks - 1 else list(dict.fromkeys([*keep, "text"]))
 
-        def one(batches, k=k, sent=sent, columns=columns):
+        def one(batches, k=k, sent=sent, name=name, columns=columns):
+            test = built(name, sent.value)
             for b in batches:
                 for i, j, data, at in C.chunks(b.column("text"), SHARD_BYTES):
                     own = b.slice(i, j - i)
-                    new = search(data, at, sent.value, own.column("cover") if k else None)
+                    new = search(data, at, test, own.column("cover") if k else None)
                     if k:
                         for c in (3, 4):
                             new[c] = pa.array([x + y for x, y in zip(own.column(added[c]).to_pylist(), new[c].to_pylist(), strict=True)], new[c].type)

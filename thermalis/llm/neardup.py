@@ -3,10 +3,11 @@
 A register is the minimum of exponential variates over a document's shingles, truncated to a power
 of BASE (Ertl's SetSketch). Equal sets form one node first. Bands of register values give buckets.
 Within a bucket, members are compared with one centre; after a few such rounds nearly all buckets
-lie in one component. The rest is decided exactly in blocks, which give one row a member, never one
-a pair. So a group of k copies costs about k comparisons, and yet no linked pair that shares a bucket
-is left undecided: a pair is passed over only if it is in one component already. At similarity 0.85 a pair shares no bucket
-with probability (1 - 0.85**4)**32, about 6e-11; at 0.8, about 5e-8.
+lie in one component. A bucket that does not is decided exactly in blocks, bounded in members and in
+shingles, which give one row a member, never one a pair. So a group of k copies costs about k
+comparisons, and yet no linked pair that shares a bucket is left undecided: a pair is passed over
+only if it is in one component already. At similarity 0.85 a pair shares no bucket with probability
+(1 - 0.85**4)**32, about 6e-11; at 0.8, about 5e-8.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ PERCENT = 85
 REGISTERS, BAND, BASE, ZERO = 128, 4, 1.02, 200
 #: A pair is dropped unverified when its likelihood estimate lies this many standard deviations below the threshold.
 DOUBT = 5.0
-#: Rounds of comparison with a centre; expected members of a block afterwards.
-ROUNDS, BLOCK = 2, 512
+#: Rounds of comparison with a centre; expected members and shingles of a block afterwards.
+ROUNDS, BLOCK, BLOCK_SHINGLES = 2, 512, 4 << 20
 #: A null id counts as the largest.
 LAST = (1 << 63) - 1
 MULTIPLY = (C.splitmix(REGISTERS, 3) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -143,6 +144,14 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return labels.join(at, labels["comp"] == at["k"], "left").select("node", F.coalesce("to", "comp").alias("comp"))
 
 
+def split(held: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(bucket, node, comp, parts) of the buckets that lie in several components; parts: into how many blocks each is cut, by members and by their shingles."""
+    size = held.join(sketches.select("node", "n"), "node")
+    buckets = size.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).filter("lo != hi")
+    parts = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
+    return held.join(buckets.select("bucket", parts.alias("parts")), "bucket").select("bucket", "node", "comp", "parts")
+
+
 def _block_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Which members of one pair of blocks hang together by exact links: each with the first of its kind, so at most one row a member.
 
@@ -212,10 +221,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         pairs = C.written(pairs)
         tested = pairs if tested is None else tested.union(pairs)
         labels = C.written(components(labels, verified(pairs)))
-    open_ = members.join(labels, "node").withColumn("split", F.min("comp").over(Window.partitionBy("bucket")) != F.max("comp").over(Window.partitionBy("bucket"))).filter("split and k > 2")
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = open_.join(sets, "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "items")
+    held = split(members.select("bucket", "node").join(labels, "node"), sketches)
+    block = F.pmod(F.xxhash64("node"), "parts").cast("int")
+    dealt = held.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(sets, "node").select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "items")
     rest = dealt.groupBy("bucket", "i", "j").applyInPandas(lambda group: _block_links(group, percent), "a binary, b binary")
     labels = C.written(components(labels, C.written(rest.distinct())))
     least = labels.join(nodes.select("node", "id"), "node").withColumn("component", F.min("id").over(Window.partitionBy("comp"))).select("node", "component")

@@ -94,7 +94,7 @@ def _marks(b: pa.RecordBatch, name: str, i: int, j: int) -> tuple[np.ndarray, np
 
 
 def window_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of BLAKE2b of the windows that begin at the words `here`, their words joined by one space."""
+    """BLAKE2b (two columns) of the windows that begin at the words `here`, their words joined by one space."""
     if not len(here):
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     used = np.cumsum(np.bincount(here, minlength=len(starts) + WINDOW) - np.bincount(here + WINDOW, minlength=len(starts) + WINDOW))[: len(starts)] > 0
@@ -121,7 +121,7 @@ def _windows(batches):
             doc = doc[here]
             ids = _column(b, "id", i, j)[doc]
             known = ids > _met([check, h], ids)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(_apart(h, known)), pa.array(check.view(np.int64)), pa.array(ids), pa.array(_column(b, "tag", i, j)[doc]), pa.array((here - first[doc]).astype(np.int32)), pa.array(known)], ["h", "h2", "id", "tag", "pos", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(_apart(h, known)), pa.array(check.astype(np.uint32).view(np.int32)), pa.array(ids), pa.array(_column(b, "tag", i, j)[doc]), pa.array((here - first[doc]).astype(np.int32)), pa.array(known)], ["h", "h2", "id", "tag", "pos", "known"])
 
 
 def _kept(batches):
@@ -163,7 +163,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     marked = C.written(by_row(shared.select("id", "tag", "pos")))
     near = rows.join(marked, ["id", "tag"]).select("id", "tag", "text", "marks")
     equal = Window.partitionBy("h", "h2")
-    repeats = near.mapInArrow(_windows, "h long, h2 long, id long, tag long, pos int, known boolean").withColumn("lo", F.min("id").over(equal)).filter("known or id > lo")
+    repeats = near.mapInArrow(_windows, "h long, h2 int, id long, tag long, pos int, known boolean").withColumn("lo", F.min("id").over(equal)).filter("known or id > lo")
     gone = by_row(repeats.select("id", "tag", "pos"))
     return rows.join(gone, ["id", "tag"], "left").select("doc_id", "text", "marks").mapInArrow(_kept, f"doc_id {docs.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept_text string")
 

@@ -66,7 +66,7 @@ def _named(batches):
             rolling = C.Rolling(C.BYTE_SYMBOLS[data])
             doc, lo, n, place, seed = segments(data, at, rolling)
             whole = C.digests(data.tobytes(), lo, lo + n + LENGTH - 1).view(np.uint64)
-            whole, whole2 = whole[:, 0], whole[:, 1]
+            whole, whole2 = whole[:, 0].copy(), whole[:, 1].copy()
             ids, tags = (b.column(c).slice(i, j - i).to_numpy(zero_copy_only=False)[doc] for c in ("id", "tag"))
             # equal segments of the chunk: the first stands for all, the others are known to repeat and go anywhere
             order = np.lexsort((whole2, whole, seed))
@@ -75,7 +75,7 @@ def _named(batches):
             stands = np.zeros(len(order), np.int32)
             stands[order[new]] = np.diff(np.append(np.flatnonzero(new), len(order)))
             seed = np.where(stands > 0, seed, C.mixed(whole + np.arange(len(order), dtype=np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seed.view(np.int64), whole.view(np.int64), whole2.view(np.int64), ids, tags, mark(lo - at[doc], n, place - lo), stands)], ["seed", "whole", "whole2", "id", "tag", "mark", "stands"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seed.view(np.int64), whole.view(np.int64), whole2.astype(np.uint32).view(np.int32), ids, tags, mark(lo - at[doc], n, place - lo), stands)], ["seed", "whole", "whole2", "id", "tag", "mark", "stands"])
 
 
 def mark(lo: np.ndarray, n: np.ndarray, to_place: np.ndarray) -> np.ndarray:
@@ -116,7 +116,7 @@ def _positions(batches):
             doc, pos = np.repeat(doc, n), np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             start, rolling = at[doc] + pos, C.Rolling(C.BYTE_SYMBOLS[data], 2)
             full = C.digests(data.tobytes(), start, start + LENGTH)
-            names = rolling.slices(start, start + HALF).view(np.int64), full[:, 0], full[:, 1]
+            names = rolling.slices(start, start + HALF).view(np.int64), full[:, 0].copy(), full[:, 1].astype(np.uint32).view(np.int32)
             ids, tags = (b.column(c).slice(i, j - i).to_numpy(zero_copy_only=False)[doc] for c in ("id", "tag"))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*names, ids, tags, pos.astype(np.int32))], ["a", "b", "b2", "id", "tag", "pos"])
 
@@ -161,7 +161,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     apart; the marks of each text; and the texts once, as all three reads use the same exchange.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
-    named = rows.select("id", "tag", "text").mapInArrow(_named, "seed long, whole long, whole2 long, id long, tag long, mark long, stands int")
+    named = rows.select("id", "tag", "text").mapInArrow(_named, "seed long, whole long, whole2 int, id long, tag long, mark long, stands int")
     seed, whole = Window.partitionBy("seed"), Window.partitionBy("seed", "whole", "whole2")
     judged = (
         named.withColumns({"least": F.min(F.struct("whole", "whole2")).over(seed), "most": F.max(F.struct("whole", "whole2")).over(seed), "same": F.sum("stands").over(seed)})
@@ -178,7 +178,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     parts = with_text(judged.filter("open")).mapInArrow(_parts, "name long, id long, tag long, mark long")
     apart = parts.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("name"))).filter("k > 1").select("id", "tag", "mark")
-    positions = with_text(apart).mapInArrow(_positions, "a long, b long, b2 long, id long, tag long, pos int")
+    positions = with_text(apart).mapInArrow(_positions, "a long, b long, b2 int, id long, tag long, pos int")
     short, full = Window.partitionBy("a"), Window.partitionBy("a", "b", "b2")
     doubled = positions.withColumn("k", F.count(F.lit(1)).over(short)).filter("k > 1").withColumn("k", F.count(F.lit(1)).over(full)).filter("k > 1")
     gone = judged.filter("repeats").select("id", "tag", "mark").union(doubled.select("id", "tag", F.expr("shiftleft(cast(pos as bigint), 18) + 512").alias("mark"))).groupBy("id", "tag").agg(F.collect_set("mark").alias("marks"))
