@@ -50,7 +50,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def near_groups(rows):
+def near_groups(rows, percent=85):
     """(n_shingles, component_id) of rows (id, text); a null id is the largest and a null component."""
     big = 1 << 62
     sets = [shingles(t) for _, t in rows]
@@ -64,7 +64,7 @@ def near_groups(rows):
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 parent[find(a)] = find(b)
     best = {}
     for k, (i, _) in enumerate(rows):
