@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,6 +166,51 @@ def history(spark, rows):
     return frame(spark, [(i, float(x), float(y), d, "VIIRS", "vegetation") for i, (x, y, d) in enumerate(rows)], "detection_id long, x double, y double, day int, instrument string, pred_class string")
 
 
+def test_clusters_against_all_pairs(spark):
+    """Components, neighbours and density clusters on places with copies, a dense square and a chain."""
+    rng = random.Random(4)
+    pts = [(rng.uniform(0, 900), rng.uniform(0, 900)) for _ in range(150)] + [(2000 + rng.uniform(0, 40), 50.0) for _ in range(60)] + [(3000 + 95 * k, 0.0) for k in range(20)] + [(5000.0, 5000.0)] * 7 + [(-1e-9, 0.0), (89.99, 0.0)]
+    rows = [(i, float(x), float(y), 1 + i % 3, i % 4) for i, (x, y) in enumerate(pts)]
+    df = frame(spark, rows, "id long, x double, y double, weight int, day int")
+    close = lambda a, b, r: math.hypot(a[1] - b[1], a[2] - b[2]) <= r
+
+    def comps(items, link):
+        comp = {a[0]: a[0] for a in items}
+        while True:
+            new = {a[0]: min(comp[b[0]] for b in items if link(a, b)) for a in items}
+            if new == comp:
+                return comp
+            comp = new
+
+    got = lambda d: {tuple(r)[0]: tuple(r)[1] for r in d.collect()}
+    assert got(spatial.components_within(df, 100.0)) == comps(rows, lambda a, b: close(a, b, 100))
+    assert got(spatial.components_within(df, 100.0, ("day",))) == comps(rows, lambda a, b: a[4] == b[4] and close(a, b, 100))
+    assert got(spatial.neighbours_within(df, 100.0)) == {a[0]: sum(close(a, b, 100) for b in rows) for a in rows}
+    core = {a[0]: sum(b[3] for b in rows if close(a, b, 60)) >= 9 for a in rows}
+    cluster = comps([a for a in rows if core[a[0]]], lambda a, b: close(a, b, 60))
+    want = {a[0]: (core[a[0]], min((cluster[b[0]] for b in rows if core[b[0]] and close(a, b, 60)), default=None)) for a in rows}
+    assert {r["id"]: (r["core"], r["cluster"]) for r in spatial.weighted_dbscan(df, 60.0, 9).collect()} == want
+    assert spatial.components_within(df.limit(0), 100.0).count() == 0
+
+
+def test_sites_part_no_event(spark):
+    """Events found site by site are those of one replay over all detections."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(260):
+        place, day = rng.randrange(5), rng.randrange(40)
+        sid = rng.choice((None, None, None, float(place)))
+        rows.append((i, sid, sid is not None and place == 2, None, 3000.0 * place + rng.uniform(0, 1500), rng.uniform(0, 1500), dt.datetime(2024, 1, 1) + dt.timedelta(days=day, minutes=rng.randrange(1440))))
+    det = frame(spark, rows, "detection_id long, source_id double, provisional boolean, retired long, x double, y double, acq_datetime timestamp")
+    groups = {}
+    for e in events.assemble(det).collect():
+        groups.setdefault((e["site"], e["no"]), set()).add(e["detection_id"])
+    whole = det.select("*", F.unix_micros("acq_datetime").alias("t"), F.unix_date(F.to_date("acq_datetime")).alias("day"), F.lit(0).alias("site")).toPandas()
+    whole["start"] = whole.groupby("day")["t"].transform("min")
+    want = events._link(whole).groupby("no")["detection_id"].agg(set)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want)) and len({s for s, _ in groups}) >= 5
+
+
 def test_promotion(spark):
     still = [(1000 + (d * 37) % 60, 1000, d) for d in range(25)]
     got = routing.promotions(history(spark, still)).collect()

@@ -102,3 +102,21 @@ def label_sources(near: DataFrame) -> DataFrame:
 def biomass_decision(candidates: int, industrial: int, least: int = 30, most: float = 0.5) -> bool:
     """Whether land cover may label recurrent biomass: enough candidates, under half of them on confirmed industry."""
     return candidates >= least and industrial / max(candidates, 1) < most
+
+
+def label_census(labelled: DataFrame) -> DataFrame:
+    """(label_group, n_sources, n_contested): sources by their group, and those that have others near as well."""
+    contested = (F.size("groups_near") > 1).cast("int")
+    return labelled.groupBy("label_group").agg(F.count(F.lit(1)).alias("n_sources"), F.sum(contested).alias("n_contested"))
+
+
+def by_product(det: DataFrame) -> DataFrame:
+    """(instrument, product, n, first, last) of what was loaded."""
+    return det.groupBy("instrument", "product").agg(F.count(F.lit(1)).alias("n"), F.min("acq_datetime").alias("first"), F.max("acq_datetime").alias("last"))
+
+
+def on_superseded_days(det: DataFrame) -> DataFrame:
+    """(sensor, n): near-real-time rows on sensor-days that have standard ones; a clean load has none."""
+    day = F.to_date("acq_datetime").alias("day")
+    standard = det.filter("product = 'SP'").select("sensor", day).distinct()
+    return det.filter("product = 'NRT'").select("sensor", day).join(standard, ["sensor", "day"], "left_semi").groupBy("sensor").agg(F.count(F.lit(1)).alias("n"))

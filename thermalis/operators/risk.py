@@ -118,3 +118,20 @@ def kernel_sums(cells: DataFrame, row_km: float, col_km: float, bearing: Column
     both = wanted.join(values, ["row", "col"], "left")
     inside = F.coalesce(F.array_contains("sectors", F.col("_s")), F.lit(False))
     return both.groupBy("row", "col").agg(F.coalesce(F.sum(F.when(F.col("in_disk"), F.col("v"))), F.lit(0.0)).alias("disk"), F.when(F.first("_s").isNotNull(), F.coalesce(F.sum(F.when(inside, F.col("v"))), F.lit(0.0))).alias("sector"))
+
+
+def asset_terms(events: DataFrame, assets: DataFrame) -> DataFrame:
+    """(id, nearest_m, nearest_criticality, asset_weight, assets_10km) of events (id, x, y) among assets (asset_id, x, y, criticality).
+
+    The nearest asset counts within V_RADIUS_M (ties: the least id) and is left out of the weight and
+    the number within ASSET_RADIUS_KM, as it is what burns. Assets at one place are summed before
+    they are joined, and pairs are added up where they are made.
+    """
+    at = events.select("id", "x", "y")
+    near = spatial.near_pairs(at, assets, V_RADIUS_M).groupBy("id").agg(F.min(F.struct("d", "r_asset_id", "r_criticality")).alias("m"))
+    places = assets.groupBy("x", "y").agg(F.sum("criticality").alias("w"), F.count(F.lit(1)).alias("n"))
+    around = spatial.near_pairs(at, places, ASSET_RADIUS_KM * 1000).groupBy("id").agg(F.sum("r_w").alias("w"), F.sum("r_n").alias("n"))
+    zero, own = F.lit(0.0), F.col("m").isNotNull().cast("long")
+    weight = F.greatest(F.coalesce("w", zero) - F.coalesce("m.r_criticality", zero), zero)
+    count = F.greatest(F.coalesce("n", F.lit(0)) - own, F.lit(0)).cast("long")
+    return at.join(near, "id", "left").join(around, "id", "left").select("id", F.col("m.d").alias("nearest_m"), F.col("m.r_criticality").alias("nearest_criticality"), weight.alias("asset_weight"), count.alias("assets_10km"))

@@ -16,18 +16,19 @@ def bucket(x: Column, y: Column, side: float) -> tuple[Column, Column]:
     return F.floor(x / side).cast("long"), F.floor(y / side).cast("long")
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius: float, keep: str = "d <= radius") -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, radius: float, keep: str = "d <= radius", same: tuple[str, ...] = ()) -> DataFrame:
     """All pairs (left columns, right columns prefixed r_, d) within `radius`. Both sides have x and y.
 
-    keep: "d <= radius" or "d < radius". Each right row goes to its 9 buckets of side `radius`.
+    keep: "d <= radius" or "d < radius". same: columns in which the pair agrees, which are part of
+    the join's key. Each right row goes to its 9 buckets of side `radius`.
     """
     bx, by = bucket(F.col("x"), F.col("y"), radius)
     lhs = left.withColumns({"_bx": bx, "_by": by})
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     rhs = right.withColumns({"_bx": bx, "_by": by}).withColumn("_s", F.explode(steps)).withColumns({"_bx": F.col("_bx") + F.col("_s.i"), "_by": F.col("_by") + F.col("_s.j")}).drop("_s")
-    rhs = rhs.select(*[F.col(c).alias(c if c in ("_bx", "_by") else f"r_{c}") for c in rhs.columns])
+    rhs = rhs.select(*[F.col(c).alias(c if c in ("_bx", "_by", *same) else f"r_{c}") for c in rhs.columns])
     d = F.sqrt(F.pow(F.col("x") - F.col("r_x"), F.lit(2.0)) + F.pow(F.col("y") - F.col("r_y"), F.lit(2.0)))
-    return lhs.join(rhs, ["_bx", "_by"]).withColumn("d", d).filter(F.expr(keep.replace("radius", repr(float(radius))))).drop("_bx", "_by")
+    return lhs.join(rhs, ["_bx", "_by", *same]).withColumn("d", d).filter(F.expr(keep.replace("radius", repr(float(radius))))).drop("_bx", "_by")
 
 
 def nearest(left: DataFrame, right: DataFrame, radius: float | Column, most: float, key: str, value: str, order: str) -> DataFrame:
@@ -58,19 +59,53 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def squares(points: DataFrame, radius: float, same: tuple[str, ...] = ()) -> DataFrame:
+    """points with `square`: the least id of those in the same square (and equal in `same`). Points of a square lie within `radius` of one another."""
+    sx, sy = bucket(F.col("x"), F.col("y"), radius * 0.7071)
+    marked = points.withColumns({"_sx": sx, "_sy": sy})
+    least = marked.groupBy("_sx", "_sy", *same).agg(F.min("id").alias("square"))
+    return marked.join(least, ["_sx", "_sy", *same]).drop("_sx", "_sy")
+
+
+def components_within(points: DataFrame, radius: float, same: tuple[str, ...] = ()) -> DataFrame:
+    """(id, comp) of points (id, x, y): comp is the least id reachable over steps of at most `radius` between points equal in `same`.
+
+    Squares stand for their points, so pairs are only made between squares, once for each different
+    place, and one row a pair of squares is kept; the pairs of a dense square are never made.
+    """
+    at = written(squares(points, radius, same).select("id", "x", "y", "square", *same))
+    places = at.groupBy("x", "y", "square", *same).agg(F.lit(1).alias("_"))
+    links = near_pairs(places, places, radius, same=same).filter("square != r_square").select(F.col("square").alias("a"), F.col("r_square").alias("b")).distinct()
+    comp = connected_components(at.select(F.col("square").alias("id")).distinct(), links)
+    return at.select("id", "square").join(comp.withColumnRenamed("id", "square"), "square").select("id", "comp")
+
+
+def neighbours_within(points: DataFrame, radius: float, weight: str | None = None) -> DataFrame:
+    """(id, n) of points (id, x, y): how many points, or how much weight, lie within `radius`, the point itself included.
+
+    A square's own sum needs no pairs; between squares equal places are summed first and pairs are
+    added up where they are made.
+    """
+    of = F.sum(weight) if weight else F.count(F.lit(1))
+    at = written(squares(points, radius))
+    inside = at.groupBy("square").agg(of.alias("inside"))
+    places = at.groupBy("x", "y", "square").agg(of.alias("w"))
+    beside = near_pairs(places, places, radius).filter("square != r_square").groupBy("x", "y", "square").agg(F.sum("r_w").alias("beside"))
+    return at.join(inside, "square").join(beside, ["x", "y", "square"], "left").select("id", (F.col("inside") + F.coalesce("beside", F.lit(0))).alias("n"))
+
+
 def weighted_dbscan(points: DataFrame, eps: float, least: float) -> DataFrame:
     """(id, core, cluster) of points (id, x, y, weight): density clusters at distance eps, inclusive.
 
     A point is a core if the weights within eps, its own included, reach `least`. A cluster's name is
     its least core id; a border point takes the least cluster in reach; noise has null.
     """
-    pairs = written(near_pairs(points, points.select("id", "x", "y", "weight"), eps).select(F.col("id").alias("a"), F.col("r_id").alias("b"), F.col("r_weight").alias("w")))
-    core = written(points.select("id").join(pairs.groupBy("a").agg(F.sum("w").alias("w")).withColumnRenamed("a", "id"), "id").select("id", (F.col("w") >= least).alias("core")))
-    cores = core.filter("core").select("id")
-    of = lambda c: cores.withColumnRenamed("id", c)
-    comp = connected_components(cores, pairs.join(of("a"), "a", "left_semi").join(of("b"), "b", "left_semi"))
-    reach = pairs.join(comp.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("cluster")).withColumnRenamed("a", "id")
-    return core.join(reach, "id", "left")
+    core = written(points.select("id", "x", "y").join(neighbours_within(points, eps, "weight"), "id").select("id", "x", "y", (F.col("n") >= least).alias("core")))
+    comp = written(components_within(core.filter("core").select("id", "x", "y"), eps))
+    named = core.join(comp, "id", "left")
+    places = named.filter("core").groupBy("x", "y").agg(F.min("comp").alias("comp"))
+    reach = near_pairs(core.filter("not core"), places, eps).groupBy("id").agg(F.min("r_comp").alias("cluster"))
+    return named.join(reach, "id", "left").select("id", "core", F.coalesce("comp", "cluster").alias("cluster"))
 
 
 def split_wide(points: DataFrame, label: str, most_km: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Names of classes that older clients send.
@@ -87,3 +87,9 @@ def in_passes(det: DataFrame, passes_: DataFrame, minutes: int = 20) -> DataFram
     p = passes_.select("source", "sensor", "session", F.col("acq_datetime").alias("_at"))
     late = F.unix_micros(F.col("acq_datetime").cast("timestamp")) - F.unix_micros(F.col("_at").cast("timestamp"))
     return det.join(p, ["source", "sensor"]).filter(late.between(0, minutes * 60_000_000)).groupBy("detection_id").agg(F.min("session").alias("session"))
+
+
+def latest(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
+    """The first k rows of every key in that order."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("_nth", nth).filter(F.col("_nth") <= k).drop("_nth")
