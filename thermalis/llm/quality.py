@@ -196,6 +196,8 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 
 
 def scores(stats: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) of every row of statistics: equal texts score alike, whatever their ids; no rows, no scores."""
+
     def score(batches):
         for b in batches:
             s = model.score(b.column("stats").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATS)).astype(float))

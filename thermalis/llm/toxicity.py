@@ -96,7 +96,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.nd
 
     Samples are taken by a hash of the id, so a rerun takes the same rows; their expected sizes are
     POSITIVES and UNLABELLED, whatever the table's size. The positives' ids are broadcast, which
-    that bound allows. Without positives every score is the prior, or 0.5 without labels.
+    that bound allows. Labels of null ids or ids without a document teach nothing, null labels are
+    passed over, and copies of a positive's text count once in the choice of features. Without
+    positives every score is below 0.02, and without labels 0.5.
     """
     known = labels.filter(~C.held_out(F.col("doc_id")) & F.col(label).isNotNull())
     n, ones = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col(label) == 1).cast("long")), F.lit(0))).first()
@@ -126,7 +128,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.nd
 
 
 def scores(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """(doc_id, score) of every row from its whole text; null text: as empty."""
+    """(doc_id, score) of every row from its whole text.
+
+    Null and empty texts score alike, by the bias; rows that repeat score alike, whatever their ids;
+    a very long text is one chunk; an empty table gives no rows; other columns are not looked at.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def score(batches):
