@@ -134,12 +134,12 @@ class Encoder:
             self.known.update((pieces[new[k]], count + j) for j, k in enumerate(order[: kept.sum()].tolist()))
         return self.ends[number], self.ends[number + 1] - self.ends[number]
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text followed by END, and the number of each text's ids with END."""
+    def encode(self, column: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text followed by `end`, and the number of each text's ids with it."""
         data, at = C.utf8(column)
         raw = data.tobytes()
         if not self.by_piece or any(s in raw for s in self.special):
-            lists = [e.ids + [END] for e in self.whole.encode_batch_fast(pc.fill_null(column, "").to_pylist(), add_special_tokens=False)]
+            lists = [e.ids + [end] for e in self.whole.encode_batch_fast(pc.fill_null(column, "").to_pylist(), add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
         cuts = piece_ends(data, at) if len(data) else np.zeros(1, np.int64)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).dictionary_encode()
@@ -156,7 +156,7 @@ class Encoder:
             source[first[1:]] -= length[:-1] - 1
             np.cumsum(source, out=source)
         bounds = upto[np.searchsorted(cuts, at)]
-        return np.insert(self.flat.take(source), bounds[1:], END), np.diff(bounds) + 1
+        return np.insert(self.flat.take(source), bounds[1:], end), np.diff(bounds) + 1
 
 
 _encoders: dict[str, Encoder] = {}
