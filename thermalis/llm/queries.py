@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, mixing, neardup, quality, sharding, substring, suffix, tokens, toxicity
+from . import decontaminate, divergence, importance, media, mixing, neardup, packing, quality, sharding, substring, suffix, tokens, toxicity
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_minhash_setsketch": neardup.op10_minhash_setsketch,
+    "op11_packing": packing.op11_packing,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_importance": importance.op13_importance,
 }
 ORACLE_SQL = {
     "op3_decontamination": decontaminate.ORACLE,
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op8_substring_dedup": substring.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_minhash_setsketch": neardup.ORACLE,
+    "op12_divergence": divergence.ORACLE,
+    "op13_importance": importance.ORACLE,
 }
