@@ -20,17 +20,17 @@ from . import common as C
 
 #: Documents of its language that a kept term is in; what is added to every count; the scale of the shares; ranks of terms.
 LEAST, ADDED, SCALE, TOP = 30, 5, 1_000_000_000, 50
-#: Leaves and counters that a task's tries hold before they are given out, and counters of a batch; kept terms of a run; sources of a block; bytes of text counted at once.
-LEAVES, COUNTERS, GIVEN, RUN, BLOCK, ROUND_BYTES = 300_000, 1_000_000, 50_000, 4096, 128, 8 << 20
+#: Leaves and counters that a task's tries hold before they are given out, and leaves of a batch; kept terms of a run; sources of a block; bytes of text counted at once.
+LEAVES, COUNTERS, GIVEN, RUN, BLOCK, ROUND_BYTES = 200_000, 600_000, 20_000, 4096, 128, 4 << 20
 TERM = np.zeros(256, bool)
 TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-LEAF = "lang string, term string, source string, n long, docs long"
+LEAF = "lang string, term string, sources array<string>, ns array<long>, docs array<long>"
 
 
 class Trie:
     """A radix trie over bytes whose leaves are numbered; a leaf's counters, [occurrences, documents] by source, lie in arrays.
 
-    A node is [label, children by first byte, number of its leaf or -1]; no node but the root has no leaf and one child only.
+    A node is [label, children by first byte or None, number of its leaf or -1]; no node but the root has no leaf and one child only.
     """
 
     def __init__(self):
@@ -41,9 +41,12 @@ class Trie:
         """The number of a term's leaf, which is made if it is not there."""
         node, at, end = self.root, 0, len(term)
         while at < end:
-            child = node[1].get(term[at])
+            children = node[1]
+            if children is None:
+                children = node[1] = {}
+            child = children.get(term[at])
             if child is None:
-                node[1][term[at]] = [term[at:], {}, self.size]
+                children[term[at]] = [term[at:], None, self.size]
                 self.size += 1
                 return self.size - 1
             label = child[0]
@@ -55,7 +58,7 @@ class Trie:
                 same += 1
             middle = [label[:same], {label[same]: child}, -1]
             child[0] = label[same:]
-            node[1][term[at]] = middle
+            children[term[at]] = middle
             node, at = middle, at + same
         if node[2] < 0:
             node[2] = self.size
@@ -91,7 +94,8 @@ class Trie:
             here = before + node[0]
             if node[2] >= 0:
                 yield here, node[2]
-            stack.extend((node[1][c], here) for c in sorted(node[1], reverse=True))
+            if node[1]:
+                stack.extend([(node[1][c], here) for c in sorted(node[1], reverse=True)])
 
     def leaves(self) -> tuple[list[bytes], np.ndarray]:
         """All terms in order, and the counters in the same order: number of the term, source, occurrences, documents."""
@@ -131,13 +135,15 @@ def count_tries(docs: DataFrame) -> DataFrame:
         source_names = pa.array(names, pa.string())
         for lang in sorted(tries):
             terms, (term, source, n, in_docs) = tries[lang].leaves()
-            terms = pa.array(terms, pa.binary()).cast(pa.string())
-            for i in range(0, len(term), GIVEN):
-                cut = slice(i, i + GIVEN)
-                columns = [pa.repeat(lang, len(term[cut])), terms.take(pa.array(term[cut])), source_names.take(pa.array(source[cut])), pa.array(n[cut]), pa.array(in_docs[cut])]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "source", "n", "docs"])
+            bounds = np.searchsorted(term, np.arange(len(terms) + 1)).astype(np.int32)
+            for i in range(0, len(terms), GIVEN):
+                some = terms[i : i + GIVEN]
+                cut, at = slice(bounds[i], bounds[i + len(some)]), pa.array(bounds[i : i + len(some) + 1] - bounds[i])
+                lists = [pa.ListArray.from_arrays(at, x) for x in (source_names.take(pa.array(source[cut])), pa.array(n[cut]), pa.array(in_docs[cut]))]
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(some)), pa.array(some, pa.binary()).cast(pa.string()), *lists], ["lang", "term", "sources", "ns", "docs"])
 
     def count(batches):
+        pa.default_memory_pool().release_unused()
         tries: dict[str, Trie] = {}
         names: dict[str, int] = {}
         for b in batches:
@@ -164,9 +170,10 @@ def merged_trie(leaves: DataFrame, least: int) -> DataFrame:
     A range of (lang, term) is one task's; its leaves come in order, equal ones one behind the other,
     and are merged as they pass. `run` numbers runs of at most RUN kept terms of one range.
     """
-    ordered = leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term", "source")
+    ordered = leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
 
     def merge(batches):
+        pa.default_memory_pool().release_unused()
         # what follows the last whole term waits for the next batch
         waiting, task, kept = [], TaskContext.get().partitionId() << 32, 0
         for b in batches:
@@ -199,20 +206,23 @@ def _merged(batches: list[pa.RecordBatch], least: int):
     if not batches:
         return
     table = pa.Table.from_batches(batches).combine_chunks()
-    lang, term, source = (table.column(c).combine_chunks() for c in ("lang", "term", "source"))
-    n, docs = table.column("n").to_numpy(), table.column("docs").to_numpy()
+    lang, term, lists, ns, docs = (table.column(c).combine_chunks() for c in ("lang", "term", "sources", "ns", "docs"))
     changed = lambda a: pc.not_equal(a.slice(1), a.slice(0, len(a) - 1)).to_numpy(zero_copy_only=False)
-    term_new = np.append(True, changed(lang) | changed(term))
-    source_new = term_new | np.append(True, changed(source))
-    at, terms = np.flatnonzero(source_new), np.flatnonzero(term_new)
-    n, in_docs = np.add.reduceat(n, at), np.add.reduceat(docs, terms)
-    of_term = np.cumsum(term_new)[at] - 1
-    kept = in_docs >= least
-    if not kept.any():
+    new = np.append(True, changed(lang) | changed(term))
+    terms, of_row = np.flatnonzero(new), np.cumsum(new) - 1
+    of_leaf = np.repeat(of_row, pc.list_value_length(lists).to_numpy())
+    n, docs = ns.flatten().to_numpy(), docs.flatten().to_numpy()
+    leaf = (np.bincount(of_leaf, docs, len(terms)) >= least)[of_leaf]  # documents of a language are below 2**53
+    if not leaf.any():
         return
-    leaf = kept[of_term]
-    bounds = np.append(0, np.cumsum(np.bincount(of_term[leaf], minlength=len(terms))[kept])).astype(np.int32)
-    yield lang.take(pa.array(terms[kept])), term.take(pa.array(terms[kept])), pa.ListArray.from_arrays(pa.array(bounds), source.take(pa.array(at[leaf]))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(n[leaf]))
+    coded = lists.flatten().filter(pa.array(leaf)).dictionary_encode()
+    sources = len(coded.dictionary)
+    counter, which = np.unique(of_leaf[leaf] * sources + coded.indices.to_numpy(), return_inverse=True)
+    total = np.zeros(len(counter), np.int64)
+    np.add.at(total, which, n[leaf])
+    kept, count = np.unique(counter // sources, return_counts=True)
+    bounds, place = pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(terms[kept])
+    yield lang.take(place), term.take(place), pa.ListArray.from_arrays(bounds, coded.dictionary.take(pa.array(counter % sources))), pa.ListArray.from_arrays(bounds, pa.array(total))
 
 
 def shares(count: np.ndarray, total: np.ndarray | int, terms: int) -> np.ndarray:
