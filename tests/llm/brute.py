@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import math
 import re
+import zlib
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -90,3 +92,52 @@ def contamination(texts, items):
                     found |= {str(i)} if i is not None else set()
         out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()))
     return out
+
+
+LETTERS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def divergence(rows, least=30, top=50):
+    """(lang, source, part, item, value, rank) of rows (lang, source, text)."""
+    rows = [tuple(x or "" for x in r) for r in rows]
+    counts, docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for lang, source, text in rows:
+        terms = LETTERS.findall(text.translate(LOWER))
+        counts[lang, source].update(terms)
+        docs.update((lang, t) for t in set(terms))
+    out = []
+    for lang in {k[0] for k in counts}:
+        kept = [t for l, t in docs if l == lang and docs[l, t] >= least]
+        groups = {s: {t: c[t] for t in kept} for (l, s), c in counts.items() if l == lang}
+        share = lambda c, n: 1 + 1_000_000_000 * (c + 5) // (n + 5 * len(kept))  # noqa: B023, E731
+        shares = {s: {t: share(c[t], sum(c.values())) for t in kept} for s, c in groups.items()}
+        whole = {t: sum(c[t] for c in groups.values()) for t in kept}
+        q = {t: share(whole[t], sum(whole.values())) for t in kept}
+        for s, p in shares.items():
+            pairs = [(o, sum(abs(p[t] - shares[o][t]) for t in kept)) for o in shares if o != s]
+            terms = [(t, p[t] - q[t]) for t in kept if groups[s][t] and p[t] > q[t]]
+            for part, found, most in (("pair", pairs, None), ("term", terms, top)):
+                found.sort(key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, i, v, k + 1) for k, (i, v) in enumerate(found[:most])]
+    return out
+
+
+def importance(rows, target, runs=1, buckets=10_000, percent=10, least=20):
+    """(doc_id, n_features, weight, score, rank) of rows (id, text)."""
+
+    def features(text):
+        w = ALNUM.findall((text or "").translate(LOWER))
+        return [zlib.crc32(" ".join(w[i : i + n]).encode()) % buckets for n in range(1, runs + 1) for i in range(len(w) - n + 1)], len(w)
+
+    found = [features(t) for _, t in rows]
+    s, t = collections.Counter(b for f, _ in found for b in f), collections.Counter(b for x in target for b in features(x)[0])
+    total, wanted = sum(s.values()) + buckets, sum(t.values()) + buckets
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * total / ((s[b] + 1) * wanted))) for b in s}
+    out = []
+    for (i, _), (f, n) in zip(rows, found, strict=True):
+        h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        out.append([i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n])
+    order = sorted((r for r in out if r[4] >= least), key=lambda r: (-r[3], r[0] is not None, r[0]))
+    rank = {id(r): k + 1 for k, r in enumerate(order[: len(order) * percent // 100])}
+    return [(*r[:4], rank.get(id(r))) for r in out]

@@ -67,6 +67,8 @@ class Trie:
 
     def add(self, terms: list[bytes], term: np.ndarray, source: np.ndarray, n: np.ndarray, docs: np.ndarray) -> None:
         """Count n occurrences in docs documents of terms[term] for each source."""
+        if not len(term):
+            return
         used, place = np.unique(term, return_inverse=True)
         leaves = np.fromiter(map(self.leaf, [terms[t] for t in used.tolist()]), np.int64, len(used))
         self.counts.append(np.stack([leaves[place], source, n, docs]))

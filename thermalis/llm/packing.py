@@ -165,21 +165,19 @@ class Search:
         return False
 
     def run(self, bins: np.ndarray, least: int) -> np.ndarray:
-        """Bins of all pieces after the search; it ends when a whole round empties none, or `least` bins are left."""
-        alive = len(self.gap)
-        while alive > least:
-            before = alive
+        """Bins of all pieces after the search; it ends when a whole round finds no step, or `least` bins are left."""
+        alive, stepped = len(self.gap), True
+        while alive > least and stepped:
+            stepped = False
             for b in sorted(self.members, key=lambda b: (-self.gap[b], b)):
-                while self.members.get(b) and self.step(b):
-                    pass
+                while self.members[b] and self.step(b):
+                    stepped = True
                 if not self.members[b]:
                     del self.members[b]
                     self.gap[b] = 0  # takes nothing any more
                     alive -= 1
                     if alive <= least:
                         break
-            if alive == before:
-                break
             self.pairs()
         out = bins.copy()
         out[self.own] = self.bin
