@@ -566,7 +566,28 @@ def source_hulls(spark, sf_dir):
 @query(None)
 def classifier_cv(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 12).alias("block"), F.element_at(F.array(*map(F.lit, ("mining", "oil_gas", "heavy_industry"))), (F.col("p_size") % 3 + 1).cast("int")).alias("label"), F.col("p_retailprice").alias("frp_med"), (F.col("p_size") % 3 * 2.0 + F.col("p_partkey") % 5).alias("night_share"))
-    return model.cross_validated(rows, ["frp_med", "night_share"], "block").select("p_partkey", "fold", "label", "predicted")
+    out = model.cross_validated(rows, ["frp_med", "night_share"], "block")
+    return out.select("p_partkey", "fold", "label", "predicted", _r("confidence", 6))
+
+
+CONFUSED = """
+j AS (SELECT l_returnflag AS label, CASE WHEN l_quantity > 25 THEN l_returnflag WHEN l_linenumber % 2 = 0 THEN 'N' ELSE 'R' END AS predicted FROM lineitem),
+c AS (
+  SELECT class, sum(support)::BIGINT AS support, sum(said) AS said, sum(hit) AS hit FROM (
+    SELECT label AS class, 1 AS support, 0 AS said, (label = predicted)::INT AS hit FROM j UNION ALL SELECT predicted, 0, 1, 0 FROM j
+  ) GROUP BY class
+), s AS (
+  SELECT class, support, hit, CASE WHEN said > 0 THEN hit / said ELSE 0 END AS p, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS r FROM c
+), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM s)"""
+
+
+@query(f"""WITH {CONFUSED} SELECT class, support, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1,
+  round(sum(hit) OVER () / sum(support) OVER (), 6) AS accuracy, round(avg(CASE WHEN support > 0 THEN r END) OVER (), 6) AS balanced_accuracy, round(avg(f1) OVER (), 6) AS macro_f1 FROM f""")
+def classifier_scores(spark, sf_dir):
+    said = F.when(F.col("l_quantity") > 25, F.col("l_returnflag")).when(F.col("l_linenumber") % 2 == 0, "N").otherwise("R")
+    judged = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label"), said.alias("predicted"))
+    shares = ("precision", "recall", "f1", "accuracy", "balanced_accuracy", "macro_f1")
+    return model.scores(judged).select("class", "support", *[_r(c, 6) for c in shares])
 
 
 # Streams
