@@ -242,13 +242,30 @@ def test_mixing(docs, rows):
         largest = {}
         for r in mine:
             largest[r["doc_id"]] = largest.get(r["doc_id"], 0) + r["size"]
-        assert want[s] - max(largest.values()) - 1 <= sum(r["taken"] for r in mine) <= want[s] + 1
+        short = want[s] - sum(r["taken"] for r in mine)
+        assert -1 <= short <= max(largest.values()) + 1
+        # what is left is less than any row that could still be taken once more, unless rows are equal
+        times = int(want[s] // max(sizes[s], 1))
+        texts = [(i, t) for i, t, x in rows if x == s]
+        left = [r["size"] for r in mine if r["size"] and r["taken"] == times * r["size"]]
+        if times < 2 and left and len(set(texts)) == len(texts):
+            assert short < min(left) + 1
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
     taken = mixing.take_mix(docs)
     assert taken.columns == docs.columns and taken.count() == sum(r["taken"] // r["size"] for r in got if r["size"])
     assert mixing.mix(empty(docs)).count() == 0 and mixing.take_mix(empty(docs)).count() == 0
 
 
+def test_mixing_fills_what_a_long_row_leaves(spark):
+    """Four of five sources end at a row far longer than what is left; shorter rows behind it fill the target."""
+    rng = random.Random(31)
+    rows = [(i, words(rng, rng.choice((900, 40, 15, 3, 1))), f"s{i % 5}") for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in range(5):
+        mine = [r for r in got if r["doc_id"] % 5 == s]
+        assert 0 <= mine[0]["target"] - sum(r["taken"] for r in mine) < 40
+
+
 def test_mixing_without_words(spark):
     d = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [(r["target"], r["taken"]) for r in mixing.mix(d).collect()] == [(0.0, 0), (0.0, 0)]
