@@ -17,7 +17,7 @@ from .common import WORDS, table, written
 #: Bits of the hash, and of each level of the histogram.
 BITS, LEVEL = 60, 15
 #: Hashes of a source behind its threshold that are offered the rest of its budget.
-FILL = 1024
+FILL = 256
 #: Weights of the sources in their order, repeating; the share of all words that the mix has; copies of a source at most.
 WEIGHTS, SHARE, COPIES = (3, 1, 2), 1.5, 2
 
@@ -159,7 +159,7 @@ r AS (
   SELECT no, h, nth, n <= rest AS yes, (rest - CASE WHEN n <= rest THEN n ELSE 0 END)::BIGINT AS rest FROM g WHERE nth = 1 AND rest > 0
   UNION ALL
   SELECT g.no, g.h, g.nth, g.n <= fill.rest, (fill.rest - CASE WHEN g.n <= fill.rest THEN g.n ELSE 0 END)::BIGINT
-  FROM fill JOIN g ON g.no = fill.no AND g.nth = fill.nth + 1 AND g.nth <= 1024
+  FROM fill JOIN g ON g.no = fill.no AND g.nth = fill.nth + 1 AND g.nth <= 256
 )
 SELECT doc_id, size, source_size, target,
   (size * least(2, times + CASE WHEN budget > 0 AND (upto <= budget OR coalesce(yes, false)) THEN 1 ELSE 0 END))::BIGINT AS taken
