@@ -6,6 +6,8 @@ neighbourhoods hold. No side is broadcast by hand; Spark decides from sizes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,31 @@ def nearest(left: DataFrame, right: DataFrame, radius: float | Column, most: flo
     return left.join(best, key, "left").withColumns({value: F.col(f"m.r_{value}"), "d": F.col("m.d")}).drop("m")
 
 
+def nearest_any(left: DataFrame, right: DataFrame, key: str, value: str, order: str, first: float = 1000.0) -> DataFrame:
+    """left with `value` of its nearest right row, however far, and d; null only if right is empty. Both have x and y.
+
+    A round joins within a radius, which finds the nearest of every row that has one there; rows without one go on with
+    twice the radius, so a round looks at the empty neighbourhoods of few rows. It ends when all are answered or the radius
+    spans all places. key: a unique column of left. Equal distances: the least `order` of right.
+    """
+    at = written(right.select("x", "y", F.col(order).alias("o"), F.col(value).alias("v")).groupBy("x", "y").agg(F.min(F.struct("o", "v")).alias("b")))
+    open_, answers, radius = written(left.select(key, "x", "y")), [], first
+    box = lambda t: t.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    a, b = box(open_), box(at)
+    if None in (*a, *b):
+        return left.withColumns({value: F.lit(None).cast(right.schema[value].dataType), "d": F.lit(None).cast("double")})
+    span = max(a[1], b[1]) - min(a[0], b[0]) + max(a[3], b[3]) - min(a[2], b[2])
+    while True:
+        best = near_pairs(open_, at, radius).groupBy(key).agg(F.min(F.struct("d", "r_b.o", "r_b.v")).alias("m"))
+        found = written(open_.join(best, key, "left"))
+        answers.append(found.filter("m IS NOT NULL").select(key, F.col("m.v").alias(value), F.col("m.d").alias("d")))
+        open_ = found.filter("m IS NULL").select(key, "x", "y")
+        if radius > span or not open_.limit(1).count():
+            break
+        radius *= 2
+    return left.join(reduce(DataFrame.unionByName, answers), key, "left")
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, comp): comp is the least id reachable over edges (a, b), both directions being given.
 

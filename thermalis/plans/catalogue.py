@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, rules
-from ..operators import evaluate, events, ingest, model, passes, registry, risk, routing, spatial
+from ..operators import asof, evaluate, events, ingest, model, passes, registry, risk, routing, spatial, writes
+from ..sources.versions import Versions
 from ..streaming import live
-from ..tables import table, written
+from ..tables import shared_path, table, written
 from . import build, read
 from .views import DETECTIONS, PASS_DETECTIONS, detections, pass_detections, tiers_sql
 
@@ -590,6 +591,164 @@ def classifier_scores(spark, sf_dir):
     return model.scores(judged).select("class", "support", *[_r(c, 6) for c in shares])
 
 
+# The registry as of a time, and nearest places at any distance
+
+#: Cells of three kinds: of the registry, promoted and perhaps retired later, and retired before any promotion time was kept. Some users have two cells.
+CELLS = """
+u AS (SELECT DISTINCT user_id AS u FROM events),
+src AS (SELECT u AS source, u % 3 > 0 AS provisional, CASE WHEN u % 3 = 1 THEN TIMESTAMP '2024-01-05' + to_days((u % 10)::INT) END AS promoted_at,
+  CASE WHEN u % 3 = 1 AND u % 2 = 0 THEN TIMESTAMP '2024-01-12' + to_days((u % 7)::INT) WHEN u % 3 = 2 AND u % 5 = 0 THEN TIMESTAMP '2024-01-09' END AS retired_at FROM u),
+cell AS (SELECT u * 2 + k AS cell, u AS source, (3000000 + u % 15 * 5000 + 200 + 550 * k)::DOUBLE AS cx, (2000000 + u // 15 * 5000 + 450)::DOUBLE AS cy FROM u, (VALUES (0), (1)) v(k) WHERE k = 0 OR u % 4 = 0),
+other AS (SELECT cell + 1000000 AS cell, (source + 7) % 1000 AS source, cx + 60 AS cx, cy FROM cell WHERE source % 6 = 4),
+cells AS (SELECT * FROM cell UNION ALL SELECT * FROM other)"""
+
+
+def _cells(spark, sf_dir):
+    """(sources, cells) of CELLS."""
+    u = table(spark, sf_dir, "events").select(F.col("user_id").alias("source")).distinct()
+    day = lambda d, n: (F.lit(d).cast("timestamp_ntz") + F.make_dt_interval(n.cast("int"))).cast("timestamp_ntz")
+    k, s = F.col("k"), F.col("source")
+    sources = u.select("source", (s % 3 > 0).alias("provisional"), F.when(s % 3 == 1, day("2024-01-05", s % 10)).alias("promoted_at"), F.when((s % 3 == 1) & (s % 2 == 0), day("2024-01-12", s % 7)).when((s % 3 == 2) & (s % 5 == 0), F.lit("2024-01-09").cast("timestamp_ntz")).alias("retired_at"))
+    own = u.withColumn("k", F.explode(F.when(s % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    cells = own.select((s * 2 + k).alias("cell"), "source", (3_000_000 + s % 15 * 5000 + 200 + 550 * k).cast("double").alias("x"), (2_000_000 + F.expr("source div 15") * 5000 + 450).cast("double").alias("y"))
+    other = cells.filter(s % 6 == 4).select((F.col("cell") + 1_000_000).alias("cell"), ((s + 7) % 1000).alias("source"), (F.col("x") + 60).alias("x"), "y")
+    return sources, cells.unionByName(other)
+
+
+@query(f"""WITH {DETECTIONS}, {CELLS},
+v AS (SELECT c.*, s.provisional, s.promoted_at, s.retired_at FROM cells c JOIN src s USING (source)),
+near AS (SELECT detection_id, source, provisional, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS d, row_number() OVER (PARTITION BY detection_id ORDER BY sqrt(pow(x - cx, 2) + pow(y - cy, 2)), cell) AS r
+  FROM (SELECT detection_id, acq_datetime AS t, x, y, instrument FROM det) JOIN v ON abs(x - cx) < 1000 AND abs(y - cy) < 1000
+  WHERE sqrt(pow(x - cx, 2) + pow(y - cy, 2)) < CASE WHEN instrument = 'VIIRS' THEN 500 ELSE 1000 END
+    AND (NOT provisional OR (promoted_at < t AND (retired_at IS NULL OR retired_at > t)) OR (promoted_at IS NULL AND retired_at IS NULL)))
+SELECT det.detection_id, near.source, provisional, round(d, 3) AS d FROM det LEFT JOIN near ON near.detection_id = det.detection_id AND r = 1""")
+def asof_routing(spark, sf_dir):
+    det = detections(spark, sf_dir).drop("source")
+    found = asof.assign_as_of(det, asof.versioned(*_cells(spark, sf_dir)))
+    return found.select("detection_id", "source", "provisional", _r("d", 3))
+
+
+@query(f"""WITH {DETECTIONS}, {CELLS},
+near AS (SELECT detection_id, acq_datetime AS t, c.source, row_number() OVER (PARTITION BY detection_id ORDER BY sqrt(pow(x - cx, 2) + pow(y - cy, 2)), cell) AS r
+  FROM det JOIN cells c ON abs(x - cx) < 500 AND abs(y - cy) < 500 JOIN src s ON s.source = c.source
+  WHERE det.detection_id % 3 > 0 AND promoted_at IS NOT NULL AND sqrt(pow(x - cx, 2) + pow(y - cy, 2)) < 500)
+SELECT detection_id, source FROM near JOIN src USING (source) WHERE r = 1 AND t >= promoted_at - INTERVAL 6 DAY AND t < promoted_at""")
+def pre_promotion_backfill(spark, sf_dir):
+    sources, cells = _cells(spark, sf_dir)
+    promoted = sources.filter("promoted_at IS NOT NULL").select("source", F.date_sub(F.to_date("promoted_at"), 6).alias("first_seen"), "promoted_at")
+    # two thirds of the detections are off every source, the others lie at one
+    det = detections(spark, sf_dir).withColumns({"road": F.when(F.col("detection_id") % 3 > 0, 1).otherwise(2), "source": F.when(F.col("detection_id") % 3 == 0, F.lit(1))})
+    return asof.pre_promotion(det, promoted, cells.join(promoted.select("source"), "source", "left_semi"))
+
+
+@query(f"""WITH {DETECTIONS}, f AS (SELECT s_suppkey AS id, (3000000 + s_suppkey * 7919 % 140000)::DOUBLE AS fx, (1900000 + s_suppkey * 104729 % 300000)::DOUBLE AS fy FROM supplier),
+m AS (SELECT detection_id, min(pow(x - fx, 2) + pow(y - fy, 2)) AS q, arg_min(id, (pow(x - fx, 2) + pow(y - fy, 2), id)) AS facility FROM det, f GROUP BY detection_id)
+SELECT detection_id, facility, round(sqrt(q), 3) AS d FROM m""")
+def nearest_facility(spark, sf_dir):
+    k = F.col("s_suppkey")
+    places = table(spark, sf_dir, "supplier").select(k.alias("facility"), (3_000_000 + k * 7919 % 140_000).cast("double").alias("x"), (1_900_000 + k * 104_729 % 300_000).cast("double").alias("y"))
+    found = spatial.nearest_any(detections(spark, sf_dir), places, "detection_id", "facility", "facility")
+    return found.select("detection_id", "facility", _r("d", 3))
+
+
+# Versions of the tables that runs write
+
+#: Windows of the runs that window_rewrites makes, and what frp each takes for an alert: A, B, then A again, then B is undone.
+WINDOW_A, WINDOW_B = ("2024-01-05", "2024-01-12"), ("2024-01-12", "2024-01-20")
+RUNS = ((WINDOW_A, 50), (WINDOW_B, 80), (WINDOW_A, 120))
+
+
+def _window_sql(name, window, limit, first):
+    return f"""{name} AS (
+  SELECT event_id AS detection_id, user_id, user_id % 40 AS home, CASE WHEN value > {limit} THEN 3 WHEN user_id % 2 = 0 THEN 2 ELSE 1 END AS road,
+    sum((value > {limit})::INT) OVER (PARTITION BY user_id) >= 3 AS promoted, {first} + user_id AS new_id
+  FROM events WHERE ts >= TIMESTAMP '{window[0]}' AND ts < TIMESTAMP '{window[1]}')"""
+
+
+def _inference(spark, sf_dir, store, window, limit, first):
+    """One run over a window: clear what an earlier one left, then write promotions, retirements, passes and roads as one version."""
+    start, end = window
+    old = {n: store.read(n) for n in ("sources", "cells", "passes", "detections")}
+    clean = writes.without_window(**{"sources": old["sources"], "cells": old["cells"], "passes": old["passes"], "det": old["detections"]}, start=start, end=end)
+    at = F.col("ts")
+    rows = table(spark, sf_dir, "events").filter((at >= F.lit(start).cast("timestamp_ntz")) & (at < F.lit(end).cast("timestamp_ntz")))
+    if limit is not None:
+        hot = (F.col("value") > limit).cast("int")
+        users = rows.groupBy("user_id").agg(F.sum(hot).alias("n"), F.max("ts").alias("promoted_at")).filter("n >= 3")
+        promoted = users.select((F.col("user_id") + first).alias("source_id"), "promoted_at")
+        cells = users.select(F.col("user_id").alias("cell"), (F.col("user_id") + first).alias("source_id"))
+        quiet = rows.groupBy((F.col("user_id") % 40).alias("source_id")).agg(F.sum(hot).alias("n")).filter("n < 40").select("source_id", F.lit(start).cast("timestamp_ntz").alias("retired_at"))
+        road = F.when(F.col("value") > limit, 3).when(F.col("user_id") % 2 == 0, 2).otherwise(1)
+        routed = rows.join(users.select("user_id", F.lit(True).alias("_p")), "user_id", "left").select(F.col("event_id").alias("detection_id"), F.when(F.col("_p"), F.col("user_id") + first).when(road > 1, F.col("user_id") % 40).alias("source_id"), road.cast("short").alias("road"))
+        seen = rows.groupBy((F.col("user_id") % 40).alias("source_id"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("acq_datetime")).agg(F.max("value").alias("frp"))
+        clean = writes.after_inference(clean, promoted, cells, quiet, seen, routed, start, end)
+    days = [str(r[0]) for r in old["detections"].select("day").distinct().collect() if start <= str(r[0]) < end]
+    parted = {"detections": (clean["detections"].filter(F.col("day").isin(days)), "day", days)}
+    store.commit({n: clean[n] for n in ("sources", "cells", "passes")}, parted, {"window": window, "limit": limit})
+
+
+def _runs_written(spark, sf_dir):
+    """The store after the runs of RUNS and the undoing of B."""
+    store = Versions(spark, shared_path(spark))
+    e = table(spark, sf_dir, "events")
+    none = F.lit(None)
+    sources = e.select((F.col("user_id") % 40).alias("source_id")).distinct().select("source_id", F.lit("registry").alias("origin"), F.lit(False).alias("provisional"), none.cast("timestamp_ntz").alias("promoted_at"), none.cast("timestamp_ntz").alias("retired_at"))
+    cells = e.select(F.col("user_id").alias("cell"), (F.col("user_id") % 40).alias("source_id")).distinct()
+    passes_ = spark.createDataFrame([], "source_id long, acq_datetime timestamp_ntz, frp double")
+    det = e.select(F.col("event_id").alias("detection_id"), F.col("ts").alias("acq_datetime"), F.to_date("ts").cast("string").alias("day"), none.cast("long").alias("source_id"), none.cast("short").alias("road"))
+    all_days = [r[0] for r in det.select("day").distinct().collect()]
+    store.commit({"sources": sources, "cells": cells, "passes": passes_}, {"detections": (det, "day", all_days)}, {"built": True})
+    for k, (window, limit) in enumerate(RUNS):
+        _inference(spark, sf_dir, store, window, limit, 100_000 * (k + 1))
+    _inference(spark, sf_dir, store, WINDOW_B, None, 0)
+    return store
+
+
+@query(f"""WITH {_window_sql("a", *RUNS[2], 300_000)}, {_window_sql("b", *RUNS[1], 200_000)}
+SELECT event_id AS detection_id,
+  (CASE WHEN a.detection_id IS NOT NULL THEN CASE WHEN a.promoted THEN a.new_id WHEN a.road > 1 THEN a.home END
+        WHEN b.promoted THEN NULL WHEN b.road > 1 THEN b.home END)::BIGINT AS source_id,
+  coalesce(a.road, b.road)::SMALLINT AS road
+FROM events LEFT JOIN a ON a.detection_id = event_id LEFT JOIN b ON b.detection_id = event_id""")
+def window_rewrites(spark, sf_dir):
+    return _runs_written(spark, sf_dir).read("detections").select("detection_id", "source_id", "road")
+
+
+@query(f"""WITH {_window_sql("a", *RUNS[2], 300_000)},
+s AS (SELECT DISTINCT user_id % 40 AS source_id FROM events),
+q AS (SELECT home AS source_id, sum((road = 3)::INT) AS n FROM a GROUP BY home),
+c AS (SELECT user_id % 40 AS source_id, count(DISTINCT user_id) AS n_cells FROM events GROUP BY 1),
+p AS (SELECT DISTINCT user_id % 40 AS source_id, ts::DATE AS day FROM events WHERE ts >= TIMESTAMP '{WINDOW_A[0]}' AND ts < TIMESTAMP '{WINDOW_A[1]}')
+SELECT source_id, 'registry' AS origin, coalesce(n < 40, false) AS retired, n_cells, (SELECT count(*) FROM p WHERE p.source_id = s.source_id) AS n_passes FROM s LEFT JOIN q USING (source_id) JOIN c USING (source_id)
+UNION ALL SELECT DISTINCT new_id, 'promotion', false, 1, 0 FROM a WHERE promoted""")
+def window_rewrites_registry(spark, sf_dir):
+    store = _runs_written(spark, sf_dir)
+    cells = store.read("cells").groupBy("source_id").agg(F.count(F.lit(1)).alias("n_cells"))
+    seen = store.read("passes").groupBy("source_id").agg(F.count(F.lit(1)).alias("n_passes"))
+    out = store.read("sources").join(cells, "source_id").join(seen, "source_id", "left")
+    return out.select("source_id", "origin", F.col("retired_at").isNotNull().alias("retired"), "n_cells", F.coalesce("n_passes", F.lit(0)).alias("n_passes"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, o_custkey % 40 AS k FROM orders),
+id AS (SELECT DISTINCT k, CASE WHEN k < 35 THEN k ELSE 33 + k END AS source_id FROM o WHERE k < 35 OR k >= 38)
+SELECT o_orderkey AS detection_id, CASE WHEN o_custkey % 3 > 0 AND id.k IS NOT NULL THEN source_id WHEN o.k IN (36, 37) THEN o.k END::BIGINT AS source_id FROM o LEFT JOIN id USING (k)""")
+def registry_rewrite(spark, sf_dir):
+    """Sources are customers modulo 40: those below 35 are found again (as labels from 1000 on) and keep their ids, 35 is lost, 36 and 37 are provisional and stay, 38 and 39 are new and get the ids after 70."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_custkey") % 40).alias("k"))
+    old = o.filter("k < 38").select(F.col("k").alias("source_id"), F.col("k").isin(36, 37).alias("provisional")).distinct()
+    old = old.unionByName(spark.createDataFrame([(70, False)], "source_id long, provisional boolean"))
+    old_cells = o.filter("k < 38").select(F.col("o_custkey").alias("cell"), F.col("k").alias("source_id")).distinct()
+    det = o.select(F.col("o_orderkey").alias("detection_id"), F.when(F.col("k") < 38, F.col("k")).alias("source_id"))
+    found = o.filter("k < 35 OR k >= 38").withColumn("label", F.col("k") + 1000)
+    sources = found.select("label").distinct()
+    assigned = found.filter("o_custkey % 3 > 0").select(F.col("o_orderkey").alias("detection_id"), "label")
+    store = Versions(spark, shared_path(spark))
+    store.commit({"sources": old, "cells": old_cells, "detections": det})
+    new = writes.next_registry(store.read("sources"), store.read("cells"), store.read("detections"), sources, found.select(F.col("o_custkey").alias("cell"), "label").distinct(), assigned)
+    store.commit({n: new[n] for n in ("sources", "cells", "detections")}, run={"gate": "test"})
+    return store.read("detections").select("detection_id", "source_id")
+
+
 # Streams
 
 

@@ -21,11 +21,16 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="thermalis-")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, read back from Parquet in the folder that driver and executors share (spark.checkpoint.dir)."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_folder(spark))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, read back from Parquet in the folder that driver and executors share."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
