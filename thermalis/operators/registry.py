@@ -60,14 +60,18 @@ def persistence(hits: DataFrame, clear: DataFrame, key: str, span: DataFrame | N
     """(key, persistence): days with a detection over days on which one could be seen.
 
     hits: distinct (key, day); clear: (key, day, clear), the clear-sky fraction; span: (key, first,
-    last), by default the hits' own. A hit counts 1 above and below, another day its clear fraction
+    last), by default the hits' own; a (key, day) of clear is there once. A hit counts 1 above and below, another day its clear fraction
     below. Null when under half of the span's days have a fraction.
     """
     span = hits.groupBy(key).agg(F.min("day").alias("first"), F.max("day").alias("last")) if span is None else span
-    days = span.select(key, F.explode(F.sequence("first", "last")).alias("day"))
-    all_ = days.join(hits.select(key, "day").distinct().withColumn("hit", F.lit(True)), [key, "day"], "left").join(clear, [key, "day"], "left")
-    n = F.sum(F.col("hit").cast("int"))
-    sums = all_.groupBy(key).agg(F.coalesce(n, F.lit(0)).alias("h"), F.coalesce(F.sum(F.when(F.col("hit").isNull(), F.col("clear"))), F.lit(0.0)).alias("c"), F.avg(F.col("clear").isNotNull().cast("int")).alias("known"))
+    # no table of days: the shares are summed where they are, without those of hit days
+    own = hits.select(key, "day").distinct()
+    within = F.col("day").between(F.col("first"), F.col("last"))
+    known = clear.filter(F.col("clear").isNotNull()).select(key, "day", "clear").join(span.select(key, "first", "last"), key).filter(within)
+    part = known.join(own.withColumn("hit", F.lit(True)), [key, "day"], "left").groupBy(key).agg(F.sum(F.when(F.col("hit").isNull(), F.col("clear"))).alias("c"), F.count("clear").alias("n"))
+    count = own.join(span.select(key, "first", "last"), key).filter(within).groupBy(key).agg(F.count(F.lit(1)).alias("h"))
+    length = F.datediff("last", "first") + 1
+    sums = span.join(part, key, "left").join(count, key, "left").select(key, F.coalesce("h", F.lit(0)).alias("h"), F.coalesce("c", F.lit(0.0)).alias("c"), (F.coalesce("n", F.lit(0)) / length).alias("known"))
     return sums.select(key, F.when((F.col("known") >= COVERAGE) & (F.col("h") + F.col("c") > 0), F.col("h") / (F.col("h") + F.col("c"))).alias("persistence"))
 
 

@@ -83,10 +83,15 @@ def tile_bins(rows: DataFrame, z: int) -> DataFrame:
 
 
 def in_passes(det: DataFrame, passes_: DataFrame, minutes: int = 20) -> DataFrame:
-    """(detection_id, session) of the pass of the same source and sensor that began at most `minutes` before; the earliest, if several."""
-    p = passes_.select("source", "sensor", "session", F.col("acq_datetime").alias("_at"))
+    """(detection_id, session) of the pass of the same source and sensor that began at most `minutes` before; the earliest, if several.
+
+    The slot of `minutes` is part of the join's key; a pass goes to its own slot and the next, so that a detection meets the passes of two slots only.
+    """
+    slot = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (minutes * 60_000_000))
     late = F.unix_micros(F.col("acq_datetime").cast("timestamp")) - F.unix_micros(F.col("_at").cast("timestamp"))
-    return det.join(p, ["source", "sensor"]).filter(late.between(0, minutes * 60_000_000)).groupBy("detection_id").agg(F.min("session").alias("session"))
+    p = passes_.select("source", "sensor", "session", F.col("acq_datetime").alias("_at")).withColumn("_slot", F.explode(F.array(slot("_at"), slot("_at") + 1)))
+    rows = det.select("detection_id", "source", "sensor", "acq_datetime", slot("acq_datetime").alias("_slot"))
+    return rows.join(p, ["source", "sensor", "_slot"]).filter(late.between(0, minutes * 60_000_000)).groupBy("detection_id").agg(F.min("session").alias("session"))
 
 
 def latest(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
