@@ -349,6 +349,66 @@ def test_damaged_block_is_found():
     with pytest.raises(ValueError):
         rangecoder.decode(b"something else")
 
+def test_damage_stays_in_its_block():
+    rng = np.random.default_rng(5)
+    ids = np.minimum(rng.pareto(0.6, 6000) * 4, 50000).astype(int)
+    clean = rangecoder.encode(ids)
+    sizes = [(first, n) for first, n, _ in rangecoder.blocks(clean)]
+    assert len(sizes) == 12 and sum(n for _, n in sizes) == 6000
+    for place in range(len(clean) - 40, len(clean) - 2000, -97):  # the coded words of the blocks lie at the end
+        data = bytearray(clean)
+        data[place] ^= 0x55
+        got = list(rangecoder.blocks(bytes(data)))
+        lost = [first for first, _, own in got if own is None]
+        assert [g[:2] for g in got] == sizes and len(lost) <= 2  # a byte may hold bits of two blocks' words
+        assert all((own == ids[first : first + n]).all() for first, n, own in got if own is not None)
+        if lost:
+            with pytest.raises(ValueError, match="damaged"):
+                rangecoder.decode(bytes(data))
+    for place in (5, 13, 21, 60, 300):  # the head
+        data = bytearray(clean)
+        data[place] ^= 0x10
+        got = list(rangecoder.blocks(bytes(data)))
+        assert got[0] == (0, 0, None) and len(got) == 1
+    cut = list(rangecoder.blocks(clean[:-700]))
+    assert cut[0][2] is not None or cut[0] == (0, 0, None)
+
+
+def test_a_damaged_chapter_leaves_the_others():
+    rng = np.random.default_rng(6)
+    ids = np.concatenate([rng.permutation(70_000), rng.permutation(70_000)])
+    clean = rangecoder.encode(ids)
+    first = int.from_bytes(clean[5:13], "little")
+    data = bytearray(clean)
+    data[5 + 20] ^= 1
+    got = list(rangecoder.blocks(bytes(data)))
+    assert got[0] == (0, 0, None) and first < len(clean) - 5 and all(own is not None for _, _, own in got[1:])
+    assert sum(n for _, n, _ in got) > 30_000
+
+
+def test_documents_beside_damage_are_read(spark, docs, tokenizer):
+    path = common.shared_dir(spark)
+    tokens.encode_documents(docs, tokenizer).coalesce(1).write.parquet(path)
+    hurt = common.shared_dir(spark)
+
+    def flip(batches):
+        for b in batches:
+            streams = [bytearray(s) for s in b.column("stream").to_pylist()]
+            for s in streams:
+                s[-20] ^= 0xFF
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names[:-1]), pa.array([bytes(s) for s in streams], pa.binary())], b.schema.names)
+
+    whole = spark.read.parquet(path)
+    whole.mapInArrow(flip, whole.schema).write.parquet(hurt)
+    before = {tuple(r)[:3]: r["ids_crc32"] for r in tokens.read_tokens(spark, path).collect()}
+    after = {tuple(r)[:3]: (r["ids_crc32"], r["ids"]) for r in tokens.read_tokens(spark, hurt, True, "null").collect()}
+    lost = [k for k, (crc, ids) in after.items() if crc is None]
+    assert after.keys() == before.keys() and 0 < len(lost) < len(before)
+    assert all((crc is None) == (ids is None) and crc in (None, before[k]) for k, (crc, ids) in after.items())
+    with pytest.raises(Exception, match="damaged"):
+        tokens.read_tokens(spark, hurt).count()
+
+
 
 def labelled(spark, n=600):
     """Clean prose, shouted junk (quality 0) and prose with abuse (toxic 1)."""

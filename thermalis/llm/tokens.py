@@ -209,10 +209,22 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     encode_documents(docs, tokenizer).write.parquet(path)
 
 
-def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
+def sound_ids(stream: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n ids of a stream and which of them are sound: those of damaged blocks, and all behind a damaged head, are 0 and not."""
+    ids, sound = np.zeros(n, np.uint32), np.zeros(n, bool)
+    for first, count, own in rangecoder.blocks(stream):
+        if not count:
+            break
+        if own is not None:
+            ids[first : first + count], sound[first : first + count] = own, True
+    return ids, sound
+
+
+def read_tokens(spark, path: str, with_ids: bool = False, damaged: str = "error") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files at path, and its ids if asked for.
 
-    start: ids of all documents before it; it comes from sums of the streams, one row each.
+    start: ids of all documents before it; it comes from sums of the streams, one row each. damaged: "error", or "null":
+    documents with an id in a damaged block have no checksum and no ids, and all others are read.
     """
     streams = spark.read.parquet(path)
     kind = streams.schema["doc_id"].dataType.elementType.simpleString()
@@ -224,13 +236,15 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
     def documents(batches):
         for b in batches:
             for r in b.to_pylist():
-                ids, n = rangecoder.decode(r["stream"]), np.array(r["tokens"], np.int64)
+                n = np.array(r["tokens"], np.int64)
                 ends = np.cumsum(n)
+                ids, sound = (rangecoder.decode(r["stream"]), None) if damaged == "error" else sound_ids(r["stream"], int(ends[-1]))
+                whole = [True] * len(n) if sound is None else np.logical_and.reduceat(sound, ends - n).tolist()
                 pieces = [ids[e - k : e].astype("<u4") for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                columns = [pa.array([r["part"]] * len(n), pa.int32()), pa.array([r["seq"]] * len(n), pa.int32()), pa.array(r["doc_id"], b.column("doc_id").type.value_type), pa.array(ends - n), pa.array(n), pa.array([zlib.crc32(p) for p in pieces], pa.int64())]
+                columns = [pa.array([r["part"]] * len(n), pa.int32()), pa.array([r["seq"]] * len(n), pa.int32()), pa.array(r["doc_id"], b.column("doc_id").type.value_type), pa.array(ends - n), pa.array(n), pa.array([zlib.crc32(p) if w else None for p, w in zip(pieces, whole, strict=True)], pa.int64())]
                 names = ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"]
                 if with_ids:
-                    columns.append(pa.array([p.astype(np.int32) for p in pieces], pa.list_(pa.int32())))
+                    columns.append(pa.array([p.astype(np.int32) if w else None for p, w in zip(pieces, whole, strict=True)], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
