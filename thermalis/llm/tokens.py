@@ -21,7 +21,7 @@ from . import common as C
 from . import rangecoder
 
 #: Ids of a stream, about; bytes of text that one round of tokenizing takes; pieces that a worker remembers, and the bytes of the longest of them.
-STREAM, ROUND_BYTES, REMEMBERED, LONGEST = 4_000_000, 2 << 20, 600_000, 64
+STREAM, ROUND_BYTES, REMEMBERED, LONGEST = 4_000_000, 4 << 20, 600_000, 64
 END = 0
 #: Kinds of bytes: white space, letters, digits, marks, the apostrophe, and all that is cut nowhere.
 SPACE, LETTER, DIGIT, MARK, APOSTROPHE, UNCUT = range(6)
