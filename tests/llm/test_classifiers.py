@@ -2,8 +2,10 @@
 
 import math
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ CONTRACTS = {
     "op8_substring_dedup": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
     "op9_mixing": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
     "op10_minhash_setsketch": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op11_packing": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op12_divergence": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
+    "op13_importance": {"doc_id": "bigint", "n_features": "bigint", "weight": "bigint", "score": "bigint", "rank": "bigint"},
 }
 
 
@@ -31,7 +36,9 @@ def test_columns_of_the_contract(spark, name):
     types = dict(got.dtypes)
     assert {c: types.get(c) for c in CONTRACTS[name]} == CONTRACTS[name]
     docs = common.table(spark, DATA, "documents")
-    if name.startswith(("op5", "op6")):
+    if name.startswith(("op11", "op12")):  # a row a piece, and a row a pair or term
+        assert got.count() >= docs.select("lang", "source").distinct().count()
+    elif name.startswith(("op5", "op6")):
         rows = got.collect()
         assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= (0.5 if name[2] == "5" else 0.3)) for r in rows)
         assert len(rows) == docs.count()
@@ -67,17 +74,64 @@ def plain_nnpu(words, positive, prior):
 
 
 @pytest.mark.parametrize("prior", [0.1, 0.6])
-def test_training_against_plain_python(monkeypatch, prior):
-    monkeypatch.setattr(toxicity, "SURPRISE", -1e9)
-    monkeypatch.setattr(toxicity, "SEEN", 0)
+def test_training_against_plain_python(prior):
     rng = random.Random(2)
-    words = [sorted(rng.sample(range(8), 3) + ([9] if k < 12 else [10] * (k % 3 == 0))) for k in range(40)]
+    words = [sorted(rng.sample(range(8), 3) + ([8] if k < 12 else [9] * (k % 3 == 0))) for k in range(40)]
     words = [sorted(set(x)) for x in words]
     positive = np.array([k < 12 for k in range(40)])
-    got, bias = toxicity.train([np.array(x, np.int32) for x in words], positive, np.arange(40), prior)
+    got, bias = toxicity.train([np.array(x, np.int32) for x in words], positive, 10, prior)
     want, want_bias = plain_nnpu(words, positive.tolist(), prior)
     assert bias == pytest.approx(want_bias, abs=1e-6) and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
-    assert prior > 0.5 or got[9] > max(got[k] for k in range(8))
+    assert prior > 0.5 or got[8] > max(got[k] for k in range(8))
+
+
+def plain_words(text):
+    """What word_sets() stands for: whole words of letters and their first 4, 5 and 6 bytes, lower-cased."""
+    words = {w.encode() for w in re.findall(r"[a-z\x80-\U0010ffff]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))}
+    return {("word", w) for w in words} | {(n, w[:n]) for w in words for n in toxicity.PREFIXES if len(w) > n}
+
+
+def test_word_sets_are_sets_of_words_and_beginnings():
+    texts = ["Vilexa vilexa VILEXAS", "", None, "a1b é日本 étude abcdefg", "x" * 50]
+    data, at = common.utf8(pa.array(texts))
+    words, ends = toxicity.word_sets(data, at)
+    got = [set(words[s:e].tolist()) for s, e in zip(ends, ends[1:], strict=False)]
+    want = [plain_words(t) for t in texts]
+    assert [len(g) for g in got] == [len(w) for w in want]  # no two of these few collide
+    number = {}
+    for g, w in zip(got, want, strict=True):
+        for other, its in zip(got, want, strict=True):
+            assert len(g & other) == len(w & its)
+        number |= dict.fromkeys(g)
+    assert len(number) == len(set().union(*want))
+
+
+def test_words_are_chosen_from_all_documents(spark, monkeypatch):
+    """A word that a few of many positives hold has a weight although no sample has it, and a common one has none."""
+    monkeypatch.setattr(toxicity, "POSITIVES", 60)
+    monkeypatch.setattr(toxicity, "UNLABELLED", 120)
+    rng = random.Random(7)
+    prose = lambda: " ".join(rng.choice(["stone", "river", "light", "field"]) for _ in range(12))
+    rows = [(i, prose() + (" grubbo" if i % 3 == 0 else "") + (" rarius" if i % 120 == 0 else "")) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    counts, n = toxicity.document_counts(docs)
+    assert n == 3000 and counts.max() <= 3000
+    weights, _ = toxicity.fit(docs, labels)
+    of = lambda w: set(toxicity.word_sets(*common.utf8(pa.array([w])))[0].tolist())
+    used = set(toxicity.choose(*toxicity.document_counts(docs.filter("doc_id % 3 = 0")), counts, n).tolist())
+    assert of("grubbo") <= used and of("rarius") <= used and not of("stone") & used
+    assert all(weights[k] > 0 for k in of("grubbo"))
+
+
+def test_rows_of_one_id_part_in_the_samples(spark):
+    """Thousands of different texts of one id are dealt to all bags, and a third of the rows without an id does not stop the fit."""
+    rows = [(None if i % 3 == 0 else 4 if i % 3 == 1 else i, f"word{i} river") for i in range(1500)] + [(i, f"vilexa {i}") for i in range(5000, 5040)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 5000)) for i in [4, *range(5000, 5040)]], "doc_id long, toxic int")
+    weights, bias = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, weights, bias).collect()}
+    assert min(got[i] for i in range(5000, 5040)) > max(got[4], got[None])
 
 
 def test_isotonic_against_its_closed_form():
