@@ -128,7 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.nd
     if not ones:
         return np.zeros(size), -4.0 if n else 0.0
     prior = min(ones / n, 0.95)
-    ids = known.filter(F.col(label) == 1).select("doc_id").distinct()
+    # written, so that Spark knows its size before it joins: it is sent to the tasks if it is small, and else filters the texts before they move
+    ids = C.written(known.filter(F.col(label) == 1).select("doc_id").distinct())
     plain = docs.select("doc_id", "text").filter(~C.held_out(F.col("doc_id")))
     toxic = C.written(plain.join(ids, "doc_id", "left_semi").withColumn("copy", F.xxhash64("text")))
     of_positives, positives = document_counts(toxic.dropDuplicates(["copy"]))
