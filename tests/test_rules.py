@@ -205,10 +205,64 @@ def test_sites_part_no_event(spark):
     groups = {}
     for e in events.assemble(det).collect():
         groups.setdefault((e["site"], e["no"]), set()).add(e["detection_id"])
-    whole = det.select("*", F.unix_micros("acq_datetime").alias("t"), F.unix_date(F.to_date("acq_datetime")).alias("day"), F.lit(0).alias("site")).toPandas()
-    whole["start"] = whole.groupby("day")["t"].transform("min")
-    want = events._link(whole).groupby("no")["detection_id"].agg(set)
-    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want)) and len({s for s, _ in groups}) >= 5
+    want = {}
+    for i, e in plain_events([(r[0], r[1], r[2], r[4], r[5], int(r[6].replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)) for r in rows]).items():
+        want.setdefault(e, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values())) and len({s for s, _ in groups}) >= 5
+
+
+def plain_events(rows):
+    """{detection: event} out of the rules, one point after the other. rows: (id, source or None, provisional, x, y, microseconds)."""
+    hour, day_us = 3_600_000_000, 86_400_000_000
+    event, of_source, out, seen = [], {}, {}, []  # event: [kind, last, xs, ys]; seen: (x, y, t, event)
+    far = lambda p, q: math.hypot(p[0] - q[0], p[1] - q[1])
+    for day in sorted({r[5] // day_us for r in rows}):
+        today = sorted((r for r in rows if r[5] // day_us == day), key=lambda r: (r[5], r[0]))
+        start = today[0][5]
+        known, given = list(seen), {}
+        for s in sorted({r[1] for r in today if r[1] is not None}):
+            own = [r for r in today if r[1] == s]
+            k = of_source.get(s)
+            if k is None or (not own[0][2] and own[0][5] - event[k][1] > 72 * hour):
+                k = of_source[s] = len(event)
+                event.append(["new_source" if own[0][2] else "anomaly", 0, [], []])
+            given |= {r[0]: k for r in own}
+            for r in own:
+                event[k][1] = max(event[k][1], r[5])
+                event[k][2].append(r[3]), event[k][3].append(r[4])
+        fires = [r for r in today if r[1] is None]
+        label = {r[0]: r[0] for r in fires}
+        while True:
+            new = {a[0]: min(label[b[0]] for b in fires if far(a[3:5], b[3:5]) <= 750) for a in fires}
+            if new == label:
+                break
+            label = new
+        for c in sorted(set(label.values()), key=lambda c: min((r[5], r[0]) for r in fires if label[r[0]] == c)):
+            own, votes = [r for r in fires if label[r[0]] == c], {}
+            for r in own:
+                holding = [(far(r[3:5], p), k) for *p, t, k in known if event[k][0] == "new_source"]
+                recent = [(far(r[3:5], p), k) for *p, t, k in known if t >= start - 72 * hour]
+                for pool in (holding, recent):
+                    if pool and min(pool)[0] < 750:
+                        votes[min(pool)[1]] = votes.get(min(pool)[1], 0) + 1
+                        break
+            found = None
+            for k in sorted(votes, key=lambda k: (-votes[k], k)):
+                xs, ys = event[k][2] + [r[3] for r in own], event[k][3] + [r[4] for r in own]
+                fits = event[k][0] != "fire" or math.hypot(max(xs) - min(xs), max(ys) - min(ys)) <= 10_000
+                if fits and (event[k][0] == "new_source" or own[0][5] - event[k][1] <= 72 * hour):
+                    found = k
+                    break
+            if found is None:
+                found = len(event)
+                event.append(["fire", 0, [], []])
+            event[found][1] = max(event[found][1], *(r[5] for r in own))
+            event[found][2] += [r[3] for r in own]
+            event[found][3] += [r[4] for r in own]
+            given |= {r[0]: found for r in own}
+        out |= given
+        seen += [(r[3], r[4], r[5], given[r[0]]) for r in today]
+    return out
 
 
 def test_promotion(spark):
