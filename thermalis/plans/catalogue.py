@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, rules
-from ..operators import asof, evaluate, events, ingest, model, passes, registry, risk, routing, spatial, writes
+from ..operators import asof, evaluate, events, ingest, model, passes, registry, risk, routing, spatial, studies, writes
 from ..sources.versions import Versions
 from ..streaming import live
 from ..tables import shared_path, table, written
@@ -651,6 +651,74 @@ def nearest_facility(spark, sf_dir):
     return found.select("detection_id", "facility", _r("d", 3))
 
 
+# Studies
+
+PUBLISHED = DETECTIONS + """, v AS (
+  SELECT s_suppkey AS event_id, (3000000 + s_suppkey % 15 * 5000 + 450)::DOUBLE AS vx, (2000000 + s_suppkey // 15 % 10 * 5000 + 450)::DOUBLE AS vy, 300 + s_suppkey % 5 * 100 AS match_m, s_suppkey % 3 > 0 AS known,
+    (DATE '2024-01-05' + (s_suppkey % 20)::INT)::TIMESTAMP + CASE WHEN s_suppkey % 3 > 0 THEN INTERVAL 390 MINUTE ELSE INTERVAL 0 MINUTE END - INTERVAL 330 MINUTE AS a,
+    CASE WHEN s_suppkey % 4 = 0 THEN (DATE '2024-01-05' + (s_suppkey % 20)::INT + 3)::TIMESTAMP - INTERVAL 330 MINUTE END AS published FROM supplier
+), w AS (
+  SELECT *, greatest(a + CASE WHEN known THEN INTERVAL 24 HOUR ELSE INTERVAL 48 HOUR END, coalesce(published, a)) AS b FROM v
+), dd AS (
+  SELECT *, 1 + detection_id % 3 AS road, (detection_id % 3 = 0 AND detection_id % 5 < 2) OR detection_id % 3 = 2 AS flag FROM det
+), pair AS (
+  SELECT w.*, dd.acq_datetime AS t, frp, road, flag, sqrt(pow(x - vx, 2) + pow(y - vy, 2)) AS d FROM w JOIN dd ON abs(x - vx) <= 3000 AND abs(y - vy) <= 3000
+), near AS (
+  SELECT event_id, count(*) FILTER (WHERE t >= a) AS detections, count(*) FILTER (WHERE t >= a AND flag) AS hits, count(*) FILTER (WHERE t >= a AND road = 2) AS routine, min(t) FILTER (WHERE t >= a) AS f, min(t) FILTER (WHERE t >= a AND flag) AS g,
+    max(frp) FILTER (WHERE t >= a) AS max_frp, count(*) FILTER (WHERE t < a) AS lead_detections, count(DISTINCT (t + INTERVAL 330 MINUTE)::DATE) FILTER (WHERE t < a AND flag) AS lead_flag_days
+  FROM pair WHERE d <= match_m AND t >= date_trunc('day', a - INTERVAL 60 DAY) AND t < b GROUP BY event_id
+), close AS (SELECT event_id, round(min(d))::BIGINT AS nearest_in_window_m FROM pair WHERE t >= a AND t < b AND d <= 3000 GROUP BY event_id),
+outcomes AS (
+  SELECT w.event_id, known, epoch_us(a) AS start_us, epoch_us(b) AS end_us, CASE WHEN coalesce(detections, 0) = 0 THEN 'no signature' WHEN hits > 0 THEN 'flagged' WHEN routine > 0 THEN 'routine' ELSE 'misclassified' END AS outcome,
+    coalesce(detections, 0) AS detections, CASE WHEN known THEN round((epoch_us(f) - epoch_us(a)) / 3.6e9, 1) END AS first_detection_h, CASE WHEN known THEN round((epoch_us(g) - epoch_us(a)) / 3.6e9, 1) END AS first_flag_h, max_frp, nearest_in_window_m,
+    coalesce(lead_detections, 0) AS lead_detections, coalesce(lead_flag_days, 0) AS lead_flag_days, round(1 - pow(1 - coalesce(lead_flag_days, 0) / 60.0, (epoch_us(b) - epoch_us(a)) / 8.64e10), 3) AS chance
+  FROM w LEFT JOIN near USING (event_id) LEFT JOIN close USING (event_id))"""
+
+
+def _outcomes(spark, sf_dir):
+    k, i = F.col("s_suppkey"), F.col("detection_id")
+    day = F.date_add(F.lit("2024-01-05").cast("date"), (k % 20).cast("int"))
+    rows = table(spark, sf_dir, "supplier").select(k.alias("event_id"), (3_000_000 + k % 15 * 5000 + 450).cast("double").alias("x"), (2_000_000 + F.expr("s_suppkey div 15") % 10 * 5000 + 450).cast("double").alias("y"), (300 + k % 5 * 100).alias("match_m"), day.alias("start"), F.when(k % 3 > 0, "06:30").otherwise(" ").alias("start_time"), F.when(k % 4 == 0, F.date_add(day, 2)).alias("end"))
+    det = detections(spark, sf_dir).withColumns({"road": 1 + i % 3, "category": F.when(i % 5 < 2, "industrial").otherwise("forest")})
+    return studies.event_outcomes(studies.event_windows(rows), det, 700.0, 3000.0)
+
+
+@query(f"WITH {PUBLISHED} SELECT * FROM outcomes")
+def verified_events(spark, sf_dir):
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return _outcomes(spark, sf_dir).withColumns({"start_us": us("start_utc"), "end_us": us("end_utc")}).drop("start_utc", "end_utc")
+
+
+@query(f"""WITH {PUBLISHED} SELECT count(*) AS events, count(*) FILTER (WHERE outcome = 'flagged') AS flagged, round(count(*) FILTER (WHERE outcome = 'flagged') / count(*), 3) AS recall, count(*) FILTER (WHERE detections > 0) AS signature, round(sum(chance), 2) AS expected_by_chance,
+  round(avg(first_flag_h) FILTER (WHERE outcome = 'flagged'), 1) AS flag_h_mean, round(median(first_flag_h) FILTER (WHERE outcome = 'flagged'), 1) AS flag_h_median, round(avg(first_detection_h), 1) AS seen_h_mean, round(median(first_detection_h), 1) AS seen_h_median FROM outcomes""")
+def verified_summary(spark, sf_dir):
+    return studies.outcome_summary(_outcomes(spark, sf_dir))
+
+
+CLUSTERED = DETECTIONS + """, p AS (
+  SELECT x, y, CASE WHEN source % 3 = 0 THEN source END AS c, CASE WHEN sensor <> 'error' THEN (source + detection_id % 2) % 30 END AS a, [CASE WHEN daynight = 'N' THEN 'night' ELSE 'day' END, instrument] AS regions FROM det
+), wd AS (SELECT a, count(*) AS n, sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)) / 1000 AS width_km FROM p WHERE a IS NOT NULL GROUP BY a)"""
+
+
+def _clustered(spark, sf_dir):
+    s = F.col("source")
+    raw = F.when(F.col("sensor") != "error", (s + F.col("detection_id") % 2) % 30)
+    return detections(spark, sf_dir).select("x", "y", F.when(s % 3 == 0, s).alias("c"), raw.alias("a"), F.array(F.when(F.col("daynight") == "N", "night").otherwise("day"), "instrument").alias("regions"))
+
+
+@query(f"""WITH {CLUSTERED}, k AS (SELECT c, a, count(*) AS k FROM p WHERE c IS NOT NULL AND a IS NOT NULL GROUP BY c, a),
+dom AS (SELECT c, a FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY k DESC, a) AS r FROM k) WHERE r = 1), per AS (SELECT a, sum(k) AS p FROM k GROUP BY a)
+SELECT c, a, round(width_km, 3) AS width_km, round(1 - per.p / n, 6) AS contamination FROM dom JOIN wd USING (a) JOIN per USING (a)""")
+def clustering_absorption(spark, sf_dir):
+    return studies.absorption(_clustered(spark, sf_dir)).select("c", "a", _r("width_km", 3), _r("contamination", 6))
+
+
+@query(f"""WITH {CLUSTERED}, e AS (SELECT unnest(list_append(regions, NULL)) AS region, width_km FROM p LEFT JOIN (SELECT * FROM wd WHERE n >= 300) b ON b.a = p.a)
+SELECT region, count(*) AS detections, round(avg((width_km IS NOT NULL)::INT), 4) AS skip_road_a, round(avg(coalesce((width_km > 5)::INT, 0)), 4) AS in_landscape, round(coalesce(max(width_km), 0), 1) AS widest_km FROM e GROUP BY region""")
+def region_shares(spark, sf_dir):
+    return studies.region_shares(_clustered(spark, sf_dir), "a", "regions", 300)
+
+
 # Versions of the tables that runs write
 
 #: Windows of the runs that window_rewrites makes, and what frp each takes for an alert: A, B, then A again, then B is undone.
