@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import spatial
+from . import raster, spatial
 
 #: Fixed weights and scales.
 H, E, V, FLOOR = 0.40, 0.35, 0.25, 0.05
@@ -100,8 +100,8 @@ def kernel_sums(cells: DataFrame, row_km: float, col_km: float, bearing: Column
     """(row, col, disk, sector) sums of a raster (row, col, v, and a bearing in degrees for `bearing`).
 
     disk: values within 5 km. sector: those from 0.5 to 10 km whose direction lies within 15 degrees
-    of the bearing, rounded to the nearest twelfth (half to even). The kernel is a table of offsets;
-    each cell with a value is sent to the cells that see it, and added there: a correlation.
+    of the bearing, rounded to the nearest twelfth (half to even). Only values above 0 count. Blocks of the raster are
+    correlated with the disk and with each of the sectors; a cell is copied to the blocks around it, not to the cells.
     """
     reach_r, reach_c = math.ceil(SECTOR_KM / row_km), math.ceil(SECTOR_KM / col_km)
     offsets = []
@@ -110,14 +110,12 @@ def kernel_sums(cells: DataFrame, row_km: float, col_km: float, bearing: Column
             north, east = -dr * row_km, dc * col_km
             d = math.hypot(north, east)
             if d <= SECTOR_KM:
-                sectors = [s for s in range(SECTORS) if d > INNER_KM and abs((math.degrees(math.atan2(east, north)) - s * 30 + 180) % 360 - 180) <= 15]
-                offsets.append((dr, dc, d <= DISK_KM, sectors))
-    kernel = cells.sparkSession.createDataFrame(offsets, "dr int, dc int, in_disk boolean, sectors array<int>")
-    values = cells.filter("v > 0").crossJoin(F.broadcast(kernel)).select((F.col("row") - F.col("dr")).alias("row"), (F.col("col") - F.col("dc")).alias("col"), "v", "in_disk", "sectors")
-    wanted = cells.select("row", "col", (F.rint((bearing if bearing is not None else F.lit(None).cast("double")) / 30) % SECTORS).cast("int").alias("_s"))
-    both = wanted.join(values, ["row", "col"], "left")
-    inside = F.coalesce(F.array_contains("sectors", F.col("_s")), F.lit(False))
-    return both.groupBy("row", "col").agg(F.coalesce(F.sum(F.when(F.col("in_disk"), F.col("v"))), F.lit(0.0)).alias("disk"), F.when(F.first("_s").isNotNull(), F.coalesce(F.sum(F.when(inside, F.col("v"))), F.lit(0.0))).alias("sector"))
+                sectors = [s + 1 for s in range(SECTORS) if d > INNER_KM and abs((math.degrees(math.atan2(east, north)) - s * 30 + 180) % 360 - 180) <= 15]
+                offsets.append((dr, dc, [0] * (d <= DISK_KM) + sectors))
+    sector = (F.rint((bearing if bearing is not None else F.lit(None).cast("double")) / 30) % SECTORS).cast("int")
+    rows = cells.select("row", "col", F.greatest("v", F.lit(0)).alias("v"), sector.alias("_s"))
+    found = raster.correlate(rows, offsets, SECTORS + 1)
+    return found.select("row", "col", F.col("sums")[0].alias("disk"), F.when(F.col("_s").isNotNull(), F.get("sums", F.col("_s") + 1)).alias("sector"))
 
 
 def asset_terms(events: DataFrame, assets: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import spatial
 
 #: Fixed rules: the local time's offset, hours of an event of known and days of one of unknown time, days before it, width of a landscape blob.
-OFFSET, KNOWN_H, UNKNOWN_D, LEAD_D, LANDSCAPE_KM = "INTERVAL '05:30' HOUR TO MINUTE", 24, 2, 60, 5.0
+OFFSET, KNOWN_H, UNKNOWN_D, LEAD_D, LANDSCAPE_KM = "INTERVAL '05:30' HOUR TO MINUTE", 24, 2, 60, 10.0
 
 
 def event_windows(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, rules
-from ..operators import asof, evaluate, events, ingest, model, passes, registry, risk, routing, spatial, studies, writes
+from ..operators import asof, evaluate, events, ingest, model, passes, raster, registry, risk, routing, spatial, studies, weather, writes
 from ..sources.versions import Versions
 from ..streaming import live
 from ..tables import shared_path, table, written
@@ -559,6 +559,25 @@ def population_kernels(spark, sf_dir):
     return risk.kernel_sums(e, 1.5, 1.2, F.lit(92.0)).select("row", "col", F.round("disk", 4).alias("disk"), F.round("sector", 4).alias("sector"))
 
 
+@query("""WITH c AS (SELECT event_id // 40 % 250 AS row, event_id % 400 AS col, sum(value) AS v FROM events GROUP BY ALL)
+SELECT a.row, a.col, round(sum(b.v) FILTER (WHERE abs(a.row - b.row) + abs(a.col - b.col) <= 6), 4) AS diamond, round(coalesce(sum(b.v) FILTER (WHERE b.row - a.row = 3 AND b.col < a.col), 0), 4) AS line
+FROM c a JOIN c b ON b.row BETWEEN a.row - 6 AND a.row + 6 AND b.col BETWEEN a.col - 6 AND a.col + 6 GROUP BY a.row, a.col""")
+def raster_correlation(spark, sf_dir):
+    cells = table(spark, sf_dir, "events").groupBy((F.expr("event_id div 40") % 250).alias("row"), (F.col("event_id") % 400).alias("col")).agg(F.sum("value").alias("v"))
+    around = range(-6, 7)
+    offsets = [(r, c, [0] * (abs(r) + abs(c) <= 6) + [1] * (r == 3 and c < 0)) for r in around for c in around]
+    found = raster.correlate(cells, offsets, 2)
+    return found.select("row", "col", F.round(F.col("sums")[0], 4).alias("diamond"), F.round(F.col("sums")[1], 4).alias("line"))
+
+
+@query("""SELECT ((o_orderkey // 50 % 40) * 20 + o_orderkey // 7 % 20) // 3 AS row, ((o_orderkey % 50) * 30 + o_orderkey // 11 % 30) // 3 AS col, max(o_totalprice) AS v FROM orders
+WHERE ((o_orderkey // 50 % 40) * 20 + o_orderkey // 7 % 20) % 3 = 1 AND ((o_orderkey % 50) * 30 + o_orderkey // 11 % 30) % 3 = 1 GROUP BY ALL""")
+def raster_mosaic(spark, sf_dir):
+    k = lambda e: F.expr(e).alias
+    tiles = table(spark, sf_dir, "orders").groupBy(k("o_orderkey div 50 % 40")("tile_row"), k("o_orderkey % 50")("tile_col"), k("o_orderkey div 7 % 20")("row"), k("o_orderkey div 11 % 30")("col")).agg(F.max("o_totalprice").alias("v"))
+    return raster.mosaic(tiles, 20, 30, 3).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "v")
+
+
 @query(None)
 def source_hulls(spark, sf_dir):
     return registry.hull(detections(spark, sf_dir).select("source", "x", "y"), "source")
@@ -651,6 +670,43 @@ def nearest_facility(spark, sf_dir):
     return found.select("detection_id", "facility", _r("d", 3))
 
 
+# Sky and wind
+
+SKY = """c AS (SELECT o_custkey % 2000 AS cell, o_orderdate::DATE AS day, ['A', 'D', 'N'][(o_orderkey % 3 + 1)::INT] AS daynight, max(o_orderkey % 97 / 97.0::DOUBLE) AS cloud FROM orders GROUP BY ALL),
+ring AS (SELECT * FROM (VALUES (0, 0), (1, -50), (2, -1), (3, 1), (4, 50), (5, -51), (6, -49), (7, 49), (8, 51)) v(rank, step)),
+p AS (SELECT s_suppkey AS key, s_suppkey * 7 % 2000 AS cell FROM supplier),
+best AS (SELECT key, day, daynight, arg_min(1 - cloud, rank) AS clear FROM p, ring JOIN c ON c.cell = p.cell + step GROUP BY key, day, daynight),
+sky AS (SELECT key, day, max(clear) FILTER (WHERE daynight = 'A') AS a, max(clear) FILTER (WHERE daynight = 'D') AS d, max(clear) FILTER (WHERE daynight = 'N') AS n FROM best GROUP BY key, day)"""
+
+
+def _sky(spark, sf_dir, routing):
+    o = table(spark, sf_dir, "orders")
+    kind = F.element_at(F.array(F.lit("A"), F.lit("D"), F.lit("N")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    cloud = o.groupBy((F.col("o_custkey") % 2000).alias("cell"), F.to_date("o_orderdate").alias("day"), kind.alias("daynight")).agg(F.max(F.col("o_orderkey") % 97 / 97.0).alias("cloud_frac"))
+    places = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), (F.col("s_suppkey") * 7 % 2000).alias("cell"))
+    return weather.clear_sky(places, cloud, 50, routing).select("key", "daynight", "day", _r("clear", 9))
+
+
+@query(f"WITH {SKY} SELECT key, daynight, day, round(clear, 9) AS clear FROM (SELECT key, 'D' AS daynight, day, coalesce(d, a) AS clear FROM sky UNION ALL SELECT key, 'N', day, coalesce(n, a) FROM sky) WHERE clear IS NOT NULL")
+def clear_sky_ring(spark, sf_dir):
+    return _sky(spark, sf_dir, False)
+
+
+@query(f"WITH {SKY} SELECT key, 'A' AS daynight, day, round(coalesce(a, CASE WHEN d IS NOT NULL OR n IS NOT NULL THEN 1 - (1 - coalesce(d, 0)) * (1 - coalesce(n, 0)) END), 9) AS clear FROM sky")
+def clear_sky_routing(spark, sf_dir):
+    return _sky(spark, sf_dir, True)
+
+
+@query("""WITH w AS (SELECT o_custkey % 60 * 0.5 AS lat, o_custkey // 60 % 50 * 0.5 AS lon, o_orderdate::DATE AS day, max(o_orderkey % 41 - 20)::DOUBLE AS u, max(o_orderkey % 37 - 18)::DOUBLE AS v FROM orders GROUP BY ALL),
+e AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 300 / 10.0 AS lat, l_suppkey % 250 / 10.0 AS lon, l_shipdate::DATE AS day FROM lineitem)
+SELECT id, round((degrees(atan2(u, v)) + 360) % 360, 6) AS bearing FROM e LEFT JOIN w ON floor(e.lat / 0.5 + 0.5) = floor(w.lat / 0.5 + 0.5) AND floor(e.lon / 0.5 + 0.5) = floor(w.lon / 0.5 + 0.5) AND e.day = w.day""")
+def wind_bearing(spark, sf_dir):
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    winds = table(spark, sf_dir, "orders").groupBy((c % 60 * 0.5).alias("latitude"), (F.expr("o_custkey div 60") % 50 * 0.5).alias("longitude"), F.to_date("o_orderdate").alias("day")).agg(F.max(k % 41 - 20).cast("double").alias("u"), F.max(k % 37 - 18).cast("double").alias("v"))
+    at = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 300 / 10.0).alias("latitude"), (F.col("l_suppkey") % 250 / 10.0).alias("longitude"), F.to_date("l_shipdate").alias("day"))
+    return weather.wind(at, winds, 0.5).select("id", _r("bearing", 6))
+
+
 # Studies
 
 PUBLISHED = DETECTIONS + """, v AS (
@@ -714,7 +770,7 @@ def clustering_absorption(spark, sf_dir):
 
 
 @query(f"""WITH {CLUSTERED}, e AS (SELECT unnest(list_append(regions, NULL)) AS region, width_km FROM p LEFT JOIN (SELECT * FROM wd WHERE n >= 300) b ON b.a = p.a)
-SELECT region, count(*) AS detections, round(avg((width_km IS NOT NULL)::INT), 4) AS skip_road_a, round(avg(coalesce((width_km > 5)::INT, 0)), 4) AS in_landscape, round(coalesce(max(width_km), 0), 1) AS widest_km FROM e GROUP BY region""")
+SELECT region, count(*) AS detections, round(avg((width_km IS NOT NULL)::INT), 4) AS skip_road_a, round(avg(coalesce((width_km > 10)::INT, 0)), 4) AS in_landscape, round(coalesce(max(width_km), 0), 1) AS widest_km FROM e GROUP BY region""")
 def region_shares(spark, sf_dir):
     return studies.region_shares(_clustered(spark, sf_dir), "a", "regions", 300)
 

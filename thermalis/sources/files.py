@@ -57,6 +57,18 @@ def read_cloud(spark: SparkSession, path: str) -> DataFrame:
     return f.select("longitude", "latitude", F.explode("days").alias("day", "v")).filter("v >= 0").select("longitude", "latitude", F.to_date("day", "yyyyMMdd").alias("day"), F.least(F.greatest(F.col("v") / 100, F.lit(0.0)), F.lit(1.0)).alias("cloud"))
 
 
+def wind(spark: SparkSession, path: str) -> DataFrame:
+    """(latitude, longitude, day, u, v) of wind files: features of points with maps of days for U10M and V10M; days with the fill value, or with one component only, are left out."""
+    point = "geometry: struct<coordinates: array<double>>, properties: struct<parameter: map<string, map<string, double>>>"
+    raw = spark.read.option("multiLine", True).schema(f"header struct<fill_value: double>, features array<struct<{point}>>").json(path)
+    f = raw.select(F.coalesce("header.fill_value", F.lit(-999.0)).alias("fill"), F.explode("features").alias("f"))
+    at = f.select("fill", F.round(F.col("f.geometry.coordinates")[1], 4).alias("latitude"), F.round(F.col("f.geometry.coordinates")[0], 4).alias("longitude"), F.explode("f.properties.parameter").alias("name", "days"))
+    each = at.select("fill", "latitude", "longitude", "name", F.explode("days").alias("day", "value")).filter("value IS NOT NULL AND value <> fill")
+    part = lambda name: F.max(F.when(F.upper("name") == name, F.col("value")))
+    both = each.groupBy("latitude", "longitude", F.to_date("day", "yyyyMMdd").alias("day")).agg(part("U10M").alias("u"), part("V10M").alias("v"))
+    return both.filter("u IS NOT NULL AND v IS NOT NULL")
+
+
 def sample_raster(points: DataFrame, raster: DataFrame, west: float, north: float, step: float, value: str = "v", name: str = "landcover") -> DataFrame:
     """points (latitude, longitude) with the value of their cell of a raster (row, col, v); 0 off the map. One equi-join on (row, col)."""
     at = points.withColumns({"row": F.floor((north - F.col("latitude")) / step).cast("int"), "col": F.floor((F.col("longitude") - west) / step).cast("int")})
