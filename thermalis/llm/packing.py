@@ -23,7 +23,7 @@ from . import common as C
 from .tokens import ROUND_BYTES, encoder
 
 #: Tokens of a sequence; the id after each document; pieces of a group, about; of a group's pieces, one in SHARE goes on to the next round.
-SIZE, END, GROUP, SHARE = 1024, 2, 8192, 8
+SIZE, END, GROUP, SHARE = 1024, 2, 32_768, 8
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
