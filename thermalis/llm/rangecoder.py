@@ -31,7 +31,7 @@ MAGIC, HEAD = b"TIDS3", "<QQIIII"
 #: Ids of a block: a power of two in this range, such that about LANES blocks run side by side.
 LEAST_BLOCK, MOST_BLOCK, LANES = 512, 4096, 2048
 #: Slots of the two contexts; bits of the weights, of the classes' total and of a class's total; ids between lessons; lessons between new weights.
-ORDER1_BITS, ORDER2_BITS, WEIGHT, CLASS, WITHIN, RUN, WEIGH = 8, 9, 8, 10, 10, 8, 16
+ORDER1_BITS, ORDER2_BITS, WEIGHT, CLASS, WITHIN, RUN, WEIGH = 7, 8, 8, 10, 10, 8, 16
 #: Classes have 1 / SHARES of the mass at most, or one id, and KINDS ids at most; what a class has seen before a block begins, in all.
 SHARES, KINDS, BEFORE = 64, 512, 96
 ORDER0 = CLASS + WITHIN
@@ -313,10 +313,10 @@ def _read_chapter(data: bytes) -> list[tuple[np.ndarray | None, int]]:
     source[:-1] |= source[1:] >> WORD
     source &= (1 << WORD) - 1
     code |= (source.take(pos) & (1 << 32 - WORD) - 1) << WORD | source.take(pos + 1)
-    source, last, pos = source.astype(np.int32), pos + width - 1, pos + 2
+    source, pos = source.astype(np.int32), pos + 2
     model, out = Model(lanes, order0.masses, True), np.zeros((block + 2, lanes), np.int32)
     for k, (t, stop, live) in enumerate(_runs(sizes, block)):
-        c, s, here, end = code[:live], span[:live], pos[:live], last[:live]
+        c, s, here = code[:live], span[:live], pos[:live]
         base1, base2, class0, slot0, ran = model.base1[:live], model.base2[:live], model.class0[:live], np.arange(live) << CLASS, []
         for step in range(t, stop):
             at1, at2 = slots(out[step + 1, :live].view(np.uint32), out[step, :live].view(np.uint32))
@@ -358,9 +358,8 @@ def _read_chapter(data: bytes) -> list[tuple[np.ndarray | None, int]]:
             by = short * np.int64(WORD)
             s <<= by
             c <<= by
-            c |= source.take(here) * short
+            c |= source.take(here, mode="clip") * short  # a damaged block may run on into what is not its own
             here += short
-            np.minimum(here, end, out=here)
             out[step + 2, :live] = ids
             ran.append((at1, at2, v1, v2, row, hit1, hit2))
         at1, at2, v1, v2, row, hit1, hit2 = (np.stack(x) for x in zip(*ran, strict=True))
