@@ -21,7 +21,7 @@ from . import common as C
 from . import rangecoder
 
 #: Ids of a stream, about; bytes of text that one round of tokenizing takes; pieces that a worker remembers, and the bytes of the longest of them.
-STREAM, ROUND_BYTES, REMEMBERED, LONGEST = 4_000_000, 6 << 20, 600_000, 64
+STREAM, ROUND_BYTES, REMEMBERED, LONGEST = 4_000_000, 4 << 20, 600_000, 64
 END = 0
 #: Kinds of bytes: white space, letters, digits, marks, the apostrophe, and all that is cut nowhere.
 SPACE, LETTER, DIGIT, MARK, APOSTROPHE, UNCUT = range(6)
@@ -180,7 +180,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     ordered = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def streams(batches):
-        pa.default_memory_pool().release_unused()
+        C.give_back()
         part, seq, code = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         keys, sizes, ids, n = [], [], [], 0
 
