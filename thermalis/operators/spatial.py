@@ -1,7 +1,8 @@
 """Distance joins and clusters on the plane, as equi-joins on square buckets.
 
-The smaller side is copied to the buckets around it and joined by key, so a join costs what its
-neighbourhoods hold. No side is broadcast by hand; Spark decides from sizes.
+The right side is copied to the buckets around it and joined by key, so a join costs what its
+neighbourhoods hold. Sizes that Spark estimates leave the copies out, so these joins ask for a merge: nothing
+that grows with a table is broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, keep: str = "d
     """All pairs (left columns, right columns prefixed r_, d) within `radius`. Both sides have x and y.
 
     keep: "d <= radius" or "d < radius". same: columns in which the pair agrees, which are part of
-    the join's key. Each right row goes to its 9 buckets of side `radius`.
+    the join's key. Buckets are twice as wide as `radius`, so a right row goes to the 4 of them that it can reach.
     """
-    bx, by = bucket(F.col("x"), F.col("y"), radius)
+    side, reach = 2 * radius, radius * (1 + 1e-9)
+    bx, by = bucket(F.col("x"), F.col("y"), side)
     lhs = left.withColumns({"_bx": bx, "_by": by})
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    rhs = right.withColumns({"_bx": bx, "_by": by}).withColumn("_s", F.explode(steps)).withColumns({"_bx": F.col("_bx") + F.col("_s.i"), "_by": F.col("_by") + F.col("_s.j")}).drop("_s")
-    rhs = rhs.select(*[F.col(c).alias(c if c in ("_bx", "_by", *same) else f"r_{c}") for c in rhs.columns])
+    touched = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / side).cast("long"), F.floor((F.col(c) + reach) / side).cast("long")))
+    rhs = right.withColumn("_bx", touched("x")).withColumn("_by", touched("y"))
+    rhs = rhs.select(*[F.col(c).alias(c if c in ("_bx", "_by", *same) else f"r_{c}") for c in rhs.columns]).hint("merge")
     d = F.sqrt(F.pow(F.col("x") - F.col("r_x"), F.lit(2.0)) + F.pow(F.col("y") - F.col("r_y"), F.lit(2.0)))
     return lhs.join(rhs, ["_bx", "_by", *same]).withColumn("d", d).filter(F.expr(keep.replace("radius", repr(float(radius))))).drop("_bx", "_by")
 
