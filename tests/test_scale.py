@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from thermalis.operators import evaluate, spatial
+from thermalis.operators import evaluate, risk, spatial
 
 
 def plan(df) -> str:
@@ -23,3 +23,13 @@ def test_copies_of_places_are_merged(spark):
 def test_reference_objects_are_merged(spark):
     pairs = evaluate.reference_scores(grid(spark, 9), grid(spark, 9).withColumn("active", F.lit(True)), 50.0)
     assert "SortMergeJoin" in plan(pairs) and pairs.first().asDict() == {"recall_active": 1.0, "recall_all": 1.0, "on_object": 1.0, "merging_sources": 0, "merged_objects": 0}
+
+
+def test_only_the_least_asset_of_a_place_is_copied(spark, monkeypatch):
+    events = spark.createDataFrame([(1, 0.0, 0.0)], "id long, x double, y double")
+    assets = spark.range(1000).select((F.col("id") + 7).alias("asset_id"), F.lit(30.0).alias("x"), F.lit(40.0).alias("y"), ((F.col("id") % 5 + 1) / 5.0).alias("criticality"))
+    seen, pairs = [], spatial.near_pairs
+    monkeypatch.setattr(spatial, "near_pairs", lambda left, right, *a, **k: seen.append(right.count()) or pairs(left, right, *a, **k))
+    got = risk.asset_terms(events, assets).first().asDict()
+    assert seen == [1, 1]
+    assert (got["nearest_m"], got["nearest_criticality"], got["assets_10km"]) == (50.0, 0.2, 999) and abs(got["asset_weight"] - 599.8) < 1e-9

@@ -122,11 +122,12 @@ def asset_terms(events: DataFrame, assets: DataFrame) -> DataFrame:
     """(id, nearest_m, nearest_criticality, asset_weight, assets_10km) of events (id, x, y) among assets (asset_id, x, y, criticality).
 
     The nearest asset counts within V_RADIUS_M (ties: the least id) and is left out of the weight and
-    the number within ASSET_RADIUS_KM, as it is what burns. Assets at one place are summed before
-    they are joined, and pairs are added up where they are made.
+    the number within ASSET_RADIUS_KM, as it is what burns. Assets at one place are summed, and the least of
+    them is found, before they are joined, and pairs are added up where they are made.
     """
     at = events.select("id", "x", "y")
-    near = spatial.near_pairs(at, assets, V_RADIUS_M).groupBy("id").agg(F.min(F.struct("d", "r_asset_id", "r_criticality")).alias("m"))
+    least = assets.groupBy("x", "y").agg(F.min(F.struct("asset_id", "criticality")).alias("b")).select("x", "y", "b.*")
+    near = spatial.near_pairs(at, least, V_RADIUS_M).groupBy("id").agg(F.min(F.struct("d", "r_asset_id", "r_criticality")).alias("m"))
     places = assets.groupBy("x", "y").agg(F.sum("criticality").alias("w"), F.count(F.lit(1)).alias("n"))
     around = spatial.near_pairs(at, places, ASSET_RADIUS_KM * 1000).groupBy("id").agg(F.sum("r_w").alias("w"), F.sum("r_n").alias("n"))
     zero, own = F.lit(0.0), F.col("m").isNotNull().cast("long")
