@@ -1,8 +1,10 @@
 """What grows with a table is not broadcast through the driver, and bounds of what is shuffled."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from thermalis.operators import evaluate, risk, spatial
+from thermalis.operators import evaluate, registry, risk, spatial, weather
 
 
 def plan(df) -> str:
@@ -33,3 +35,17 @@ def test_only_the_least_asset_of_a_place_is_copied(spark, monkeypatch):
     got = risk.asset_terms(events, assets).first().asDict()
     assert seen == [1, 1]
     assert (got["nearest_m"], got["nearest_criticality"], got["assets_10km"]) == (50.0, 0.2, 999) and abs(got["asset_weight"] - 599.8) < 1e-9
+
+
+def sky(spark, routing: bool):
+    """Clear sky at two places of one cell, and the plan: no row of a place and a day may be shuffled."""
+    places = spark.createDataFrame([("p", 11), ("q", 11), ("r", 12)], "key string, cell long")
+    cloud = spark.createDataFrame([(11, 1, "D", None), (1, 1, "D", 0.25), (12, 1, "A", 0.5), (11, 2, "N", 0.75)], "cell long, day int, daynight string, cloud_frac double")
+    found = weather.clear_sky(places, cloud, 10, routing)
+    assert not re.search(r"hashpartitioning\(key#\d+L?, day#", plan(found))
+    return sorted((r["key"], r["day"], r["daynight"], r["clear"]) for r in found.collect())
+
+
+def test_clear_sky_is_found_once_a_cell(spark):
+    own = [(1, "D", 0.75), (1, "N", 0.5), (2, "N", 0.25)]
+    assert sky(spark, False) == sorted([(k, *v) for k in "pq" for v in own] + [("r", 1, "D", 0.75), ("r", 1, "N", 0.5), ("r", 2, "N", 0.25)])

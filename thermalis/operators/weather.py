@@ -14,13 +14,19 @@ def clear_sky(places: DataFrame, cloud: DataFrame, columns: int, routing: bool =
 
     Per day the first cell of RING with a value counts. Rows for D and N: by default their own value,
     else that of the whole day ('A'); with `routing` the whole day's value first, else one minus the
-    product of what D and N leave. columns: cells of the grid in a row.
+    product of what D and N leave. columns: cells of the grid in a row. A key stands in one cell, and so has one row a day.
+
+    Neighbours are looked up once for each different cell, in rows of a day; places are joined last, so that no row of a
+    place is shuffled.
     """
+    of = lambda k: F.max(F.when(F.col("daynight") == k, 1 - F.col("cloud_frac")))
+    days = cloud.groupBy("cell", "day").agg(of("A").alias("a"), of("D").alias("d"), of("N").alias("n"))
     steps = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(r * columns + c).alias("by")) for i, (r, c) in enumerate(RING)])
-    around = places.select("key", "cell", F.explode(steps).alias("s")).select("key", (F.col("cell") + F.col("s.by")).alias("cell"), "s.rank")
-    best = around.join(cloud, "cell").groupBy("key", "day", "daynight").agg(F.min_by(1 - F.col("cloud_frac"), "rank").alias("clear"))
-    of = lambda k: F.max(F.when(F.col("daynight") == k, F.col("clear")))
-    day = best.groupBy("key", "day").agg(of("A").alias("a"), of("D").alias("d"), of("N").alias("n"))
+    around = days.select("*", F.explode(steps).alias("s")).withColumn("cell", F.col("cell") - F.col("s.by"))
+    own = places.select("key", "cell").distinct()
+    first = lambda k: F.min(F.when(F.col(k).isNotNull(), F.struct("s.rank", k)))[k].alias(k)
+    best = around.join(own.select("cell").distinct().hint("shuffle_hash"), "cell", "left_semi").groupBy("cell", "day").agg(first("a"), first("d"), first("n"))
+    day = best.join(own.hint("shuffle_hash"), "cell")
     if routing:
         both = 1 - (1 - F.coalesce("d", F.lit(0.0))) * (1 - F.coalesce("n", F.lit(0.0)))
         value = F.coalesce("a", F.when(F.coalesce("d", "n").isNotNull(), both))
