@@ -49,3 +49,14 @@ def sky(spark, routing: bool):
 def test_clear_sky_is_found_once_a_cell(spark):
     own = [(1, "D", 0.75), (1, "N", 0.5), (2, "N", 0.25)]
     assert sky(spark, False) == sorted([(k, *v) for k in "pq" for v in own] + [("r", 1, "D", 0.75), ("r", 1, "N", 0.5), ("r", 2, "N", 0.25)])
+
+
+def test_far_points_meet_few_places(spark, monkeypatch):
+    points = grid(spark, 300).withColumn("y", F.col("y") * 10 + 9e6)
+    places = grid(spark, 400, "place")
+    made, pairs, written = [], spatial.near_pairs, spatial.written
+    monkeypatch.setattr(spatial, "near_pairs", lambda *a, **k: made.append(pairs(*a, **k).count()) or pairs(*a, **k))
+    monkeypatch.setattr(spatial, "written", lambda t: made.append(t.count()) or written(t))
+    got = spatial.nearest_any(points, places, "id", "place", "place", 200.0).collect()
+    assert all(r["place"] == 390 + r["id"] % 10 and r["d"] == 9e6 + r["id"] // 10 * 1000 - 3900 for r in got) and len(got) == 300
+    assert sum(made) < 20_000  # all pairs would be 120,000

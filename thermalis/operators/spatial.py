@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import written
 
+#: What a squared bound may grow by, for rounding; it only adds places that are then measured.
+SLACK = 1 + 1e-9
+
 
 def bucket(x: Column, y: Column, side: float) -> tuple[Column, Column]:
     return F.floor(x / side).cast("long"), F.floor(y / side).cast("long")
@@ -45,29 +48,73 @@ def nearest(left: DataFrame, right: DataFrame, radius: float | Column, most: flo
     return left.join(best, key, "left").withColumns({value: F.col(f"m.r_{value}"), "d": F.col("m.d")}).drop("m")
 
 
+def _square_of_distance(cx: Column, cy: Column, low_x: Column, high_x: Column, low_y: Column, high_y: Column) -> Column:
+    """Squared distance of a point to a box, 0 inside."""
+    dx = F.greatest(low_x - cx, cx - high_x, F.lit(0.0))
+    dy = F.greatest(low_y - cy, cy - high_y, F.lit(0.0))
+    return dx * dx + dy * dy
+
+
+def _surely_within(cx: Column, cy: Column) -> Column:
+    """Squared distance within which a tight box (x0, x1, y0, y1) has a place for sure, as each of its sides touches one."""
+    near = lambda c, a, b: F.least(F.pow(c - F.col(a), F.lit(2.0)), F.pow(c - F.col(b), F.lit(2.0)))
+    far = lambda c, a, b: F.greatest(F.pow(c - F.col(a), F.lit(2.0)), F.pow(c - F.col(b), F.lit(2.0)))
+    return F.least(near(cx, "x0", "x1") + far(cy, "y0", "y1"), far(cx, "x0", "x1") + near(cy, "y0", "y1"))
+
+
 def nearest_any(left: DataFrame, right: DataFrame, key: str, value: str, order: str, first: float = 1000.0) -> DataFrame:
     """left with `value` of its nearest right row, however far, and d; null only if right is empty. Both have x and y.
 
-    A round joins within a radius, which finds the nearest of every row that has one there; rows without one go on with
-    twice the radius, so a round looks at the empty neighbourhoods of few rows. It ends when all are answered or the radius
-    spans all places. key: a unique column of left. Equal distances: the least `order` of right.
+    Places lie in boxes of side `first`, 4 times that, and so on. For each square of left rows the boxes are opened level by
+    level: first towards the place nearest to its middle, then towards every place that some point of the square may have
+    nearer than that one. Such a place is nearer to a corner, too, since which of two places is nearer changes at a line.
+    So a square keeps few places however far they are. key: a unique column of left. Equal distances: the least `order` of right.
     """
-    at = written(right.select("x", "y", F.col(order).alias("o"), F.col(value).alias("v")).groupBy("x", "y").agg(F.min(F.struct("o", "v")).alias("b")))
-    open_, answers, radius = written(left.select(key, "x", "y")), [], first
-    box = lambda t: t.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    a, b = box(open_), box(at)
-    if None in (*a, *b):
+    at = written(right.filter("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.min(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("b")).withColumns(dict(zip(("_i", "_j"), bucket(F.col("x"), F.col("y"), first), strict=True))))
+    ends = at.agg(F.max("_i") - F.min("_i"), F.max("_j") - F.min("_j")).first()
+    if ends[0] is None:
         return left.withColumns({value: F.lit(None).cast(right.schema[value].dataType), "d": F.lit(None).cast("double")})
-    span = max(a[1], b[1]) - min(a[0], b[0]) + max(a[3], b[3]) - min(a[2], b[2])
-    while True:
-        best = near_pairs(open_, at, radius).groupBy(key).agg(F.min(F.struct("d", "r_b.o", "r_b.v")).alias("m"))
-        found = written(open_.join(best, key, "left"))
-        answers.append(found.filter("m IS NOT NULL").select(key, F.col("m.v").alias(value), F.col("m.d").alias("d")))
-        open_ = found.filter("m IS NULL").select(key, "x", "y")
-        if radius > span or not open_.limit(1).count():
-            break
-        radius *= 2
-    return left.join(reduce(DataFrame.unionByName, answers), key, "left")
+    top = 0
+    while max(ends) >> 2 * top > 1:
+        top += 1
+    levels = at.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumns({c: F.floor(F.col(c) / F.pow(F.lit(4.0), "level")).cast("long") for c in ("_i", "_j")})
+    boxes = written(levels.groupBy("level", "_i", "_j").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
+    sx, sy = bucket(F.col("x"), F.col("y"), first)
+    placed = left.select(key, "x", "y", sx.alias("_sx"), sy.alias("_sy"))
+    square = written(placed.groupBy("_sx", "_sy").agg(F.min("x").alias("a0"), F.max("x").alias("a1"), F.min("y").alias("b0"), F.max("y").alias("b1")).filter("a0 IS NOT NULL AND b0 IS NOT NULL"))
+    whose, box = ["_sx", "_sy"], ("x0", "x1", "y0", "y1")
+
+    def opened(rows: DataFrame, level: int, what: list[str]) -> DataFrame:
+        """rows with the boxes of a level in theirs of the level above."""
+        inner = boxes.filter(F.col("level") == level).drop("level")
+        if level == top:
+            return rows.crossJoin(inner)
+        parent = inner.withColumns({"_u": F.floor(F.col("_i") / 4).cast("long"), "_v": F.floor(F.col("_j") / 4).cast("long")})
+        return rows.select(*what, F.col("_i").alias("_u"), F.col("_j").alias("_v")).join(parent.hint("merge"), ["_u", "_v"]).drop("_u", "_v")
+
+    mx, my = (F.col("a0") + F.col("a1")) / 2, (F.col("b0") + F.col("b1")) / 2
+    open_ = square.select(*whose, mx.alias("mx"), my.alias("my"), F.lit(float("inf")).alias("h"))
+    for level in range(top, -1, -1):
+        seen = opened(open_, level, [*whose, "mx", "my", "h"]).withColumn("lo", _square_of_distance(F.col("mx"), F.col("my"), *map(F.col, box))).filter(F.col("lo") <= F.col("h") * SLACK)
+        best = F.min(F.least("h", _surely_within(F.col("mx"), F.col("my")))).over(Window.partitionBy(*whose))
+        open_ = written(seen.withColumn("h", best).filter(F.col("lo") <= F.col("h") * SLACK).select(*whose, "mx", "my", "h", "_i", "_j"))
+    away = F.pow(F.col("x") - F.col("mx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("my"), F.lit(2.0))
+    middle = open_.join(at.select("x", "y", "_i", "_j").hint("merge"), ["_i", "_j"]).groupBy(*whose).agg(F.min(F.struct(away.alias("d"), "x", "y")).alias("m"))
+    corners = [(a, b) for a in ("a0", "a1") for b in ("b0", "b1")]
+    reach = [(F.pow(F.col(a) - F.col("m.x"), F.lit(2.0)) + F.pow(F.col(b) - F.col("m.y"), F.lit(2.0))) * SLACK for a, b in corners]
+    sides = ["a0", "a1", "b0", "b1", "u0", "u1", "u2", "u3"]
+    open_ = square.join(middle.hint("merge"), whose).select(*whose, "a0", "a1", "b0", "b1", *[u.alias(f"u{i}") for i, u in enumerate(reach)])
+
+    def in_reach(*sides_: str) -> Column:
+        near = [_square_of_distance(F.col(a), F.col(b), *map(F.col, sides_)) <= F.col(f"u{i}") for i, (a, b) in enumerate(corners)]
+        return reduce(Column.__or__, near)
+
+    for level in range(top, -1, -1):
+        open_ = written(opened(open_, level, [*whose, *sides]).filter(in_reach(*box)).select(*whose, *sides, "_i", "_j"))
+    few = open_.join(at.hint("merge"), ["_i", "_j"]).filter(in_reach("x", "x", "y", "y")).select(*whose, F.col("x").alias("px"), F.col("y").alias("py"), "b")
+    d = F.sqrt(F.pow(F.col("x") - F.col("px"), F.lit(2.0)) + F.pow(F.col("y") - F.col("py"), F.lit(2.0)))
+    found = placed.join(few.hint("merge"), whose).groupBy(key).agg(F.min(F.struct(d.alias("d"), "b.o", "b.v")).alias("m"))
+    return left.join(found.hint("merge"), key, "left").withColumns({value: F.col("m.v"), "d": F.col("m.d")}).drop("m")
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
