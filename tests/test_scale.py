@@ -60,3 +60,7 @@ def test_far_points_meet_few_places(spark, monkeypatch):
     got = spatial.nearest_any(points, places, "id", "place", "place", 200.0).collect()
     assert all(r["place"] == 390 + r["id"] % 10 and r["d"] == 9e6 + r["id"] // 10 * 1000 - 3900 for r in got) and len(got) == 300
     assert sum(made) < 20_000  # all pairs would be 120,000
+
+
+def test_clear_sky_for_routing_is_found_once_a_cell(spark):
+    assert sky(spark, True) == sorted((k, d, "A", v) for k in "pqr" for d, v in ((1, 0.5), (2, 0.25)))
