@@ -64,3 +64,11 @@ def test_far_points_meet_few_places(spark, monkeypatch):
 
 def test_clear_sky_for_routing_is_found_once_a_cell(spark):
     assert sky(spark, True) == sorted((k, d, "A", v) for k in "pqr" for d, v in ((1, 0.5), (2, 0.25)))
+
+
+def test_persistence_shuffles_no_day_of_a_key(spark):
+    hits = spark.createDataFrame([("a", 1), ("a", 4), ("b", 2)], "source string, d int").select("source", F.date_add(F.lit("2024-01-01").cast("date"), "d").alias("day"))
+    days = spark.range(1, 5).crossJoin(spark.createDataFrame([("a",), ("b",)], "source string")).select("source", F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("day"), F.lit(0.5).alias("clear"))
+    found = registry.persistence(hits, days, "source")
+    assert not re.search(r"Join \[source#\w+, day#", plan(found))
+    assert {r["source"]: r["persistence"] for r in found.collect()} == {"a": 2 / 3, "b": 1.0}

@@ -64,11 +64,13 @@ def persistence(hits: DataFrame, clear: DataFrame, key: str, span: DataFrame | N
     below. Null when under half of the span's days have a fraction.
     """
     span = hits.groupBy(key).agg(F.min("day").alias("first"), F.max("day").alias("last")) if span is None else span
-    # no table of days: the shares are summed where they are, without those of hit days
+    # no table of days: a key's hit days go to it as an array, and the shares are summed where they are, without those of hit days
     own = hits.select(key, "day").distinct()
     within = F.col("day").between(F.col("first"), F.col("last"))
-    known = clear.filter(F.col("clear").isNotNull()).select(key, "day", "clear").join(span.select(key, "first", "last"), key).filter(within)
-    part = known.join(own.withColumn("hit", F.lit(True)), [key, "day"], "left").groupBy(key).agg(F.sum(F.when(F.col("hit").isNull(), F.col("clear"))).alias("c"), F.count("clear").alias("n"))
+    of_key = span.select(key, "first", "last").join(own.groupBy(key).agg(F.collect_list("day").alias("hits")), key, "left")
+    known = clear.filter(F.col("clear").isNotNull()).select(key, "day", "clear").join(of_key.hint("shuffle_hash"), key).filter(within)
+    missed = ~F.coalesce(F.array_contains("hits", F.col("day")), F.lit(False))
+    part = known.groupBy(key).agg(F.sum(F.when(missed, F.col("clear"))).alias("c"), F.count("clear").alias("n"))
     count = own.join(span.select(key, "first", "last"), key).filter(within).groupBy(key).agg(F.count(F.lit(1)).alias("h"))
     length = F.datediff("last", "first") + 1
     sums = span.join(part, key, "left").join(count, key, "left").select(key, F.coalesce("h", F.lit(0)).alias("h"), F.coalesce("c", F.lit(0.0)).alias("c"), (F.coalesce("n", F.lit(0)) / length).alias("known"))
