@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from thermalis.operators import evaluate, registry, risk, spatial, weather
+from thermalis.operators import evaluate, registry, risk, routing, spatial, weather
 
 
 def plan(df) -> str:
@@ -72,3 +72,11 @@ def test_persistence_shuffles_no_day_of_a_key(spark):
     found = registry.persistence(hits, days, "source")
     assert not re.search(r"Join \[source#\w+, day#", plan(found))
     assert {r["source"]: r["persistence"] for r in found.collect()} == {"a": 2 / 3, "b": 1.0}
+
+
+def test_facilities_are_merged(spark):
+    ring = F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))])
+    facilities = grid(spark, 40, "facility_id").withColumn("group", F.lit("mining")).select("facility_id", "group", ring.alias("ring"))
+    det = grid(spark, 40, "detection_id").withColumns({"landcover": F.lit(60), "acq_datetime": F.lit("2024-01-01").cast("timestamp_ntz")})
+    assert "BroadcastHashJoin" not in plan(routing.facilities_near(det, facilities, 5.0)) and "BroadcastHashJoin" not in plan(routing.road_a(det, facilities))
+    assert sorted((r["detection_id"], r["facility_id"], r["d"]) for r in routing.facilities_near(det, facilities, 5.0).collect()) == [(i, i, 0.0) for i in range(40)]
