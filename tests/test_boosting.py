@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -193,3 +194,29 @@ def test_edges(spark):
     few, many, none = boosting.edges_of(rows, ["few", "many", "none"], 20)
     assert few.tolist() == [0.0, 1.0, 2.0] and len(many) == 20 and many[-1] == 999.0 and len(none) == 0
     assert boosting.binned([np.array([-1.0, 0.0, 0.5, 2.0, 9.0, np.nan])], [few])[:, 0].tolist() == [0, 0, 1, 2, 2, boosting.MISSING]
+
+
+def test_trees_are_walked_by_whole_columns():
+    """A round's trees over many rows: the walk of each row alone gives the same nodes and sums, in a small part of the time that gathers took."""
+    rng = np.random.default_rng(5)
+    at = (2, 5, 3)
+    feature = rng.integers(-1, 2, (*at, boosting.INNER)).astype(np.int16)
+    trees = boosting.Trees(feature, rng.integers(0, 255, feature.shape).astype(np.int16), rng.random(feature.shape) < 0.5, rng.random((*at, boosting.NODES)), rng.random((*at, boosting.NODES)))
+    bins = rng.integers(0, 256, (500, 2)).astype(np.uint8)
+
+    def walked(t, g, c, row):
+        node = 0
+        while node < boosting.INNER and (f := trees.feature[t, g, c, node]) >= 0:
+            b = bins[row, f]
+            node = 2 * node + 1 + int(not trees.left[t, g, c, node] if b == boosting.MISSING else b > trees.cut[t, g, c, node])
+        return node
+
+    want = np.array([[[[walked(t, g, c, row) for row in range(len(bins))] for c in range(3)] for g in range(5)] for t in range(2)])
+    assert all((trees.nodes(t, bins) == want[t].reshape(15, -1)).all() for t in range(2))
+    sums = sum(np.take_along_axis(trees.value[t], want[t], 2) for t in range(2))
+    assert (trees.margins(bins) == sums.transpose(2, 0, 1)).all()
+    many = np.tile(bins, (100, 1))
+    start = time.process_time()
+    for _ in range(5):
+        trees.nodes(0, many)
+    assert time.process_time() - start < 0.25  # 0.9 s by gathers

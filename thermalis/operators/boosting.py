@@ -96,26 +96,27 @@ class Trees:
         return Trees(*(getattr(self, n)[:, group : group + 1] for n in ("feature", "cut", "left", "value", "cover")))
 
     def nodes(self, turn: int, bins: np.ndarray) -> np.ndarray:
-        """(groups x classes, rows): the node that each row comes to in a round's trees."""
-        feature, cut, left = (getattr(self, n)[turn].reshape(-1, INNER).astype(t) for n, t in (("feature", np.int64), ("cut", np.int64), ("left", bool)))
-        node = np.zeros((len(feature), len(bins)), np.int64)
-        rows, by_feature = np.arange(len(bins)), np.ascontiguousarray(bins.T)
-        for _ in range(DEPTH):
-            inner = np.minimum(node, INNER - 1)
-            f = np.where(node < INNER, np.take_along_axis(feature, inner, 1), -1)
-            if not (f >= 0).any():
-                break
-            b = by_feature[np.maximum(f, 0), rows]
-            right = np.where(b == MISSING, ~np.take_along_axis(left, inner, 1), b > np.take_along_axis(cut, inner, 1))
-            node = np.where(f >= 0, 2 * node + 1 + right, node)
-        return node
+        """(groups x classes, rows): the node that each row comes to in a round's trees. Every split is one comparison of bytes over all rows."""
+        feature, cut, left = (getattr(self, n)[turn].reshape(-1, INNER) for n in ("feature", "cut", "left"))
+        node = np.zeros((len(feature), len(bins)), np.uint8)
+        by_feature = np.ascontiguousarray(bins.T)
+        known = by_feature != MISSING if left.any() else by_feature
+        for own, *tree in zip(node, feature.tolist(), cut.tolist(), left.tolist(), strict=True):
+            for k, (f, c, missing_left) in enumerate(zip(*tree, strict=True)):
+                if f >= 0:
+                    right = by_feature[f] > c  # MISSING is above all cuts
+                    if missing_left:
+                        right &= known[f]
+                    own += (own == k) * (k + 1 + right.view(np.uint8))
+        return node.astype(np.int64)
 
     def margins(self, bins: np.ndarray) -> np.ndarray:
         """(rows, groups, classes): the sums of all rounds' trees."""
         _, groups, classes, _ = self.value.shape
         out = np.zeros((groups * classes, len(bins)))
         for t in range(len(self.value)):
-            out += np.take_along_axis(self.value[t].reshape(-1, NODES), self.nodes(t, bins), 1)
+            for sums, value, node in zip(out, self.value[t].reshape(-1, NODES), self.nodes(t, bins), strict=True):
+                sums += value.take(node)
         return np.ascontiguousarray(out.T).reshape(len(bins), groups, classes)
 
 
@@ -302,7 +303,7 @@ def train(state: DataFrame, sizes: list[int], groups: list[tuple[int, int]], cla
             margins = np.frombuffer(b"".join(b.column("margins").to_pylist()), np.float64).reshape(margins.shape).copy()
         if len(since.value):
             margins += since.margins(bins)
-        labels = np.array(b.column("labels").to_pylist(), np.int64)
+        labels = b.column("labels").flatten().to_numpy().reshape(rows, -1).astype(np.int64)
         return bins, margins, labels, b.column("fold").to_numpy(), b.column("row").to_numpy()
 
     def level(turn: int, since: Trees, now: Trees, depth: int) -> DataFrame:
