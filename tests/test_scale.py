@@ -80,3 +80,13 @@ def test_facilities_are_merged(spark):
     det = grid(spark, 40, "detection_id").withColumns({"landcover": F.lit(60), "acq_datetime": F.lit("2024-01-01").cast("timestamp_ntz")})
     assert "BroadcastHashJoin" not in plan(routing.facilities_near(det, facilities, 5.0)) and "BroadcastHashJoin" not in plan(routing.road_a(det, facilities))
     assert sorted((r["detection_id"], r["facility_id"], r["d"]) for r in routing.facilities_near(det, facilities, 5.0).collect()) == [(i, i, 0.0) for i in range(40)]
+
+
+def test_a_sweep_keeps_one_row_a_key(spark):
+    days = [("a", d) for d in ("2023-01-31", "2023-02-28", "2023-12-31", "2024-02-29", "2024-02-29")] + [("b", "1969-12-31")]
+    recurring = registry.recurrence(spark.createDataFrame(days, "key string, at string").withColumn("at", F.to_date("at")), "key", "at")
+    assert sorted(tuple(r) for r in recurring.collect()) == [("a", 2023, 3, 3), ("a", 2024, 1, 1), ("b", 1969, 1, 1)]
+    swept = registry.gate_sweep(recurring, "key", [(1, 1, 1), (1, 1, 2), (3, 3, 1), (3, 4, 1)])
+    assert not re.search(r"Generate explode.*\[key#", plan(swept)) and not re.search(r"hashpartitioning\(key#\d+, _d", plan(swept))
+    assert sorted(tuple(r) for r in swept.collect()) == [(1, 1, 1, 2), (1, 1, 2, 1), (3, 3, 1, 1), (3, 4, 1, 0)]
+    assert registry.gate_sweep(recurring.limit(0), "key", [(1, 1, 1)]).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,16 @@ MONSOON, COVERAGE = (6, 7, 8, 9), 0.5
 def recurrence(det: DataFrame, key: str, at: str) -> DataFrame:
     """(key, year, days, months): distinct days and months of each year.
 
-    Counted over distinct (key, day) rows, which a first aggregation makes before the shuffle.
+    A year is a calendar of bits, two months to a long, so that what a task keeps and what is shuffled is of one size a
+    (key, year), however many days there are.
     """
-    days = det.select(key, F.to_date(at).alias("_d")).distinct()
-    return days.groupBy(key, F.year("_d").alias("year")).agg(F.count(F.lit(1)).alias("days"), F.countDistinct(F.month("_d")).alias("months"))
+    day = F.to_date(at)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), ((F.month(day) - 1) % 2 * 31 + F.dayofmonth(day) - 1).cast("int"))
+    two = [F.coalesce(F.bit_or(F.when(F.floor((F.month(day) - 1) / 2) == i, bit)), F.lit(0).cast("long")).alias(f"_{i}") for i in range(6)]
+    calendar = det.groupBy(key, F.year(day).alias("year")).agg(*two)
+    low, pairs = F.lit((1 << 31) - 1), [F.col(f"_{i}") for i in range(6)]
+    seen = [(half != 0).cast("long") for c in pairs for half in (c.bitwiseAND(low), F.shiftright(c, 31))]
+    return calendar.select(key, "year", reduce(Column.__add__, [F.bit_count(c).cast("long") for c in pairs]).alias("days"), reduce(Column.__add__, seen).alias("months"))
 
 
 def gated(recurring: DataFrame, key: str, months: int = MONTHS, days: int = DAYS, years: int = YEARS) -> DataFrame:
@@ -30,10 +38,12 @@ def gated(recurring: DataFrame, key: str, months: int = MONTHS, days: int = DAYS
 
 
 def gate_sweep(recurring: DataFrame, key: str, gates: list[tuple[int, int, int]]) -> DataFrame:
-    """(months, days, years, n_keys) for each gate, from one recurrence table."""
-    grid = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d"), F.lit(y).alias("y")) for m, d, y in gates])).alias("g")
-    per = recurring.select("*", grid).groupBy(key, "g").agg(F.sum(((F.col("months") >= F.col("g.m")) & (F.col("days") >= F.col("g.d"))).cast("int")).alias("n"))
-    return per.groupBy("g").agg(F.sum((F.col("n") >= F.col("g.y")).cast("int")).alias("n_keys")).select(F.col("g.m").alias("months"), F.col("g.d").alias("days"), F.col("g.y").alias("years"), "n_keys")
+    """(months, days, years, n_keys) for each gate, from one recurrence table: a key has one row, with its years in columns, whatever the gates."""
+    years = {(m, d): f"_{m}_{d}" for m, d, _ in gates}
+    per = recurring.groupBy(key).agg(*[F.sum(((F.col("months") >= m) & (F.col("days") >= d)).cast("int")).alias(c) for (m, d), c in years.items()])
+    counts = per.agg(*[F.coalesce(F.sum((F.col(years[m, d]) >= y).cast("int")), F.lit(0)).alias(f"n{i}") for i, (m, d, y) in enumerate(gates)], F.count(F.lit(1)).alias("keys"))
+    rows = F.array(*[F.struct(F.lit(m).alias("months"), F.lit(d).alias("days"), F.lit(y).alias("years"), F.col(f"n{i}").alias("n_keys")) for i, (m, d, y) in enumerate(gates)])
+    return counts.filter("keys > 0").select(F.explode(rows).alias("g")).select("g.*")
 
 
 def clusters(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
