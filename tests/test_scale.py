@@ -90,3 +90,12 @@ def test_a_sweep_keeps_one_row_a_key(spark):
     assert not re.search(r"Generate explode.*\[key#", plan(swept)) and not re.search(r"hashpartitioning\(key#\d+, _d", plan(swept))
     assert sorted(tuple(r) for r in swept.collect()) == [(1, 1, 1, 2), (1, 1, 2, 1), (3, 3, 1, 1), (3, 4, 1, 0)]
     assert registry.gate_sweep(recurring.limit(0), "key", [(1, 1, 1)]).count() == 0
+
+
+def test_overlaps_are_summed_where_they_meet(spark):
+    new = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (2, 5), (2, None), (None, 5)], "cell long, label long")
+    old = spark.createDataFrame([(1, 8), (2, 8), (2, 8), (2, 9), (None, 8)], "cell long, old_id long")
+    found = registry.overlaps(new, old)
+    assert plan(found).count("Exchange hashpartitioning") == 3  # each side by cell, the pairs before any sum
+    key = lambda r: str(r)
+    assert sorted((tuple(r) for r in found.collect()), key=key) == sorted([(5, 8, 2), (5, 9, 1), (6, 8, 1), (None, 8, 1), (None, 9, 1)], key=key)

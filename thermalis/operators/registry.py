@@ -124,8 +124,16 @@ def majority(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def overlaps(new: DataFrame, old: DataFrame) -> DataFrame:
-    """(label, old_id, n): cells that a new cluster and an old source share. new: cell, label; old: cell, old_id."""
-    return new.join(old, "cell").groupBy("label", "old_id").agg(F.count(F.lit(1)).alias("n"))
+    """(label, old_id, n): cells that a new cluster and an old source share. new: cell, label; old: cell, old_id; repeated rows count once.
+
+    Each side is shuffled once, by cell, and so are the pairs, as they are: few pairs repeat within a task, and sums of them
+    would hold nearly all of its pairs in memory. Pairs go to all shuffle partitions, since joined ones would be sums of more pairs.
+    """
+    of_cell = lambda side, c: side.select("cell", F.struct(c).alias("s")).filter("cell IS NOT NULL").repartition("cell").groupBy("cell").agg(F.collect_set("s").alias(c))
+    sets = of_cell(new, "label").join(of_cell(old, "old_id").hint("merge"), "cell")
+    parts = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = sets.select("old_id", F.explode("label").alias("s")).select("s.label", F.explode("old_id").alias("s")).select("label", "s.old_id").repartition(parts, "label", "old_id")
+    return pairs.groupBy("label", "old_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def match_ids(shared: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def id_overlaps(spark, sf_dir):
 
 def _overlaps(new, old):
     cell = F.col("l_orderkey").alias("cell")
-    return registry.overlaps(new.select(cell, F.col("l_partkey").alias("label")).distinct(), old.select(cell, F.col("l_suppkey").alias("old_id")).distinct())
+    return registry.overlaps(new.select(cell, F.col("l_partkey").alias("label")), old.select(cell, F.col("l_suppkey").alias("old_id")))
 
 
 @query(None)
