@@ -99,3 +99,14 @@ def test_overlaps_are_summed_where_they_meet(spark):
     assert plan(found).count("Exchange hashpartitioning") == 3  # each side by cell, the pairs before any sum
     key = lambda r: str(r)
     assert sorted((tuple(r) for r in found.collect()), key=key) == sorted([(5, 8, 2), (5, 9, 1), (6, 8, 1), (None, 8, 1), (None, 9, 1)], key=key)
+
+
+def test_matching_moves_no_pair_to_find_the_best(spark, monkeypatch):
+    plans, tables = [], []
+    from thermalis import tables as shared_tables
+
+    whole = shared_tables.written
+    monkeypatch.setattr(shared_tables, "written", lambda df: plans.append(plan(df)) or tables.append(df) or whole(df))
+    shared = spark.createDataFrame([(1, 7, 9), (1, 8, 9), (2, 7, 9), (2, 8, 4), (3, 8, 5), (3, 7, 1), (None, 7, 10)], "label long, old_id long, n long")
+    assert sorted((r["label"], r["old_id"]) for r in registry.match_ids(shared).collect()) == [(1, 7), (3, 8)]
+    assert len(plans) > 2 and not any("Window" in p for p in plans)

@@ -140,18 +140,20 @@ def match_ids(shared: DataFrame) -> DataFrame:
     """(label, old_id): greedy one-to-one by overlap, ties by label and id.
 
     Each round keeps the pairs that are best for both sides and drops the rest of their rows, which
-    equals the greedy order; the number of rounds is that of the longest chain of contested pairs.
+    equals the greedy order; the number of rounds is that of the longest chain of contested pairs. The best of each side come
+    from sums that are made before the shuffle, so no round sorts or moves the pairs that are left.
     """
     from ..tables import written
 
-    found, left = None, written(shared)
-    order = [F.desc("n"), F.asc("label"), F.asc("old_id")]
-    while left.limit(1).count():
-        first = lambda k: F.row_number().over(Window.partitionBy(k).orderBy(*order)) == 1
-        best = written(left.withColumns({"l": first("label"), "o": first("old_id")}).filter("l and o").select("label", "old_id"))
+    found, left = None, written(shared.filter("label IS NOT NULL AND old_id IS NOT NULL"))
+    rank = F.struct((-F.col("n")).alias("n"), "label", "old_id")
+    while True:
+        first = lambda k: left.groupBy(k).agg(F.min(rank).alias("m")).select("m.label", "m.old_id")
+        best = written(first("label").join(first("old_id"), ["label", "old_id"]))
+        if not best.limit(1).count():
+            return found if found is not None else shared.select("label", "old_id")
         found = best if found is None else found.union(best)
         left = written(left.join(best.select("label"), "label", "left_anti").join(best.select("old_id"), "old_id", "left_anti"))
-    return found if found is not None else shared.select("label", "old_id")
 
 
 def centroid(w: str = "n") -> list[Column]:
