@@ -110,3 +110,12 @@ def test_matching_moves_no_pair_to_find_the_best(spark, monkeypatch):
     shared = spark.createDataFrame([(1, 7, 9), (1, 8, 9), (2, 7, 9), (2, 8, 4), (3, 8, 5), (3, 7, 1), (None, 7, 10)], "label long, old_id long, n long")
     assert sorted((r["label"], r["old_id"]) for r in registry.match_ids(shared).collect()) == [(1, 7), (3, 8)]
     assert len(plans) > 2 and not any("Window" in p for p in plans)
+
+
+def test_edges_of_a_long_chain_shrink_by_a_share(spark, monkeypatch):
+    chain = spark.range(299).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    kept, written = [], spatial.written
+    monkeypatch.setattr(spatial, "written", lambda df: kept.append(df.count() if "a" in df.columns else 0) or written(df))
+    got = spatial.connected_components(spark.range(302), chain.union(chain.select("b", "a")))
+    assert {r["id"]: r["comp"] for r in got.collect()} == {i: 0 if i < 300 else i for i in range(302)}
+    assert sum(kept) < 4 * 598  # all edges in each of 9 rounds before

@@ -120,19 +120,22 @@ def nearest_any(left: DataFrame, right: DataFrame, key: str, value: str, order:
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, comp): comp is the least id reachable over edges (a, b), both directions being given.
 
-    Each round takes the least label among neighbours and then the label's label, so paths halve;
-    rounds are written to the shared folder, which cuts the lineage.
+    In each round a node stands for itself or the neighbour that comes first by a hash of the round, edges go over to those that
+    stand for their ends, and edges within one are dropped. So edges shrink by a share each round, whatever the order of ids
+    along a chain. Rounds are written to the shared folder, which cuts the lineage.
     """
-    edges = written(edges.select("a", "b").filter("a != b"))
-    labels = written(nodes.select("id", F.col("id").alias("comp")))
-    while True:
-        near = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("comp").alias("near"))
-        hooked = labels.join(near, labels["id"] == near["a"], "left").select("id", F.least("comp", F.coalesce("near", "comp")).alias("comp"), F.col("comp").alias("was"))
-        jump = hooked.select(F.col("id").alias("k"), F.col("comp").alias("next"))
-        new = written(hooked.join(jump, hooked["comp"] == jump["k"]).select("id", F.least("comp", "next").alias("comp"), "was"))
-        labels = new.select("id", "comp")
-        if not new.filter("comp != was").limit(1).count():
-            return labels
+    edges = written(edges.select("a", "b").filter("a != b").distinct())
+    labels, turn = written(nodes.select("id", F.col("id").alias("comp"))), 0
+    while edges.limit(1).count():
+        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("rep"))  # noqa: B023, E731
+        chosen = edges.groupBy("a").agg(F.min(rank("b")).alias("m"))
+        first = written(chosen.select(F.col("a").alias("node"), F.least("m", rank("a"))["rep"].alias("rep")))
+        of = lambda c: first.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_rep"))  # noqa: B023, E731
+        labels = written(labels.join(of("comp"), "comp", "left").select("id", F.coalesce("comp_rep", "comp").alias("comp")))
+        edges = written(edges.join(of("a"), "a").join(of("b"), "b").filter("a_rep != b_rep").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct())
+        turn += 1
+    least = labels.groupBy("comp").agg(F.min("id").alias("least"))
+    return labels.join(least, "comp").select("id", F.col("least").alias("comp"))
 
 
 def squares(points: DataFrame, radius: float, same: tuple[str, ...] = ()) -> DataFrame:
