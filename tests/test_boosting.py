@@ -219,4 +219,4 @@ def test_trees_are_walked_by_whole_columns():
     start = time.process_time()
     for _ in range(5):
         trees.nodes(0, many)
-    assert time.process_time() - start < 0.25  # 0.9 s by gathers
+    assert time.process_time() - start < 0.25  # 0.7 s by gathers
