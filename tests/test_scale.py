@@ -119,3 +119,16 @@ def test_edges_of_a_long_chain_shrink_by_a_share(spark, monkeypatch):
     got = spatial.connected_components(spark.range(302), chain.union(chain.select("b", "a")))
     assert {r["id"]: r["comp"] for r in got.collect()} == {i: 0 if i < 300 else i for i in range(302)}
     assert kept[0] == 598 and kept[-1] == 0 and sum(kept) < 4 * 598  # one table before, all of it read each round
+
+
+def test_a_site_is_replayed_without_frames_and_linked_on_days_that_change_it(spark, monkeypatch):
+    rows = [(i, 100.0, 100.0, i, "VIIRS", "fire") for i in range(40)]
+    det = spark.createDataFrame(rows, "detection_id long, x double, y double, day long, instrument string, pred_class string")
+    found = routing.promotions(det)
+    assert "FlatMapGroupsInArrow" in plan(found)
+    got = [tuple(r)[1:] for r in found.collect()]
+    assert sorted(got, key=str) == sorted([(1, None, 0, 20, 20, "fire"), *[(1, i, None, None, None, None) for i in range(20, 40)]], key=str)
+    tied, chains = [], routing._chains
+    monkeypatch.setattr(routing, "_chains", lambda at: tied.append(len(at)) or chains(at))
+    site = routing.candidate_groups(det).select("site", "detection_id", "cell", "x", "y", "day", "instrument", "pred_class").toArrow()
+    assert routing._replay_site(site, None).num_rows == len(got) and len(tied) == 20  # captured days change no cell
