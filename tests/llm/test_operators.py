@@ -341,6 +341,15 @@ def test_range_coder_is_smaller_than_deflate(tokenizer):
         assert len(rangecoder.encode(ids)) < len(zlib.compress(ids.astype("<u2").tobytes(), 6))
 
 
+def test_lessons_of_the_coder_are_counted_together(monkeypatch):
+    ids, calls, count = np.arange(20 * rangecoder.LEAST_BLOCK) * 7 % 300, [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or count(*a, **k))
+    coded = rangecoder.encode(ids)
+    lessons = rangecoder.LEAST_BLOCK // (rangecoder.RUN * rangecoder.WEIGH)
+    assert len(calls) <= 1 + 2 * lessons  # two counters a lesson, and the ids themselves; one pass a run would be 16 times that
+    assert (rangecoder.decode(coded) == ids).all() and len(calls) <= 1 + 4 * lessons
+
+
 def test_damaged_block_is_found():
     data = bytearray(rangecoder.encode(np.arange(5000) * 7 % 50000))
     data[len(data) // 2] ^= 64

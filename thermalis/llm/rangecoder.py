@@ -74,24 +74,29 @@ class Model:
 
     def weigh(self) -> None:
         """The cuts of 2**WEIGHT of every row (the order-2 weight, and that with the order-1 weight), from what it has seen."""
-        for row, symbol, cls in self.waiting:
-            self.seen += np.bincount((row * 3 + symbol).reshape(-1), minlength=len(self.seen))
-            self.in_class += 4 * np.bincount((self.class0[: cls.shape[-1]] + cls).reshape(-1), minlength=len(self.in_class)).astype(np.int32)
-        self.waiting.clear()
+        if self.waiting:  # all lessons in one count, as a count costs a pass over its table
+            counters, classes = (np.concatenate([x.reshape(-1) for x in xs]) for xs in zip(*self.waiting, strict=True))
+            self.seen += np.bincount(counters, minlength=len(self.seen))
+            self.in_class += 4 * np.bincount(classes, minlength=len(self.in_class)).astype(np.int32)
+            self.waiting.clear()
         count = self.in_class.reshape(self.lanes, self.classes)
         total = 1 << CLASS
         share = 1 + count * np.int64(total - self.classes) // count.sum(1, keepdims=True, dtype=np.int64)
         share[np.arange(self.lanes), count.argmax(1)] += total - share.sum(1)
-        # a class's share and what lies before it, in one number
-        self.share = ((np.cumsum(share, 1) - share) << 32 | share).reshape(-1)
+        # a class's share and what lies before it, in one number; such tables are small, as many workers share a cache
+        self.share = ((np.cumsum(share, 1) - share) << 16 | share).astype(np.int32).reshape(-1)
         if self.inverse:
             self.class_at = np.repeat(np.tile(np.arange(self.classes, dtype=np.uint8), self.lanes), share.reshape(-1))
         n = self.seen.reshape(-1, 3)
-        two, one, all_ = n[:, 0].astype(np.float32), n[:, 1].astype(np.float32), n.sum(1).astype(np.float32)
+        two, one, all_ = n[:, 0].astype(np.float32), n[:, 1].astype(np.float32), (n[:, 0] + n[:, 1] + n[:, 2]).astype(np.float32)
         most = (1 << WEIGHT) - 3  # every symbol keeps 1 at least
         a = 1 + (two * most / all_).astype(np.int64)
         b = a + 1 + (one * most / all_).astype(np.int64)
-        self.cuts = a << 32 | b
+        self.cuts = (a << 16 | b).astype(np.int32)
+
+    def note(self, row: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, place: np.ndarray) -> None:
+        """What the next weights learn from: the row and symbol of each id, and the place of its class among those of all lanes."""
+        self.waiting.append((row * 3 + np.where(hit2, 0, 2 - hit1), place))
 
     def predict(self, at1: np.ndarray, at2: np.ndarray) -> tuple[np.ndarray, ...]:
         """(order-1 slot, order-2 slot, row) at the places."""
@@ -126,7 +131,8 @@ class Classes:
         first = np.cumsum(lengths) - lengths
         self.of = np.repeat(np.arange(len(lengths)), lengths)
         before = np.cumsum(frequency) - frequency
-        self.before = before - before[first][self.of]
+        # what lies before an id in its class and the id's width, in one number
+        self.place = (before - before[first][self.of] << 16 | frequency).astype(np.int32)
 
     @classmethod
     def made(cls, counts: np.ndarray) -> Classes:
@@ -211,14 +217,15 @@ def _chapter(ids: np.ndarray, index: np.ndarray, kinds: np.ndarray, order0: Clas
         at2 += model.base2[:live]
         v1, v2, row = model.predict(at1, at2)
         cuts = model.cuts.take(row)
-        two, both = cuts >> 32, cuts & (1 << 32) - 1
+        two, both = cuts >> 16, cuts & 0xFFFF
         hit2, hit1 = v2 >> 2 == now, v1 >> 2 == now
         left, kind = (1 << WEIGHT) - both, order0.of.take(now)
-        share = model.share.take(model.class0[:live] + kind)
-        upto, share = share >> 32, share & 0xFFFFFFFF
-        begin0 = (upto << WITHIN) + share * order0.before.take(now)
-        begins = np.where(hit2, 0, np.where(hit1, two << ORDER0, (both << ORDER0) + left * begin0))
-        widths = np.where(hit2, two << ORDER0, np.where(hit1, both - two << ORDER0, left * share * order0.frequency.take(now)))
+        kind += model.class0[:live]
+        share = model.share.take(kind)
+        upto, share, place = share >> 16, share & 0xFFFF, order0.place.take(now)
+        begin0 = (upto << WITHIN) + share * (place >> 16)
+        begins = np.where(hit2, 0, np.where(hit1, two << ORDER0, (both << ORDER0) + left * begin0)).astype(np.int64)
+        widths = np.where(hit2, two << ORDER0, np.where(hit1, both - two << ORDER0, left * share * (place & 0xFFFF))).astype(np.int64)
         l, s, here = low[:live], span[:live], pos[:live]  # noqa: E741
         for begin, size in zip(begins, widths, strict=True):
             s >>= WORD
@@ -233,7 +240,7 @@ def _chapter(ids: np.ndarray, index: np.ndarray, kinds: np.ndarray, order0: Clas
             l <<= by
             s <<= by
         model.learn(now, at1, at2, v1, v2)
-        model.waiting.append((row, np.where(hit2, 0, 2 - hit1), kind))
+        model.note(row, hit1, hit2, kind)
         if k % WEIGH == WEIGH - 1:
             model.weigh()
     out[pos] = (low + (1 << 32) - 1) >> 32  # a value in the last range, whatever follows
@@ -325,28 +332,26 @@ def _read_chapter(data: bytes) -> list[tuple[np.ndarray | None, int]]:
             v1, v2, row = model.predict(at1, at2)
             cuts = model.cuts.take(row)
             s >>= WORD
-            two, both = cuts >> 32, cuts & (1 << 32) - 1
-            unit = ((1 << WEIGHT) - both) * s
-            two *= s
-            both *= s
+            two, both = (cuts >> 16) * s, (cuts & 0xFFFF) * s
+            unit = (s << WEIGHT) - both
             two <<= ORDER0
             both <<= ORDER0
             hit2, hit1 = c < two, c < both
             slot = np.maximum(c - both, 0).view(np.uint64) // unit.view(np.uint64)
-            slot = np.minimum(slot, (1 << ORDER0) - 1).view(np.int64)
+            slot = np.minimum(slot, (1 << ORDER0) - 1).astype(np.int32)
             kind = model.class_at.take(slot0 + (slot >> WITHIN))
             begin = model.share.take(class0 + kind)
-            share = begin & 0xFFFFFFFF
-            begin >>= 32 - WITHIN
-            begin &= -1 << WITHIN
+            share = begin & 0xFFFF
+            begin >>= 16
+            begin <<= WITHIN
             slot -= begin
             # exact: both numbers are small
-            ids = which.take((slot / share).astype(np.int64) + (kind.astype(np.int64) << WITHIN)).astype(np.int64)
-            begin += share * order0.before.take(ids)
-            begin *= unit
+            ids = which.take((slot / share).astype(np.int32) + (kind.astype(np.int32) << WITHIN)).astype(np.int32)
+            place = order0.place.take(ids)
+            begin += share * (place >> 16)
+            begin = begin * unit
             begin += both
-            size = order0.frequency.take(ids) * share
-            size *= unit
+            size = (place & 0xFFFF) * share * unit
             # a damaged block may predict what is no id
             hit = np.flatnonzero(hit1)
             begin[hit], size[hit], ids[hit] = two.take(hit), (both - two).take(hit), np.maximum(v1.take(hit) >> 2, 0)
@@ -365,7 +370,7 @@ def _read_chapter(data: bytes) -> list[tuple[np.ndarray | None, int]]:
         at1, at2, v1, v2, row, hit1, hit2 = (np.stack(x) for x in zip(*ran, strict=True))
         now = out[t + 2 : stop + 2, :live]
         model.learn(now, at1, at2, v1, v2)
-        model.waiting.append((row, np.where(hit2, 0, 2 - hit1), order0.of.take(now)))
+        model.note(row, hit1, hit2, order0.of.take(now) + class0)
         if k % WEIGH == WEIGH - 1:
             model.weigh()
     plain = kinds.astype("<u4")[np.ascontiguousarray(out[2:].T)]

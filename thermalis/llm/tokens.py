@@ -131,7 +131,7 @@ class Encoder:
                 self.flat[used : used + n.sum()] = self.flat[np.repeat(starts[order] - np.cumsum(n[order]) + n[order], n[order]) + np.arange(n.sum())]
             self.ends[count + 1 : count + len(n) + 1] = used + np.cumsum(n[order])
             number[np.array(new)[order]] = count + np.arange(len(new))
-            self.known.update((pieces[new[k]], count + j) for j, k in enumerate(order[: kept.sum()].tolist()))
+            self.known.update(zip([pieces[new[k]] for k in order[: kept.sum()].tolist()], range(count, count + int(kept.sum())), strict=True))
         return self.ends[number], self.ends[number + 1] - self.ends[number]
 
     def encode(self, column: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +144,7 @@ class Encoder:
         cuts = piece_ends(data, at) if len(data) else np.zeros(1, np.int64)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).dictionary_encode()
         which = pieces.indices.to_numpy()
-        starts, sizes = self.lookup(pieces.dictionary.to_pylist())
+        starts, sizes = self.lookup(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
         size = sizes.take(which)
         upto = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=upto[1:])
