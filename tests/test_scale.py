@@ -158,3 +158,33 @@ def test_a_summary_assigns_detections_once(spark):
     found = det.select((F.col("detection_id") % 2).alias("site"), F.lit(0).alias("no"), F.lit("fire").alias("kind"), "detection_id").groupBy("site").applyInArrow(assigned, events.LINKED)
     got = events.summarise(found, det, 0).collect()
     assert [(r["n_detections"], r["pred_class"]) for r in got] == [(3, "forest")] * 2 and calls.value == 2
+
+
+def shuffled(spark) -> int:
+    """Rows written to shuffles so far."""
+    java = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, java.new_array(java.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_density_clusters_copy_a_place_about_twice(spark):
+    """Clumps of 66 places in 900 m, whose components take several rounds. No join is broadcast, as at size."""
+    n = 6600
+    at = spark.range(n).select("id", (F.expr("id div 66") * 5000 + F.col("id") * 7919 % 900).cast("double").alias("x"), (F.col("id") * 104729 % 900).cast("double").alias("y"), (1 + F.col("id") % 3).alias("weight"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled(spark)
+        assert spatial.weighted_dbscan(at, 90.0, 5).count() == n
+        assert shuffled(spark) - before < 16 * n  # 12 rows a point; 24 when places went to 4 buckets, three times over
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_rounds_write_only_nodes_with_edges(spark, monkeypatch):
+    chain = spark.range(299).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    kept, written = [], spatial.written
+    monkeypatch.setattr(spatial, "written", lambda df: kept.append(df.count()) or written(df))
+    got = spatial.connected_components(spark.range(5000), chain.union(chain.select("b", "a")))
+    assert {r["id"]: r["comp"] for r in got.collect()} == {i: 0 if i < 300 else i for i in range(5000)}
+    assert sum(kept) < 5000  # all nodes in every round would be 30,000 and more
