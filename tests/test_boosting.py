@@ -220,3 +220,26 @@ def test_trees_are_walked_by_whole_columns():
     for _ in range(5):
         trees.nodes(0, many)
     assert time.process_time() - start < 0.25  # 0.7 s by gathers
+
+
+def jobs(spark) -> int:
+    return spark.sparkContext._jsc.sc().statusStore().jobsList(None).size()
+
+
+def test_few_cells_are_grown_in_one_job(spark, monkeypatch):
+    """Cells of equal rows: the jobs do not grow with the rounds, and trees, margins and predictions are those of the level by level way."""
+    rows = table(spark, 700, 2).withColumn("a", F.round("a"))
+    found = []
+    for most in (boosting.CELLS, 0):
+        monkeypatch.setattr(boosting, "CELLS", most)
+        spent = []
+        for trees in (2, 12):
+            before = jobs(spark)
+            out = model.cross_validated(rows, ["a", "b", "c"], "block", k=3, trees=trees).collect()
+            spent.append(jobs(spark) - before)
+        state, classes, edges = model._prepared(rows.withColumn("fold", (F.col("block") % 2).cast("int")), ["a", "b", "c"], "label")
+        grown, ended = boosting.train(state.drop("_row"), [len(e) for e in edges], [(0, 0), (0, 1), (0, -1)], 3, 12)
+        found.append((spent, {r["id"]: (r["fold"], r["predicted"], tuple(r["proba"])) for r in out}, {n: x.tolist() for n, x in vars(grown).items()}, {r["row"]: bytes(r["margins"]) for r in ended.collect()}))
+    (few, *one), (many, *other) = found
+    assert one == other and len(one[0]) == len(one[2]) == 700
+    assert few[0] == few[1] and many[1] >= many[0] + 30  # 3 jobs a round before

@@ -1,10 +1,12 @@
 """Gradient boosting of decision trees by histograms, for many targets in one pass.
 
 Features are binned once. A group is one training set: a fold's rest, all rows, or either with shuffled
-labels; each has one tree a class and round. A level of all trees of a round is one job: every task
-sums gradients of its rows by (group, class, node, feature, bin), the sums of a group meet in
-one task, which chooses its splits, and the driver gets the splits alone. Gradients are summed as
-integers, so that results do not depend on how rows lie in partitions.
+labels; each has one tree a class and round. Rows of equal fold, labels and bins are a cell: they have one
+gradient, and rounds differ only in how many of them are sampled. Where the cells are few, whatever the number of rows, tasks count
+each cell's rows of each round, and one job grows all rounds, a task a group. Where they are
+many, a level of all trees of a round is one job: every task sums gradients of its rows by (group, class, node,
+feature, bin), the sums of a group meet in one task, which chooses its splits, and the driver gets the splits alone. Gradients are
+summed as integers, so that results depend neither on how rows lie in partitions nor on which of the two ways is taken.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from ..tables import written
 TREES, DEPTH, STEP, SUBSAMPLE, COLUMNS, CHILD, PENALTY, SEED = 300, 3, 0.05, 0.8, 0.8, 2.0, 1.0, 26162
 #: Bins of a feature at most; the bin of missing values; units of a gradient; rounds between two written states; rows x trees of a task, about.
 BINS, MISSING, UNIT, KEPT, WORK = 255, 255, 1 << 24, 10, 400_000
+#: Where trees are grown from cells: cells x rounds at most in a group, and in all groups; rows x rounds that a task counts, about.
+CELLS, CELLS_SENT, COUNTED = 1 << 24, 1 << 28, 1 << 25
 INNER, NODES = (1 << DEPTH) - 1, (1 << DEPTH + 1) - 1
 GAIN = 1e-6
 
@@ -55,6 +59,12 @@ def binned(values: list[np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a matrix of bytes: the first place of each different row, and each row's number among these."""
+    _, first, own = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}")[:, 0], return_index=True, return_inverse=True)
+    return first, own
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -92,6 +102,9 @@ class Trees:
     def then(self, other: Trees) -> Trees:
         return Trees(*(np.concatenate([getattr(self, n), getattr(other, n)]) for n in ("feature", "cut", "left", "value", "cover")))
 
+    def rounds(self, start: int, end: int) -> Trees:
+        return Trees(*(getattr(self, n)[start:end] for n in ("feature", "cut", "left", "value", "cover")))
+
     def of(self, group: int) -> Trees:
         return Trees(*(getattr(self, n)[:, group : group + 1] for n in ("feature", "cut", "left", "value", "cover")))
 
@@ -111,10 +124,14 @@ class Trees:
         return node.astype(np.int64)
 
     def margins(self, bins: np.ndarray) -> np.ndarray:
-        """(rows, groups, classes): the sums of all rounds' trees."""
-        _, groups, classes, _ = self.value.shape
+        """(rows, groups, classes): the sums of all rounds' trees. Many rounds walk rows of equal bins once."""
+        rounds, groups, classes, _ = self.value.shape
+        if rounds > KEPT and bins.size:
+            first, own = distinct(bins)
+            if len(first) * 2 < len(bins):
+                return self.margins(bins[first])[own]
         out = np.zeros((groups * classes, len(bins)))
-        for t in range(len(self.value)):
+        for t in range(rounds):
             for sums, value, node in zip(out, self.value[t].reshape(-1, NODES), self.nodes(t, bins), strict=True):
                 sums += value.take(node)
         return np.ascontiguousarray(out.T).reshape(len(bins), groups, classes)
@@ -275,6 +292,132 @@ _FACTORIAL = [1, 1, 2, 6, 24, 120, 720]
 _ORDERS = {m: [_FACTORIAL[s] * _FACTORIAL[m - s - 1] / _FACTORIAL[m] for s in range(m)] for m in range(1, 7)}
 
 
+def gradients(margins: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and hessian in UNITs. margins: (rows, groups, classes); labels: (rows, groups); weights: (groups, classes)."""
+    p = softmax(margins)
+    truth = labels[:, :, None] == np.arange(p.shape[2])
+    w = np.take_along_axis(np.broadcast_to(weights, p.shape[:1] + weights.shape), labels[:, :, None], 2)
+    return np.rint((p - truth) * w * UNIT).astype(np.int64), np.rint(np.maximum(2 * p * (1 - p) * w, 1e-16) * UNIT).astype(np.int64)
+
+
+@dataclass
+class Places:
+    """Where the bins of all features lie in one row of sums; each feature has a further place for missing values."""
+
+    sizes: list[int]
+
+    def __post_init__(self) -> None:
+        self.offsets = np.concatenate([[0], np.cumsum(np.array(self.sizes) + 1)])
+        self.cells = int(self.offsets[-1])
+
+    def of(self, bins: np.ndarray) -> np.ndarray:
+        return self.offsets[:-1] + np.where(bins == MISSING, np.array(self.sizes), bins)
+
+    def sums(self, node: np.ndarray, place: np.ndarray, grad: np.ndarray, hess: np.ndarray, width: int) -> np.ndarray:
+        """(node x place, 2) of one tree's rows. Exact while sums stay below 2**53."""
+        at = (node[:, None] * self.cells + place).reshape(-1)
+        return np.stack([np.bincount(at, np.repeat(x, place.shape[1]), width * self.cells).astype(np.int64) for x in (grad, hess)], 1)
+
+    def full(self, hist: np.ndarray) -> np.ndarray:
+        """(node, feature, bin, 2) of (node, place, 2), as best_splits takes it."""
+        out = np.zeros((len(hist), len(self.sizes), max(self.sizes) + 1, 2), np.int64)
+        for f, n_bins in enumerate(self.sizes):
+            out[:, f, :n_bins] = hist[:, self.offsets[f] : self.offsets[f] + n_bins]
+            out[:, f, -1] += hist[:, self.offsets[f] + n_bins]
+        return out
+
+
+def split(now: Trees, at: tuple[int, ...], node: int, feature: int, cut: int, left: bool, gl: float, hl: float, gr: float, hr: float, g: float, h: float) -> None:
+    """Enters a node's choice into a tree."""
+    now.value[at][node], now.cover[at][node] = -STEP * g / (h + PENALTY), h
+    if feature >= 0:
+        now.feature[at][node], now.cut[at][node], now.left[at][node] = feature, cut, left
+        for child, gc, hc in ((2 * node + 1, gl, hl), (2 * node + 2, gr, hr)):
+            now.value[at][child], now.cover[at][child] = -STEP * gc / (hc + PENALTY), hc
+
+
+def _bytes(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """Rows of a column of equally long byte strings, as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _labels(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return flat.to_numpy().reshape(len(column), -1).astype(np.int64)
+
+
+def used_rows(state: DataFrame, rows: int, trees: int) -> DataFrame:
+    """(fold, labels, bins, used): of each cell, the number of its rows that the trees of each round see. A cell's rows meet in one task, which keeps counts alone."""
+
+    def counts(batches):
+        known, kept, used = {}, [], np.zeros((0, trees), np.int32)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.concatenate([b.column("fold").to_numpy().astype(np.int32)[:, None].view(np.uint8), _labels(b.column("labels")).astype(np.int32).view(np.uint8), _bytes(b.column("bins"), np.uint8)], 1)
+            first, own = distinct(key)
+            seen, row = len(known), b.column("row").to_numpy()
+            place = np.array([known.setdefault(key[i].tobytes(), len(known)) for i in first])
+            kept.append(b.select(["fold", "labels", "bins"]).take(pa.array(first[place >= seen])))
+            if len(known) > len(used):
+                used = np.concatenate([used, np.zeros((max(len(known), 2 * len(used)) - len(used), trees), np.int32)])
+            used[place] += np.stack([np.bincount(own[sampled(row, turn)], minlength=len(first)) for turn in range(trees)], 1).astype(np.int32)
+        done = 0
+        for b in kept:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([u.tobytes() for u in used[done : done + b.num_rows]], pa.binary())], ["fold", "labels", "bins", "used"])
+            done += b.num_rows
+
+    parts = max(1, -(-rows * trees // COUNTED))
+    return state.select("row", "fold", "labels", "bins").repartition(parts, "fold", "labels", "bins").mapInArrow(counts, "fold int, labels array<int>, bins binary, used binary")
+
+
+GROWN = "grp int, feature binary, cut binary, lft binary, value binary, cover binary"
+
+
+def grown_from_cells(used: DataFrame, sizes: list[int], groups: list[tuple[int, int]], weights: np.ndarray, trees: int) -> Trees:
+    """The trees of all groups, each group's rounds in one task over its cells."""
+    classes, features, places = weights.shape[1], len(sizes), Places(sizes)
+
+    def grow(table: pa.Table) -> pa.Table:
+        g = table.column("grp")[0].as_py()
+        bins = _bytes(table.column("bins"), np.uint8)
+        first, of_row = distinct(bins)
+        known, label = bins[first], _labels(table.column("labels"))[:, groups[g][0]]
+        pairs, own = np.unique(of_row * classes + label, return_inverse=True)
+        times = np.zeros((len(pairs), trees), np.int64)
+        np.add.at(times, own, _bytes(table.column("used"), np.int32))
+        times, profile, label = np.ascontiguousarray(times.T), pairs // classes, pairs % classes
+        place, margins = places.of(known)[profile], np.zeros((len(known), 1, classes))
+        done, recent = Trees.empty(1, classes), Trees.empty(1, classes)
+        for turn in range(trees):
+            now = Trees.empty(1, classes, 1)
+            # sums of rounds are taken KEPT by KEPT, as the other way takes them
+            grad, hess = gradients((margins + recent.margins(known))[profile], label[:, None], weights[g : g + 1])
+            grad, hess = (x[:, 0] * times[turn][:, None] for x in (grad, hess))
+            for depth in range(DEPTH):
+                first, width = (1 << depth) - 1, 1 << depth
+                nodes = now.nodes(0, known)[:, profile] - first
+                for c in range(classes):
+                    at = np.flatnonzero((nodes[c] >= 0) & (times[turn] > 0))
+                    hist = places.sums(nodes[c, at], place[at], grad[at, c], hess[at, c], width).reshape(width, -1, 2)
+                    for k, found in enumerate(best_splits(places.full(hist), features_of(turn, g, c, features), sizes)):
+                        split(now, (0, 0, c), first + k, *found)
+            recent = recent.then(now)
+            if len(recent.value) == KEPT:
+                margins, done, recent = margins + recent.margins(known), done.then(recent), Trees.empty(1, classes)
+        whole = vars(done.then(recent))
+        return pa.table([pa.array([g], pa.int32()), *[pa.array([whole[n].tobytes()], pa.binary()) for n in whole]], [x.split()[0] for x in GROWN.split(", ")])
+
+    ways = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(without).alias("without")) for g, (_, without) in enumerate(groups)])
+    sent = used.withColumn("w", F.explode(ways)).filter("w.without != fold").select("w.grp", "labels", "bins", "used")
+    out = Trees.empty(len(groups), classes, trees)
+    for r in sent.repartition(2 * len(groups), "grp").groupBy("grp").applyInArrow(grow, GROWN).toArrow().to_pylist():
+        for name, blob in zip(vars(out), list(r.values())[1:], strict=True):
+            whole = getattr(out, name)
+            whole[:, r["grp"]] = np.frombuffer(blob, whole.dtype).reshape(whole[:, 0].shape)
+    return out
+
+
 def train(state: DataFrame, sizes: list[int], groups: list[tuple[int, int]], classes: int, trees: int = TREES) -> tuple[Trees, DataFrame]:
     """Trees of all groups, and the state with the margins of all rows.
 
@@ -283,67 +426,58 @@ def train(state: DataFrame, sizes: list[int], groups: list[tuple[int, int]], cla
     """
     n_groups, features = len(groups), len(sizes)
     which, without = np.array([g[0] for g in groups]), np.array([g[1] for g in groups])
-    n = state.count()
+    cells = state.groupBy("fold", "labels", "bins").agg(F.count(F.lit(1)).alias("n"))
+    counted = cells.select("fold", "n", F.posexplode("labels").alias("which", "label")).groupBy("fold", "which", "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells")).collect()
+    n, n_cells = (sum(r[c] for r in counted if r["which"] == 0) for c in ("n", "cells"))
     parts = max(1, -(-n * n_groups * classes // WORK))
-    counted = state.select("fold", F.posexplode("labels").alias("which", "label")).groupBy("fold", "which", "label").agg(F.count(F.lit(1)).alias("n")).collect()
     per = np.zeros((n_groups, classes))
     for r in counted:
         per[(which == r["which"]) & (without != r["fold"]), r["label"]] += r["n"]
     if (per == 0).any():
         raise ValueError("a class is missing from the other folds")
     weights = per.sum(1, keepdims=True) / (classes * per)
-    state = written(state.withColumn("margins", F.lit(None).cast("binary")).repartition(parts, "row"))
     done, recent = Trees.empty(n_groups, classes), Trees.empty(n_groups, classes)
+    places = Places(sizes)
 
     def read(b: pa.RecordBatch, since: Trees) -> tuple[np.ndarray, ...]:
-        rows = b.num_rows
-        bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(rows, features)
+        rows, bins = b.num_rows, _bytes(b.column("bins"), np.uint8)
         margins = np.zeros((rows, n_groups, classes))
         if b.column("margins").null_count == 0:
-            margins = np.frombuffer(b"".join(b.column("margins").to_pylist()), np.float64).reshape(margins.shape).copy()
-        if len(since.value):
-            margins += since.margins(bins)
-        labels = b.column("labels").flatten().to_numpy().reshape(rows, -1).astype(np.int64)
-        return bins, margins, labels, b.column("fold").to_numpy(), b.column("row").to_numpy()
+            margins = _bytes(b.column("margins"), np.float64).reshape(margins.shape).copy()
+        if len(since.value) <= KEPT:
+            margins += since.margins(bins) if len(since.value) else 0.0
+        else:
+            first, own = distinct(bins)
+            for t in range(0, len(since.value), KEPT):
+                margins += since.rounds(t, t + KEPT).margins(bins[first])[own]
+        return bins, margins, _labels(b.column("labels")), b.column("fold").to_numpy(), b.column("row").to_numpy()
 
     def level(turn: int, since: Trees, now: Trees, depth: int) -> DataFrame:
         first, width = (1 << depth) - 1, 1 << depth
-        offsets = np.concatenate([[0], np.cumsum(np.array(sizes) + 1)])
-        cells = int(offsets[-1])
 
         def sums(batches):
-            hist = np.zeros((n_groups, classes, width * cells, 2), np.int64)
+            hist = np.zeros((n_groups, classes, width * places.cells, 2), np.int64)
             for b in batches:
                 if not b.num_rows:
                     continue
                 bins, margins, labels, fold, row = read(b, since)
-                p = softmax(margins)
-                truth = labels[:, which][:, :, None] == np.arange(classes)
-                w = np.take_along_axis(np.broadcast_to(weights, p.shape[:1] + weights.shape), labels[:, which][:, :, None], 2)
-                grad = np.rint((p - truth) * w * UNIT).astype(np.int64)
-                hess = np.rint(np.maximum(2 * p * (1 - p) * w, 1e-16) * UNIT).astype(np.int64)
+                grad, hess = gradients(margins, labels[:, which], weights)
                 node = now.nodes(0, bins).reshape(n_groups, classes, -1) - first
                 use = sampled(row, turn)[:, None] & (fold[:, None] != without)
-                place = offsets[:-1] + np.where(bins == MISSING, np.array(sizes), bins)
+                place = places.of(bins)
                 for g in range(n_groups):
                     for c in range(classes):
                         own = np.flatnonzero(use[:, g] & (node[g, c] >= 0))
-                        at = (node[g, c, own, None] * cells + place[own]).reshape(-1)
-                        for k, x in enumerate((grad, hess)):
-                            hist[g, c, :, k] += np.bincount(at, np.repeat(x[own, g, c], features), width * cells).astype(np.int64)
+                        hist[g, c] += places.sums(node[g, c, own], place[own], grad[own, g, c], hess[own, g, c], width)
             blobs = [hist[g].tobytes() for g in range(n_groups)]
             yield pa.RecordBatch.from_arrays([pa.array(range(n_groups), pa.int32()), pa.array(blobs, pa.binary())], ["grp", "hist"])
 
         def choose(table: pa.Table) -> pa.Table:
             g = table.column("grp")[0].as_py()
-            hist = np.zeros((classes, width, cells, 2), np.int64)
+            hist = np.zeros((classes, width, places.cells, 2), np.int64)
             for blob in table.column("hist"):
                 hist += np.frombuffer(blob.as_buffer(), np.int64).reshape(hist.shape)
-            full = np.zeros((classes, width, features, max(sizes) + 1, 2), np.int64)
-            for f, n_bins in enumerate(sizes):
-                full[:, :, f, :n_bins] = hist[:, :, offsets[f] : offsets[f] + n_bins]
-                full[:, :, f, -1] += hist[:, :, offsets[f] + n_bins]
-            rows = [(g, c, first + k, *split) for c in range(classes) for k, split in enumerate(best_splits(full[c], features_of(turn, g, c, features), sizes))]
+            rows = [(g, c, first + k, *found) for c in range(classes) for k, found in enumerate(best_splits(places.full(hist[c]), features_of(turn, g, c, features), sizes))]
             names = [x.split()[0] for x in SPLITS.split(", ")]
             types = [pa.int32()] * 5 + [pa.bool_()] + [pa.float64()] * 6
             return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -359,16 +493,17 @@ def train(state: DataFrame, sizes: list[int], groups: list[tuple[int, int]], cla
 
         return state.mapInArrow(batches, "row long, fold int, labels array<int>, bins binary, margins binary")
 
+    state = state.withColumn("margins", F.lit(None).cast("binary"))
+    if n_cells * trees <= CELLS and n_cells * trees * n_groups <= CELLS_SENT and n * weights.max() < 1 << 28:
+        done = grown_from_cells(used_rows(state, n, trees), sizes, groups, weights, trees)
+        return done, carried(done)
+    state = written(state.repartition(parts, "row"))
     for turn in range(trees):
         now = Trees.empty(n_groups, classes, 1)
         for depth in range(DEPTH):
             for r in level(turn, recent, now, depth).toArrow().to_pylist():
-                at, node = (0, r["grp"], r["cls"]), r["node"]
-                now.value[at][node], now.cover[at][node] = -STEP * r["g"] / (r["h"] + PENALTY), r["h"]
-                if r["feature"] >= 0:
-                    now.feature[at][node], now.cut[at][node], now.left[at][node] = r["feature"], r["cut"], r["lft"]
-                    for child, g, h in ((2 * node + 1, r["gl"], r["hl"]), (2 * node + 2, r["gr"], r["hr"])):
-                        now.value[at][child], now.cover[at][child] = -STEP * g / (h + PENALTY), h
+                grp, cls, node, *found = r.values()
+                split(now, (0, grp, cls), node, *found)
         recent = recent.then(now)
         if len(recent.value) == KEPT or turn == trees - 1:
             state = written(carried(recent))

@@ -13,6 +13,8 @@ from .boosting import DEPTH, SEED, STEP, TREES, Model
 
 __all__ = ["DEPTH", "FOLDS", "PERMUTATIONS", "SEED", "STEP", "TREES", "check_leakage", "confusion", "cross_validated", "fit", "folds", "permutation_test", "scores", "usable"]
 FOLDS, PERMUTATIONS, STRATUM = 5, 100, 1000
+#: Results that a predicting task keeps, about.
+KNOWN = 1 << 16
 #: Inputs of the labels may never be features.
 BARRED = frozenset({"label", "label_group", "evidence", "distance_m", "groups_near", "latitude", "longitude", "x", "y", "cell"})
 
@@ -90,13 +92,25 @@ def cross_validated(rows: DataFrame, names: list[str], block: str, label: str =
     kinds, width = pa.array(classes), len(edges)
 
     def predicted(batches):
+        known, kept = {}, np.zeros((0, len(kinds)))  # a task walks the trees once for each fold and bins
         for b in batches:
+            if not b.num_rows:
+                continue
             fold = b.column("fold").to_numpy()
             bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(len(fold), width)
-            p = np.zeros((len(fold), len(kinds)))
-            for f in np.unique(fold):
-                own = fold == f
-                p[own] = boosting.softmax(grown.of(int(f)).margins(bins[own])[:, 0])
+            key = np.concatenate([fold.astype(np.int32)[:, None].view(np.uint8), bins], 1)
+            first, of_row = boosting.distinct(key)
+            if len(known) > KNOWN:
+                known, kept = {}, kept[:0]
+            seen = len(known)
+            place = np.array([known.setdefault(key[i].tobytes(), len(known)) for i in first])
+            new = first[place >= seen]
+            p = np.zeros((len(new), len(kinds)))
+            for f in np.unique(fold[new]):
+                own = fold[new] == f
+                p[own] = boosting.softmax(grown.of(int(f)).margins(bins[new[own]])[:, 0])
+            kept = np.concatenate([kept, p])
+            p = kept[place[of_row]]
             yield pa.RecordBatch.from_arrays([b.column("_row"), kinds.take(pa.array(p.argmax(1))), pa.array(p.max(1)), boosting._lists(p)], ["_row", "predicted", "confidence", "proba"])
 
     out = state.select("fold", "bins", "_row").mapInArrow(predicted, f"_row {state.schema['_row'].dataType.simpleString()}, predicted string, confidence double, proba array<double>")
