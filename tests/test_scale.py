@@ -1,10 +1,14 @@
 """What grows with a table is not broadcast through the driver, and bounds of what is shuffled."""
 
+import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from thermalis import tables as shared_tables
 from thermalis.operators import evaluate, events, registry, risk, routing, spatial, weather
+from thermalis.plans import catalogue
 
 
 def plan(df) -> str:
@@ -112,6 +116,31 @@ def test_matching_moves_no_pair_to_find_the_best(spark, monkeypatch):
     assert len(plans) > 2 and not any("Window" in p for p in plans)
 
 
+def test_matching_writes_no_table_of_all_pairs(spark, monkeypatch):
+    """Most pairs share one cell: they are made for free labels and ids only. The result is the greedy one, however pairs are sliced."""
+    rng = random.Random(7)
+    lines = [(rng.randrange(900), rng.randrange(2000), rng.randrange(120)) for _ in range(3000)] + [(c, 5000, 7) for c in range(90)] + [(None, 1, 1), (1, None, None)]
+    cells: dict = {}
+    for c, label, old in lines[:-2]:
+        cells.setdefault(c, (set(), set()))
+        cells[c][0].add(label)
+        cells[c][1].add(old)
+    shared = Counter((label, old) for labels, olds in cells.values() for label in labels for old in olds)
+    want: dict = {}
+    for label, old in sorted(shared, key=lambda p: (-shared[p], p)):
+        if label not in want and old not in want.values():
+            want[label] = old
+    monkeypatch.setattr(catalogue, "table", lambda *_: spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long"))
+    kept, whole = [], shared_tables.written
+    monkeypatch.setattr(shared_tables, "written", lambda df: kept.append(df.count()) or whole(df))
+    assert {r["label"]: r["old_id"] for r in catalogue.QUERIES["id_matching"](spark, "").collect()} == want
+    assert sum(kept) < len(shared) / 2 and any(shared[p] == 1 for p in want.items())
+    monkeypatch.setattr(shared_tables, "written", whole)
+    monkeypatch.setattr(registry, "SETTLED", 60)
+    monkeypatch.setattr(registry, "SLICES", 2)
+    assert {r["label"]: r["old_id"] for r in catalogue.QUERIES["id_matching"](spark, "").collect()} == want
+
+
 def test_edges_of_a_long_chain_shrink_by_a_share(spark, monkeypatch):
     chain = spark.range(299).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     kept, written = [], spatial.written

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from . import spatial
 MONTHS, DAYS, YEARS, LINK_M, LEAST_WEIGHT, CAP_KM = 3, 10, 3, 500.0, 5, 20.0
 ASSIGN_M = {"VIIRS": 500.0, "MODIS": 1000.0}
 MONSOON, COVERAGE = (6, 7, 8, 9), 0.5
+#: Pairs at most that one task matches in order; lines of a task that counts pairs, about; slices of labels at most.
+SETTLED, COUNTED, SLICES = 4_000_000, 500_000, 32
 
 
 def recurrence(det: DataFrame, key: str, at: str) -> DataFrame:
@@ -156,6 +159,83 @@ def match_ids(shared: DataFrame) -> DataFrame:
         left = written(left.join(best.select("label"), "label", "left_anti").join(best.select("old_id"), "old_id", "left_anti"))
 
 
+def _in_turn(pairs: pa.Table) -> pa.Table:
+    """Pairs (label, old_id, n) that are taken one after the other, best first."""
+    pairs = pairs.sort_by([("n", "descending"), ("label", "ascending"), ("old_id", "ascending")])
+    taken: dict = {}
+    used = set()
+    for b in pairs.to_batches(1 << 16):
+        for label, old in zip(*(b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("label", "old_id")), strict=True):
+            if old not in used and label not in taken:
+                taken[label] = old
+                used.add(old)
+    kinds = pairs.schema.field("label").type, pairs.schema.field("old_id").type
+    return pa.table([pa.array(list(taken), kinds[0]), pa.array(list(taken.values()), kinds[1])], ["label", "old_id"])
+
+
+def match_overlaps(new: DataFrame, old: DataFrame) -> DataFrame:
+    """(label, old_id): match_ids(overlaps(new, old)), without a table of all pairs. Labels are numbers.
+
+    Nearly all pairs share one cell only, and most of them can no longer be taken when their turn comes. So pairs of two
+    cells and more are counted and matched first. Pairs of one cell are made afterwards, from the rows of labels and ids that are
+    still free, for slices of labels in order, the next one twice as large; where no id is left, none is made. (Of a free label and a free id no
+    pair of two cells is left, so these need no count.) What is left of a slice is matched in order in one task if it is small, else it is sliced again, by labels,
+    or goes to match_ids.
+    """
+    from ..tables import written
+
+    shape = f"label {new.schema['label'].dataType.simpleString()}, old_id {old.schema['old_id'].dataType.simpleString()}"
+    new, old = (side.select("cell", c).filter(f"cell IS NOT NULL AND {c} IS NOT NULL") for side, c in ((new, "label"), (old, "old_id")))
+    found: DataFrame | None = None
+
+    def free(rows: DataFrame) -> DataFrame:
+        for c in ("label", "old_id") if found is not None else ():
+            rows = rows.join(found.select(c), c, "left_anti") if c in rows.columns else rows
+        return rows
+
+    def settle(pairs: DataFrame, one: bool) -> None:
+        """Takes what pairs (one: of equal n) add to found."""
+        nonlocal found
+        left = written(free(pairs))
+        n = left.count()
+        if not n:
+            return
+        parts = min(-(-2 * n // SETTLED), SLICES)
+        if one and n > SETTLED:
+            for part in sliced(left, [i / parts for i in range(1, parts)]):
+                settle(left.filter(part), False)
+            return
+        got = match_ids(left) if n > SETTLED else left.groupBy().applyInArrow(_in_turn, shape)
+        found = written((got if found is None else found.union(got)).coalesce(1))
+
+    def sliced(rows: DataFrame, shares: list[float]) -> list[Column]:
+        cuts = sorted(set(rows.agg(F.percentile_approx("label", shares).alias("c")).first()["c"] or []))
+        return [(F.lit(a is None) | (F.col("label") > F.lit(a))) & (F.lit(b is None) | (F.col("label") <= F.lit(b))) for a, b in zip([None, *cuts], [*cuts, None], strict=True)]
+
+    # labels go to their tasks with the ids of a cell beside them, and pairs are made there
+    of_cell = lambda side, c: side.repartition("cell").groupBy("cell").agg(F.collect_set(c).alias(c))
+    parts = max(int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")), new.count() // COUNTED)
+    of_label = of_cell(new, "label").join(of_cell(old, "old_id").hint("merge"), "cell").select(F.explode("label").alias("label"), "old_id").repartition(parts, "label")
+    pairs = of_label.select("label", F.explode("old_id").alias("old_id")).groupBy("label", "old_id").agg(F.count(F.lit(1)).alias("n"))
+    several = written(pairs.filter("n > 1"))
+    band = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n") * 16)).cast("int")  # 96 and more from 64 on
+    sizes = sorted(several.groupBy(band.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["b"])
+    left, top, held = sum(r["k"] for r in sizes), None, 0
+    for i, r in enumerate(sizes):
+        top, held = r["b"] if top is None else top, held + r["k"]
+        if i == len(sizes) - 1 or held + sizes[i + 1]["k"] > max(SETTLED, left // 16):
+            settle(several.filter(band.between(r["b"], top)), top == r["b"] < 64)
+            left, top, held = left - held, None, 0
+    ids = old.select("old_id").distinct().count()
+    open_ids = lambda: found is None or found.count() < ids
+    for part in sliced(new, [2.0**-i for i in range(6, 0, -1)]) if open_ids() else ():
+        if not open_ids():
+            break
+        singles = free(new.filter(part)).distinct().join(free(old).distinct(), "cell")
+        settle(singles.select("label", "old_id", F.lit(1).cast("long").alias("n")), True)
+    return found if found is not None else several.select("label", "old_id")
+
+
 def centroid(w: str = "n") -> list[Column]:
     """Weighted centre of the rows of a group."""
     return [(F.sum(F.col(c) * F.col(w)) / F.sum(w)).alias(c) for c in ("x", "y")]

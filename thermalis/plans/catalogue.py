@@ -144,18 +144,18 @@ def fingerprint_core(spark, sf_dir):
 @query("SELECT l_partkey AS label, l_suppkey AS old_id, count(*) AS n FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) JOIN (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) USING (l_orderkey) GROUP BY ALL")
 def id_overlaps(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
-    return _overlaps(line, line)
+    return registry.overlaps(*_sides(line, line))
 
 
-def _overlaps(new, old):
+def _sides(new, old):
     cell = F.col("l_orderkey").alias("cell")
-    return registry.overlaps(new.select(cell, F.col("l_partkey").alias("label")), old.select(cell, F.col("l_suppkey").alias("old_id")))
+    return new.select(cell, F.col("l_partkey").alias("label")), old.select(cell, F.col("l_suppkey").alias("old_id"))
 
 
 @query(None)
 def id_matching(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
-    return registry.match_ids(_overlaps(line, line))
+    return registry.match_overlaps(*_sides(line, line))
 
 
 @query("""WITH n AS (SELECT l_suppkey AS source, l_partkey % 7 AS landcover, count(*) AS n FROM lineitem GROUP BY ALL)
