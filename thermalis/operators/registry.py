@@ -16,7 +16,7 @@ MONTHS, DAYS, YEARS, LINK_M, LEAST_WEIGHT, CAP_KM = 3, 10, 3, 500.0, 5, 20.0
 ASSIGN_M = {"VIIRS": 500.0, "MODIS": 1000.0}
 MONSOON, COVERAGE = (6, 7, 8, 9), 0.5
 #: Pairs at most that one task matches in order; lines of a task that counts pairs, about; slices of labels at most.
-SETTLED, COUNTED, SLICES = 4_000_000, 500_000, 32
+SETTLED, COUNTED, SLICES = 4_000_000, 250_000, 32
 
 
 def recurrence(det: DataFrame, key: str, at: str) -> DataFrame:
